@@ -42,7 +42,6 @@ def window_features(flows: DataFrame, width: str, by: Sequence[str] = (), column
 
 def label_aggregates(label: str = "label") -> list[Column]:
     lab = F.col(label)
-    other = F.when(lab != BENIGN, lab)
     attacks = F.count_if(lab != BENIGN)
     return [
         F.count(F.lit(1)).alias("observation_count"),
@@ -50,10 +49,22 @@ def label_aggregates(label: str = "label") -> list[Column]:
         F.count_if(lab == ATTACK).alias("infiltration_count"),
         attacks.alias("attack_count"),
         (attacks / F.count(F.lit(1))).alias("attack_ratio"),
-        F.coalesce(F.mode(other, True), F.lit(BENIGN)).alias("dominant_label"),
     ]
 
 
+def dominant_labels(flows: DataFrame, width: str, by: Sequence[str] = (), ts: str = "timestamp", label: str = "label") -> DataFrame:
+    """Most frequent non-benign label per window, ties to the smallest, benign where there is none.
+
+    Kept apart from the feature aggregates: counting per (window, label) stays in a hash aggregate, while a
+    mode() next to 70 sums would push all of them out of generated code.
+    """
+    start = floor_to_window(F.col(ts), width).alias("window_start")
+    n = flows.groupBy(*by, start, F.col(label)).agg(F.count(F.lit(1)).alias("_n"))
+    other = F.when(F.col(label) != BENIGN, F.struct((-F.col("_n")).alias("_k"), F.col(label).alias("_l")))
+    return n.groupBy(*by, "window_start").agg(F.min(other).alias("_m")).select(
+        *by, "window_start", F.coalesce("_m._l", F.lit(BENIGN)).alias("dominant_label"))
+
+
 def with_targets(windows: DataFrame) -> DataFrame:
     """Two-class target and label of the training day plus the any-attack target of other days."""
     hit = F.col("infiltration_count") > 0
