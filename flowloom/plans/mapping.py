@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.numeric import c, finite
+from ..session import tune
 from ..schema import DST_PORT, EXCLUDED, FEATURES, INT_FEATURES, LABEL, ONEHOT, PROTOCOL, PROTOCOLS, STATE, TIMESTAMP
 
 WIDTH = "10 minutes"
@@ -19,7 +20,7 @@ STEP = 600
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tune(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 # Helper columns over (e event_id, u user_id, k props.k, t event_type, ts).
