@@ -103,11 +103,17 @@ def top_values(df: DataFrame, column: str, k: int = 10) -> DataFrame:
     return n.orderBy(F.desc("n"), c(column)).limit(k)
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Correlation over rows where both are present; NULL for a constant side (corr() fails there)."""
+    x, y = F.when(b.isNotNull(), a), F.when(a.isNotNull(), b)
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def feature_label_correlation(df: DataFrame, columns: Sequence[str], positive: Column) -> DataFrame:
     """Pearson correlation of each finite feature with a 0/1 indicator; constant features are left out."""
     y = positive.cast("double")
     rep = column_report(df, columns, {
-        "correlation": lambda x: F.corr(finite(c(x)), y),
+        "correlation": lambda x: pearson(finite(c(x)), y),
         "_lo": lambda x: F.min(finite(c(x))), "_hi": lambda x: F.max(finite(c(x)))})
     usable = (F.col("_lo") < F.col("_hi")) & F.col("correlation").isNotNull() & ~F.isnan("correlation")
     return rep.where(usable).select("column_name", "correlation")
@@ -128,7 +134,7 @@ def correlated_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0
     out = None
     for start in range(0, len(pairs), per_job):
         part = pairs[start:start + per_job]
-        one = clean.agg(*[F.corr(c(a), c(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
+        one = clean.agg(*[pearson(c(a), c(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
         rows = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
                          for i, (a, b) in enumerate(part)])
         piece = one.select(F.explode(rows).alias("_r")).select("_r.*")
@@ -153,13 +159,14 @@ def time_report(df: DataFrame, ts: str, row_id: str) -> DataFrame:
 
     Monotony needs no sort: neighbours of a dense row id are compared by an equi-join on id + 1.
     """
-    per = df.groupBy(ts).agg(F.count(F.lit(1)).alias("n"))
+    obs = F.col("obs")
+    per = df.groupBy(ts).agg(F.count(F.lit(1)).alias("obs"))
     base = per.agg(
         F.min(ts).alias("min_ts"), F.max(ts).alias("max_ts"), F.count(F.lit(1)).alias("unique_ts"),
-        F.count_if(F.col("n") > 1).alias("repeated_ts"),
-        F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), F.lit(0)).alias("rows_at_repeated_ts"),
-        F.min("n").alias("obs_min"), F.max("n").alias("obs_max"), F.round(F.avg("n"), 4).alias("obs_mean"))
-    med = exact_percentiles(per, "n", {"obs_median": 0.5})
+        F.count_if(obs > 1).alias("repeated_ts"),
+        F.coalesce(F.sum(F.when(obs > 1, obs)), F.lit(0)).alias("rows_at_repeated_ts"),
+        F.min(obs).alias("obs_min"), F.max(obs).alias("obs_max"), F.round(F.avg(obs), 4).alias("obs_mean"))
+    med = exact_percentiles(per, "obs", {"obs_median": 0.5})
     cur = df.select(F.col(row_id).alias("_i"), F.col(ts).alias("_t"))
     nxt = df.select((F.col(row_id) - 1).alias("_i"), F.col(ts).alias("_t1"))
     mono = cur.join(nxt, "_i").agg((F.count_if(F.col("_t1") < F.col("_t")) == 0).alias("monotonic"))
