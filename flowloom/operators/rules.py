@@ -85,6 +85,10 @@ def primary_stage(scored: DataFrame) -> DataFrame:
         "primary_stage", F.when(best["v"] < MIN_EVIDENCE, F.lit(UNKNOWN)).otherwise(best["s"]))
 
 
+def _only(fired: Column, ids: list[str]) -> Column:
+    return F.filter(fired, lambda x: x.isin(*ids))
+
+
 def stage_audit(scored: DataFrame) -> DataFrame:
     """Adds ``stages``: MAP stage -> struct(technique, score, band, fired rules, is_primary)."""
     entries = []
@@ -93,7 +97,7 @@ def stage_audit(scored: DataFrame) -> DataFrame:
         v = F.col(f"{stage_key(s)}_score")
         entries += [F.lit(s), F.struct(
             F.lit(TECHNIQUES[s]).alias("technique_id"), F.round(v, 2).alias("evidence_score"), evidence_band(v).alias("evidence_label"),
-            F.filter("fired", lambda x, ids=ids: x.isin(*ids)).alias("triggered_rules"), (F.col("primary_stage") == s).alias("is_primary"))]
+            _only(F.col("fired"), ids).alias("triggered_rules"), (F.col("primary_stage") == s).alias("is_primary"))]
     return scored.withColumn("stages", F.create_map(*entries))
 
 

@@ -43,12 +43,12 @@ def transform_frozen(spark, d):
     return out.select("window_id", *[F.round(c(f), 6).alias(f) for f in FEW])
 
 
-@query("inverse_scale", f"""WITH {PARAM_SQL}, pk AS (SELECT {_pick}) SELECT window_id, {", ".join(f'round(coalesce("{f}", median_{i}) * 0.7310585E0, 4) AS "{f}"' for i, f in enumerate(FEW))} FROM win, pk""")
+@query("inverse_scale", f"""WITH {PARAM_SQL}, pk AS (SELECT {_pick}) SELECT window_id, {", ".join(f'round(coalesce("{f}", median_{i}) * 0.7310585E0, 2) AS "{f}"' for i, f in enumerate(FEW))} FROM win, pk""")
 def inverse_scale(spark, d):
     params = sc.load(sc.fit(train_windows(spark, d, FEW), FEW))
     out = sc.inverse(sc.transform(qw.windows(spark, d, FEW), params), params)
     # Scaled by an odd factor: whole and dyadic inputs would sit exactly on a rounding border.
-    return out.select("window_id", *[F.round(c(f) * 0.7310585, 4).alias(f) for f in FEW])
+    return out.select("window_id", *[F.round(c(f) * 0.7310585, 2).alias(f) for f in FEW])
 
 
 @query("class_weights", f"WITH {m.SCORES_SQL} SELECT sequence_id, y, round((SELECT count(*) FROM scores) / (2.0E0 * count(*) OVER (PARTITION BY y)), 9) AS weight FROM scores")
