@@ -89,15 +89,20 @@ def _gram(df: DataFrame, x: str, y: str, group: str) -> dict[str, np.ndarray]:
                 [pa.array([g] * k), pa.array(range(k), pa.int32()), pa.array(list(m), pa.list_(pa.float64()))], ["g", "i", "v"])
 
     def add(table: pa.Table) -> pa.Table:
-        rows = np.vstack([np.asarray(v) for v in table.column("v").to_pylist()])
-        return pa.table({"g": [table.column("g")[0].as_py()], "i": pa.array([table.column("i")[0].as_py()], pa.int32()),
-                         "v": pa.array([rows.sum(axis=0)], pa.list_(pa.float64()))})
+        table = table.combine_chunks()
+        i = table.column("i").to_numpy()
+        rows = table.column("v").combine_chunks().flatten().to_numpy().reshape(len(i), -1)
+        ids = np.unique(i)
+        sums = np.zeros((len(ids), rows.shape[1]))
+        np.add.at(sums, np.searchsorted(ids, i), rows)
+        return pa.table({"g": [table.column("g")[0].as_py()] * len(ids), "i": pa.array(ids, pa.int32()),
+                         "v": pa.array(list(sums), pa.list_(pa.float64()))})
 
     slots = max(df.sparkSession.sparkContext.defaultParallelism, 1)
     schema = "g string, i int, v array<double>"
     parts = df.select(F.col(group).alias("g"), F.col(x).alias("x"), F.col(y).alias("y")).coalesce(slots).mapInArrow(partial, schema)
     out: dict[str, dict[int, np.ndarray]] = {}
-    for r in parts.groupBy("g", "i").applyInArrow(add, schema).collect():
+    for r in parts.groupBy("g", F.floor(F.col("i") / 64)).applyInArrow(add, schema).collect():
         out.setdefault(r["g"], {})[r["i"]] = np.asarray(r["v"])
     return {g: np.vstack([rows[i] for i in range(len(rows))]) for g, rows in out.items()}
 
@@ -111,20 +116,28 @@ def _mse(g: np.ndarray, k: int, w: np.ndarray) -> float:
 def train_forecaster(df: DataFrame, x: str, y: str, split: str, penalties: Sequence[float] = (0.1, 1.0, 10.0, 100.0, 1000.0)) -> Forecaster:
     """Ridge from one pass over train and validation rows; the penalty with the lowest validation error wins
     (the role early stopping has for a network)."""
+    spark = df.sparkSession
     grams = _gram(df.where(F.col(split).isin("train", "validation")), x, y, split)
-    g = grams["train"]
-    m = len(df.select(y).first()[0])
-    k = g.shape[0] - m
-    best = None
-    for lam in penalties:
-        reg = np.eye(k) * lam
-        reg[k - 1, k - 1] = 0.0
-        w = np.linalg.solve(g[:k, :k] + reg + np.eye(k) * 1e-9, g[:k, k:])
-        err = _mse(grams.get("validation", g), k, w)
-        if best is None or err < best[0]:
-            best = (err, lam, w)
-    err, lam, w = best
-    return Forecaster(w[:-1], w[-1], lam, err)
+    k = len(df.select(x).first()[0]) + 1
+    sent = spark.sparkContext.broadcast((grams["train"], grams.get("validation", grams["train"])))
+
+    def solve(batches):
+        import pandas as pd
+
+        train, check = sent.value
+        for b in batches:
+            for lam in b["penalty"]:
+                reg = np.eye(k) * lam
+                reg[k - 1, k - 1] = 0.0
+                w = np.linalg.solve(train[:k, :k] + reg + np.eye(k) * 1e-9, train[:k, k:])
+                yield pd.DataFrame({"penalty": [lam], "mse": [_mse(check, k, w)], "w": [w.ravel()]})
+
+    # One small task per penalty; each solves one fixed-size system.
+    tried = spark.createDataFrame([(float(v),) for v in penalties], "penalty double").repartition(len(penalties)).mapInPandas(
+        solve, "penalty double, mse double, w array<double>")
+    best = tried.orderBy("mse", "penalty").first()
+    w = np.asarray(best["w"]).reshape(k, -1)
+    return Forecaster(w[:-1], w[-1], best["penalty"], best["mse"])
 
 
 def rollout(df: DataFrame, model: Forecaster, steps: int, history: str, keys: Sequence[str], horizons: Sequence[int] | None = None) -> DataFrame:
