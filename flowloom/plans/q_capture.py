@@ -50,12 +50,15 @@ def scan_pcap(spark, d):
     return cap.packets(cap.decode(capture_files(spark, d))).select("capture", *_FIELDS)
 
 
-@query("scan_pcap_malformed", "SELECT CAST(doc_id AS VARCHAR) AS capture, 0 AS frame, 'Truncated link header.' AS reason FROM documents")
+@query("scan_pcap_malformed", """SELECT CAST(doc_id AS VARCHAR) AS capture, 0 AS frame, CASE WHEN octet_length(encode(text)) < 14 THEN 'Truncated link header.'
+ELSE 'No IPv4 layer present (e.g. ARP or other non-IP frame).' END AS reason FROM documents""")
 def scan_pcap_malformed(spark, d):
-    """Each document's text behind a capture header whose only frame is cut to three bytes."""
-    head = F.lit("d4c3b2a1020004000000000000000000ffff000001000000" + "01000000" + "00000000" + "03000000" * 2)
-    text = F.concat(head, F.substring(F.concat(F.hex(F.encode("text", "UTF-8")), F.lit("000000")), 1, 6))
-    files = m.table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("capture"), F.unhex(text).alias("content"))
+    """Each document's whole text as the only frame of a capture: no frame is readable, none is lost."""
+    body = F.encode("text", "UTF-8")
+    size = _le(F.length(body), 4)
+    head = F.lit("d4c3b2a1020004000000000000000000ffff000001000000" + "01000000" + "00000000")
+    files = m.table(spark, d, "documents").select(
+        F.col("doc_id").cast("string").alias("capture"), F.unhex(F.concat(head, size, size, F.hex(body))).alias("content"))
     return cap.malformed(cap.decode(files)).select("capture", F.col("index").cast("int").alias("frame"), "reason")
 
 
