@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import c, finite, is_inf
 from ..schema import ATTACK, BENIGN, FEATURES, ONEHOT, PROTOCOLS, TS_FORMATS
-from .reports import column_report
+from .reports import cell_report, column_report
 
 
 def embedded_header(columns: Sequence[str]) -> Column:
@@ -24,7 +24,7 @@ def drop_embedded_headers(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def to_number(text: Column) -> Column:
     """Number in a text cell; NaN and unreadable text are NULL, infinities stay for the reports."""
-    v = F.expr("double(null)") if text is None else text.try_cast("double")
+    v = text.try_cast("double")
     return F.when(~F.isnan(v), v)
 
 
@@ -37,12 +37,13 @@ def coerce_numeric(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def numeric_report(raw: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return column_report(raw, columns, {
-        "raw_missing": lambda x: F.count_if(missing_text(c(x))),
-        "missing_after": lambda x: F.count_if(to_number(c(x)).isNull()),
-        "introduced": lambda x: F.count_if(to_number(c(x)).isNull() & ~missing_text(c(x))),
-        "infinite": lambda x: F.count_if(is_inf(to_number(c(x)))),
-    })
+    raw_cell, v = F.col("raw"), F.col("v")
+    return cell_report(raw, columns, {
+        "raw_missing": F.count_if(missing_text(raw_cell)),
+        "missing_after": F.count_if(v.isNull()),
+        "introduced": F.count_if(v.isNull() & ~missing_text(raw_cell)),
+        "infinite": F.count_if(is_inf(v)),
+    }, to_number(raw_cell), kind="string")
 
 
 def parse_ts(text: Column, fmt: str = TS_FORMATS[0]) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numeric import c, finite, is_inf, ratio
 from ..functions.ordering import exact_percentiles
 from ..schema import LABEL, TIMESTAMP
-from .reports import column_report, long_form
+from .reports import cell_report, column_report, long_form
 
 IDENTIFIERS = ["Dst Port", "Protocol"]
 
@@ -37,18 +37,15 @@ def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def inventory(df: DataFrame, numeric: Sequence[str], other: Sequence[str] = ()) -> DataFrame:
     """Per column: distinct values, missing, infinite, and min/max/mean/sample deviation of the finite part."""
     columns = [*numeric, *other]
-    num = set(numeric)
-    none = F.lit(None).cast("double")
-
-    def stat(f):
-        return lambda x: f(finite(c(x))) if x in num else F.max(none)
-
-    basic = column_report(df, columns, {
-        "missing": lambda x: F.count_if(c(x).isNull() | F.isnan(c(x))) if x in num else F.count_if(c(x).isNull()),
-        "infinite": lambda x: F.count_if(is_inf(c(x))) if x in num else F.lit(0).cast("long"),
-        "min": stat(F.min), "max": stat(F.max), "mean": stat(F.avg), "std": stat(F.stddev_samp),
-        "rows": lambda x: F.count(F.lit(1)),
-    })
+    raw, v = F.col("raw"), F.col("v")
+    basic = cell_report(df, numeric, {
+        "missing": F.count_if(raw.isNull() | F.isnan(raw)), "infinite": F.count_if(is_inf(raw)), "min": F.min(v), "max": F.max(v),
+        "mean": F.avg(v), "std": F.stddev_samp(v), "rows": F.count(F.lit(1))}, finite(raw))
+    if other:
+        none = F.lit(None).cast("double")
+        basic = basic.unionByName(cell_report(df, other, {
+            "missing": F.count_if(raw.isNull()), "infinite": F.lit(0).cast("long"), "min": F.max(none), "max": F.max(none), "mean": F.max(none),
+            "std": F.max(none), "rows": F.count(F.lit(1))}, raw, kind="string"))
     distinct = (value_frequencies(df, columns).where(F.col("value").isNotNull() & (F.col("value") != "NaN"))
                 .groupBy("column_name").agg(F.count(F.lit(1)).alias("num_unique")))
     return basic.join(F.broadcast(distinct), "column_name", "left").select(
@@ -111,10 +108,9 @@ def pearson(a: Column, b: Column) -> Column:
 
 def feature_label_correlation(df: DataFrame, columns: Sequence[str], positive: Column) -> DataFrame:
     """Pearson correlation of each finite feature with a 0/1 indicator; constant features are left out."""
-    y = positive.cast("double")
-    rep = column_report(df, columns, {
-        "correlation": lambda x: pearson(finite(c(x)), y),
-        "_lo": lambda x: F.min(finite(c(x))), "_hi": lambda x: F.max(finite(c(x)))})
+    v, y = F.col("v"), F.col("_y")
+    rep = cell_report(df.withColumn("_y", positive.cast("double")), columns, {
+        "correlation": pearson(v, y), "_lo": F.min(v), "_hi": F.max(v)}, finite(F.col("raw")), keys=["_y"])
     usable = (F.col("_lo") < F.col("_hi")) & F.col("correlation").isNotNull() & ~F.isnan("correlation")
     return rep.where(usable).select("column_name", "correlation")
 
@@ -123,23 +119,43 @@ def top_correlations(corr: DataFrame, k: int = 15) -> DataFrame:
     return corr.orderBy(F.desc(F.round(F.abs("correlation"), 9)), "column_name").limit(k)
 
 
-def correlated_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.95, per_job: int = 200) -> DataFrame:
+def correlated_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.95) -> DataFrame:
     """Pairs with |r| >= threshold over pairwise-complete finite rows.
 
-    Expressions are cut into aggregates of ``per_job`` so that generated code stays compilable; each aggregate
-    scans the same narrow columns.
+    All pairs at once as matrix products per Arrow batch: with mask m and values x centred on the column
+    means, the counts m'm, sums x'm, squares (x*x)'m and products x'x of every pair add up over tasks. A task emits
+    one row per column, whatever its share of the table.
     """
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1:]]
-    clean = df.select(*[finite(c(x)).alias(x) for x in columns])
-    out = None
-    for start in range(0, len(pairs), per_job):
-        part = pairs[start:start + per_job]
-        one = clean.agg(*[pearson(c(a), c(b)).alias(f"r{i}") for i, (a, b) in enumerate(part)])
-        rows = F.array(*[F.struct(F.lit(a).alias("column_a"), F.lit(b).alias("column_b"), F.col(f"r{i}").alias("correlation"))
-                         for i, (a, b) in enumerate(part)])
-        piece = one.select(F.explode(rows).alias("_r")).select("_r.*")
-        out = piece if out is None else out.unionByName(piece)
-    return out.where(F.col("correlation").isNotNull() & ~F.isnan("correlation") & (F.abs("correlation") >= threshold))
+    import numpy as np
+    import pyarrow as pa
+
+    clean = df.select(*[finite(c(x)).alias(f"c{i}") for i, x in enumerate(columns)])
+    k = len(columns)
+    first = clean.agg(*[F.avg(f"c{i}").alias(f"c{i}") for i in range(k)]).first()
+    centre = np.asarray([v if v is not None else 0.0 for v in first])
+
+    def partial(batches):
+        total = np.zeros((4, k, k))
+        for b in batches:
+            x = np.column_stack([np.asarray(b.column(i).to_numpy(zero_copy_only=False), dtype="float64") for i in range(k)])
+            m = np.isfinite(x).astype("float64")
+            z = np.where(m > 0, x - centre, 0.0)
+            total += np.stack([m.T @ m, z.T @ m, (z * z).T @ m, z.T @ z])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(range(k), pa.int32()), *[pa.array(list(total[i]), pa.list_(pa.float64())) for i in range(4)]], ["i", "n", "s", "q", "p"])
+
+    rows = clean.mapInArrow(partial, "i int, n array<double>, s array<double>, q array<double>, p array<double>")
+    cell = rows.select("i", F.posexplode(F.arrays_zip("n", "s", "q", "p")).alias("j", "_z")).select("i", "j", "_z.*")
+    tot = cell.groupBy("i", "j").agg(*[F.sum(x).alias(x) for x in ("n", "s", "q", "p")])
+    other = tot.select(F.col("j").alias("i"), F.col("i").alias("j"), F.col("s").alias("s2"), F.col("q").alias("q2"))
+    both = tot.where("i < j").join(other, ["i", "j"])
+    n = F.col("n")
+    cov = F.col("p") - F.col("s") * F.try_divide(F.col("s2"), n)
+    va, vb = F.col("q") - F.col("s") * F.try_divide(F.col("s"), n), F.col("q2") - F.col("s2") * F.try_divide(F.col("s2"), n)
+    r = F.try_divide(cov, F.sqrt(F.greatest(va, F.lit(0.0)) * F.greatest(vb, F.lit(0.0))))
+    names = F.array(*[F.lit(x) for x in columns])
+    return both.select(F.get(names, F.col("i")).alias("column_a"), F.get(names, F.col("j")).alias("column_b"), r.alias("correlation")).where(
+        F.col("correlation").isNotNull() & (F.abs("correlation") >= threshold))
 
 
 def classify_columns(names: DataFrame, constants: DataFrame) -> DataFrame:

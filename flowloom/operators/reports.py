@@ -28,3 +28,17 @@ def long_form(df: DataFrame, keys: Sequence[str], columns: Sequence[str], name:
     if not keep_null:
         cells = F.filter(cells, lambda s: s["v"].isNotNull())
     return df.select(*keys, F.explode(cells).alias("_c")).select(*keys, F.col("_c.n").alias(name), F.col("_c.v").alias(value))
+
+
+def cell_report(df: DataFrame, columns: Sequence[str], metrics: dict[str, Column], value: Column, keys: Sequence[str] = (),
+                kind: str = "double") -> DataFrame:
+    """One row per column from aggregates over its cells. ``metrics`` are aggregates over ``raw`` (the cell cast to
+    ``kind``) and ``v`` (``value`` applied to it once), and over ``keys`` of the row.
+
+    Cells are exploded inside the map stage and combined there: what is shuffled is one row per column and
+    task. The plan stays the same size for any number of columns, where one aggregate per column and metric
+    would be hundreds of expressions that the JVM no longer compiles.
+    """
+    cells = F.array(*[F.struct(F.lit(x).alias("n"), F.col(f"`{x}`").cast(kind).alias("raw")) for x in columns])
+    long = df.select(*keys, F.explode(cells).alias("_c")).select(*keys, F.col("_c.n").alias("column_name"), F.col("_c.raw").alias("raw"))
+    return long.withColumn("v", value).groupBy("column_name").agg(*[e.alias(k) for k, e in metrics.items()])

@@ -15,15 +15,19 @@ from pyspark.sql import functions as F
 from ..functions.numeric import c
 from ..functions.ordering import exact_percentiles
 from ..schema import FEATURES
-from .reports import column_report, long_form
+from ..sources.tables import staging_dir, write_stage
+from .reports import cell_report, long_form
 
 
 def fit(train: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
-    """(feature, median, mean, std, scale). Moments come from one wide aggregate; missing cells enter the
+    """(feature, median, mean, std, scale). Moments come from one pass; missing cells enter the
     moments as the median by the merge formula, so the table is not rewritten."""
-    stats = column_report(train, columns, {
-        "_n": lambda x: F.count(c(x)), "_all": lambda x: F.count(F.lit(1)),
-        "_m": lambda x: F.avg(c(x).cast("double")), "_v": lambda x: F.var_pop(c(x).cast("double"))}).withColumnRenamed("column_name", "feature")
+    spark = train.sparkSession
+    # Three passes read the training cells; they are written once instead of being derived three times.
+    train = spark.read.parquet(write_stage(train.select(*[c(x) for x in columns]), staging_dir(spark, "train_cells")))
+    v = F.col("v")
+    stats = cell_report(train, columns, {"_n": F.count(v), "_all": F.count(F.lit(1)), "_m": F.avg(v), "_v": F.var_pop(v)},
+                        F.col("raw")).withColumnRenamed("column_name", "feature")
     med = exact_percentiles(long_form(train, [], columns, keep_null=False), "value", {"median": 0.5}, by="feature")
     n, allrows, miss = F.col("_n"), F.col("_all"), F.col("_all") - F.col("_n")
     m, v = F.col("_m"), F.col("_v")

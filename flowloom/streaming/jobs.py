@@ -54,12 +54,13 @@ def window_aggregates(states: DataFrame, width: str, columns: Sequence[str] = ST
     return g.select(_wall(F.col("_w.start")).alias("window_start"), _wall(F.col("_w.end")).alias("window_end"), *[x for x in g.columns if x != "_w"])
 
 
-def segments(states: DataFrame, width: str, ts: str = "timestamp", delay: str = "30 seconds") -> DataFrame:
+def segments(states: DataFrame, width: str, by: str, ts: str = "timestamp", delay: str = "30 seconds") -> DataFrame:
     """Twin of the gap segments: sessions over window starts with a gap of one window merge exactly the runs
-    without a missing window. The watermark is on window starts, so it also waits for one window width."""
-    started = states.select(F.window(_instant(states, ts), width).getField("start").alias("_ws")).withWatermark("_ws", f"{width} {delay}")
-    g = started.groupBy(F.session_window(F.col("_ws"), width).alias("_s")).agg(F.count(F.lit(1)).alias("observations"))
-    return g.select(_wall(F.col("_s.start")).alias("segment_start"), _wall(F.col("_s.end")).alias("segment_end"), "observations")
+    without a missing window. The watermark is on window starts, so it also waits for one window width.
+    ``by`` is the link or capture; sessions of different links never merge."""
+    started = states.select(by, F.window(_instant(states, ts), width).getField("start").alias("_ws")).withWatermark("_ws", f"{width} {delay}")
+    g = started.groupBy(by, F.session_window(F.col("_ws"), width).alias("_s")).agg(F.count(F.lit(1)).alias("observations"))
+    return g.select(by, _wall(F.col("_s.start")).alias("segment_start"), _wall(F.col("_s.end")).alias("segment_end"), "observations")
 
 
 def deduplicated(rows: DataFrame, columns: Sequence[str], ts: str, delay: str = "1 hour") -> DataFrame:
