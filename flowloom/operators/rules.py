@@ -66,12 +66,16 @@ def _fired(rule: Rule) -> Column:
     return true_only(F.expr(rule.condition))
 
 
+def _ids(rules: list[Rule]) -> Column:
+    return F.array_compact(F.array(*[F.when(_fired(r), F.lit(r.id)) for r in rules]))
+
+
 def stage_scores(evidence: DataFrame) -> DataFrame:
     """Adds ``<stage>_score`` for every stage and ``fired``, the ids of all rules that hold, in table order."""
-    out = evidence.withColumn("fired", F.array_compact(F.array(*[F.when(_fired(r), F.lit(r.id)) for r in RULES])))
+    out = evidence.withColumn("fired", _ids(RULES))
     scores = {}
     for stage, cap in STAGE_CAPS.items():
-        points = [F.when(F.array_contains("fired", r.id), F.lit(r.points)).otherwise(0) for r in RULES if r.stage == stage]
+        points = [F.when(_fired(r), F.lit(r.points)).otherwise(0) for r in RULES if r.stage == stage]
         scores[f"{stage_key(stage)}_score"] = F.least(F.lit(cap), sum(points[1:], points[0])).cast("double")
     return out.withColumns(scores)
 
@@ -85,19 +89,14 @@ def primary_stage(scored: DataFrame) -> DataFrame:
         "primary_stage", F.when(best["v"] < MIN_EVIDENCE, F.lit(UNKNOWN)).otherwise(best["s"]))
 
 
-def _only(fired: Column, ids: list[str]) -> Column:
-    return F.filter(fired, lambda x: x.isin(*ids))
-
-
 def stage_audit(scored: DataFrame) -> DataFrame:
     """Adds ``stages``: MAP stage -> struct(technique, score, band, fired rules, is_primary)."""
     entries = []
     for s in STAGE_CAPS:
-        ids = [r.id for r in RULES if r.stage == s]
         v = F.col(f"{stage_key(s)}_score")
         entries += [F.lit(s), F.struct(
             F.lit(TECHNIQUES[s]).alias("technique_id"), F.round(v, 2).alias("evidence_score"), evidence_band(v).alias("evidence_label"),
-            _only(F.col("fired"), ids).alias("triggered_rules"), (F.col("primary_stage") == s).alias("is_primary"))]
+            _ids([r for r in RULES if r.stage == s]).alias("triggered_rules"), (F.col("primary_stage") == s).alias("is_primary"))]
     return scored.withColumn("stages", F.create_map(*entries))
 
 

@@ -186,9 +186,9 @@ def assign_row_id(spark, d):
     from ..functions.numeric import epoch_seconds
     from ..functions.ordering import dense_number
 
-    # One cell per hour of event time: a bound on rows per task that follows the ingest rate, not the table.
+    # One cell per minute of event time: a bound on rows per task that follows the ingest rate, not the table.
     df = m.table(spark, d, "events").select("event_id", "ts")
-    return dense_number(df, "row_id", ["ts", "event_id"], F.floor(epoch_seconds(F.col("ts")) / 3600)).select("event_id", "row_id")
+    return dense_number(df, "row_id", ["ts", "event_id"], F.floor(epoch_seconds(F.col("ts")) / 60)).select("event_id", "row_id")
 
 
 @query("minmax_normalize", f"""WITH {m.flows_sql(["row_id", "Flow Duration"])}, r AS (SELECT min("Flow Duration") AS lo, max("Flow Duration") AS hi FROM flows)
