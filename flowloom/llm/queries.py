@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import exact, quality
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +26,11 @@ def query(name: str, sql: str | None = None):
 @query("op7_quality")
 def op7(spark: SparkSession, d: str) -> DataFrame:
     return quality.quality_scores(documents(spark, d), documents(spark, d, "labels"))
+
+
+@query("op8_exact_dedup", r"""WITH t AS (SELECT doc_id, length(coalesce(text, '')) AS n, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', '', 'g') AS bare FROM documents),
+g AS (SELECT doc_id, sha256(bare) AS text_sha256, count(*) OVER (PARTITION BY bare) AS group_size,
+ first_value(doc_id) OVER (PARTITION BY bare ORDER BY n DESC, doc_id) AS keep_id FROM t)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""")
+def op8(spark: SparkSession, d: str) -> DataFrame:
+    return exact.exact_groups(documents(spark, d))
