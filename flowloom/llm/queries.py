@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, quality
+from . import exact, quality, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -34,3 +34,8 @@ g AS (SELECT doc_id, sha256(bare) AS text_sha256, count(*) OVER (PARTITION BY ba
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g""")
 def op8(spark: SparkSession, d: str) -> DataFrame:
     return exact.exact_groups(documents(spark, d))
+
+
+@query("op6_simhash")
+def op6(spark: SparkSession, d: str) -> DataFrame:
+    return simhash.near_components(documents(spark, d))
