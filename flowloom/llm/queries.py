@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, quality, simhash
+from . import decontaminate, exact, quality, simhash
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,3 +39,8 @@ def op8(spark: SparkSession, d: str) -> DataFrame:
 @query("op6_simhash")
 def op6(spark: SparkSession, d: str) -> DataFrame:
     return simhash.near_components(documents(spark, d))
+
+
+@query("op5_template_decontamination")
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contamination_report(documents(spark, d), documents(spark, d, "benchmark"))
