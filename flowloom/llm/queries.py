@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, quality, simhash
+from . import decontaminate, exact, packing, quality, simhash, tokencount
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +44,13 @@ def op6(spark: SparkSession, d: str) -> DataFrame:
 @query("op5_template_decontamination")
 def op5(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate.contamination_report(documents(spark, d), documents(spark, d, "benchmark"))
+
+
+@query("op3_packing")
+def op3(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(documents(spark, d))
+
+
+@query("op9_token_counts")
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return tokencount.token_counts(documents(spark, d))
