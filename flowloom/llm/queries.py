@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, packing, quality, simhash, tokencount
+from . import decontaminate, exact, langid, packing, quality, secrets, simhash, tokencount, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -54,3 +54,36 @@ def op3(spark: SparkSession, d: str) -> DataFrame:
 @query("op9_token_counts")
 def op9(spark: SparkSession, d: str) -> DataFrame:
     return tokencount.token_counts(documents(spark, d))
+
+
+@query("op2_toxicity")
+def op2(spark: SparkSession, d: str) -> DataFrame:
+    return toxicity.severities(documents(spark, d), documents(spark, d, "labels"))
+
+
+def _secret_sql() -> str:
+    """Positions are running sums of the lengths between and of the matches, as texts are split by the same pattern."""
+    parts = []
+    for i, (kind, pattern, group, least) in enumerate((
+        ("assign", """((?i:password|passwd|secret|token|api_?key))["\'\']?\\x20*[:=]\\x20*["\'\']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
+        ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16))):
+        parts.append(f"""SELECT doc_id, {i} AS rank, '{kind}' AS kind, unnest(range(1, len(hit) + 1)) AS k, unnest(hit) AS m, unnest(val) AS v, unnest(gap[1:len(hit)]) AS g, {least} AS least
+ FROM (SELECT doc_id, regexp_extract_all(t, '{pattern}', 0) AS hit, regexp_extract_all(t, '{pattern}', {group}) AS val, regexp_split_to_array(t, '{pattern}') AS gap FROM d)""")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+m AS ({' UNION ALL '.join(parts)}),
+p AS (SELECT *, sum(length(g) + length(m)) OVER (PARTITION BY doc_id, kind ORDER BY k) AS stop FROM m),
+s AS (SELECT doc_id, kind, rank, CAST(stop - length(m) AS BIGINT) AS start, CAST(stop AS BIGINT) AS stop FROM p WHERE length(v) >= least),
+a AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+ string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, rank) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+ sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+
+@query("op4_secret_ledger", _secret_sql())
+def op4(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, d))
+
+
+@query("op10_language")
+def op10(spark: SparkSession, d: str) -> DataFrame:
+    return langid.languages(documents(spark, d))
