@@ -154,11 +154,12 @@ _KIND[65:91] = 2
 _KIND[48:58] = 3
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of the texts ``data[offsets[i]:offsets[i+1]]`` (joined), and for each its text's number.
 
     A word is a run of letters, of digits, or of other characters; a capital starts a letter run or follows a
-    capital, so that "Words" is one word and capital spelling stays visible in the hash.
+    capital, so that "Words" is one word and capital spelling stays visible in the hash. ``beginnings``: the first so
+    many bytes of longer words are words as well, told apart from whole ones; these follow after all whole words.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -172,4 +173,10 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     end = np.append(start[1:], len(data))
     keep = flat[start] != 0
     start, end = start[keep], end[keep]
-    return range_hash(prefix_sums(data), start, end), np.searchsorted(offsets, start, "right") - 1
+    sums, row = prefix_sums(data), np.searchsorted(offsets, start, "right") - 1
+    hashes, rows = [range_hash(sums, start, end)], [row]
+    for k in beginnings:
+        some = np.flatnonzero(end - start > k)
+        hashes.append(~range_hash(sums, start[some], start[some] + k))
+        rows.append(row[some])
+    return np.concatenate(hashes), np.concatenate(rows)
