@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, langid, packing, quality, secrets, simhash, tokencount, toxicity
+from . import decontaminate, exact, langid, packing, quality, secrets, simhash, suffix, tokencount, toxicity
 from .common import documents
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,3 +87,8 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_language")
 def op10(spark: SparkSession, d: str) -> DataFrame:
     return langid.languages(documents(spark, d))
+
+
+@query("op1_suffix_dedup")
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return suffix.remove_repeats(documents(spark, d))
