@@ -43,6 +43,11 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(doc_id), text_of(text))
 
 
+def whole_rows(docs: DataFrame, **more: Column) -> DataFrame:
+    """All columns in one named ``row``, beside ``more``: helper columns cannot clash with the table's own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in more.items()])
+
+
 def steps(lengths: np.ndarray, limit: int = STEP_BYTES) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive rows with at most ``limit`` bytes, one row at least."""
     lo, total = 0, 0

@@ -12,8 +12,8 @@ A benchmark is broadcast only while its windows are at most MAX_BROADCAST; a lar
 made of placeholders alone, or with fewer than two words, say nothing and are left out on the item's side.
 
 Null and empty texts have no window and are clean, as are all documents when the benchmark is empty; items of fewer
-than WINDOW template words are not searched for; items with equal text are found each; repeated documents are each
-reported (rows with null ids: under the null id). Extra columns are passed over, or kept by ``drop_contaminated``.
+than WINDOW template words are not searched for; items with equal text are found each (a null item id is reported as such);
+repeated documents are reported once, rows with null ids under the null id. Extra columns are passed over, or kept by ``drop_contaminated``.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import row_key, stage, text_of
+from .common import row_key, stage, text_of, whole_rows
 
 WINDOW, SIMILARITY = 5, 0.8
 #: Windows of a benchmark that may be broadcast (about 40 bytes each).
@@ -64,17 +64,17 @@ def window_hashes(words: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, n_windows (distinct), place and hash of the windows that say something."""
-    items = benchmark.select("item_id", template(text_of()).alias("w")).where(F.size("w") >= WINDOW)
-    placed = items.select("item_id", "w", F.posexplode(window_hashes(F.col("w"))).alias("at", "h"))
+    """item (its row key), n_windows (distinct), place and hash of the windows that say something."""
+    items = benchmark.select("item", template(F.col("text")).alias("w")).where(F.size("w") >= WINDOW)
+    placed = items.select("item", "w", F.posexplode(window_hashes(F.col("w"))).alias("at", "h"))
     telling = placed.where(F.size(F.filter(F.slice("w", F.col("at") + 1, WINDOW), lambda x: ~is_slot(x))) >= 2)
-    sizes = telling.groupBy("item_id").agg(F.countDistinct("h").alias("n_windows"))
-    return telling.select("item_id", "at", "h").join(sizes, "item_id")
+    sizes = telling.groupBy("item").agg(F.countDistinct("h").alias("n_windows"))
+    return telling.select("item", "at", "h").join(sizes, "item")
 
 
 def _slots(rows: DataFrame, key: str, prefix: str) -> DataFrame:
     """Per key, the template words and the slot values, for the few texts that were hit."""
-    return rows.select(F.col(key), template(text_of()).alias(f"{prefix}w"), slot_values(text_of()).alias(f"{prefix}v"))
+    return rows.select(F.col(key), template(F.col("text")).alias(f"{prefix}w"), slot_values(F.col("text")).alias(f"{prefix}v"))
 
 
 def _pairs(place: str, prefix: str) -> Column:
@@ -90,28 +90,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Also the row key ``rid`` of the document.
     """
-    windows = stage(benchmark_windows(benchmark), "benchmark-windows")
+    bench = benchmark.select(row_key("item_id").alias("item"), "item_id", text_of().alias("text")).dropDuplicates(["item"])
+    windows = stage(benchmark_windows(bench), "benchmark-windows")
     small = windows.count() <= MAX_BROADCAST
     keyed = docs.select("doc_id", row_key().alias("rid"), text_of().alias("text"))
     spread = keyed.select("rid", template(F.col("text")).alias("w")).select("rid", F.posexplode(window_hashes(F.col("w"))).alias("p", "h"))
-    hits = spread.join(F.broadcast(windows) if small else windows, "h").select("rid", "item_id", "n_windows", "p", "at", "h")
+    hits = spread.join(F.broadcast(windows) if small else windows, "h").select("rid", "item", "n_windows", "p", "at", "h")
     hits = stage(hits, "hits")
     # only documents with enough windows of an item go on to the slot check
-    likely = hits.groupBy("rid", "item_id").agg(F.countDistinct("h").alias("n"), F.first("n_windows").alias("n_windows")).where(F.col("n") >= SIMILARITY * F.col("n_windows"))
-    near = hits.join(likely.select("rid", "item_id"), ["rid", "item_id"], "left_semi")
+    likely = hits.groupBy("rid", "item").agg(F.countDistinct("h").alias("n"), F.first("n_windows").alias("n_windows")).where(F.col("n") >= SIMILARITY * F.col("n_windows"))
+    near = hits.join(likely.select("rid", "item"), ["rid", "item"], "left_semi")
     texts = keyed.join(likely.select("rid").distinct(), "rid", "left_semi")
     texts = stage(texts.dropDuplicates(["rid"]), "hit-texts")
-    items = _slots(benchmark.dropDuplicates(["item_id"]), "item_id", "i")
-    full = near.join(_slots(texts, "rid", "d"), "rid").join(items, "item_id")
-    valued = full.select("rid", "item_id", "n_windows", "h", (F.col("p") - F.col("at")).alias("shift"), _pairs("p", "d").alias("dv"), _pairs("at", "i").alias("iv"))
+    items = _slots(bench, "item", "i")
+    full = near.join(_slots(texts, "rid", "d"), "rid").join(items, "item")
+    valued = full.select("rid", "item", "n_windows", "h", (F.col("p") - F.col("at")).alias("shift"), _pairs("p", "d").alias("dv"), _pairs("at", "i").alias("iv"))
     pair = F.explode_outer(F.arrays_zip("dv", "iv")).alias("slot")
-    slots = valued.where(F.size("iv") > 0).select("rid", "item_id", "shift", pair).select("rid", "item_id", "shift", F.col("slot.dv").alias("dv"), F.col("slot.iv").alias("iv")).distinct()
-    checked = slots.groupBy("rid", "item_id", "shift").agg(
+    slots = valued.where(F.size("iv") > 0).select("rid", "item", "shift", pair).select("rid", "item", "shift", F.col("slot.dv").alias("dv"), F.col("slot.iv").alias("iv")).distinct()
+    checked = slots.groupBy("rid", "item", "shift").agg(
         ((F.count(F.lit(1)) == F.countDistinct("iv")) & (F.count(F.lit(1)) == F.countDistinct("dv"))).alias("consistent"), F.max((~F.col("dv").eqNullSafe(F.col("iv"))).cast("int")).alias("changed"))
-    counted = valued.join(checked, ["rid", "item_id", "shift"], "left").where(F.coalesce("consistent", F.lit(True)))
-    found = counted.groupBy("rid", "item_id", "n_windows").agg(F.countDistinct("h").alias("n_hit"), (F.max(F.coalesce("changed", F.lit(0))) == 1).alias("reparameterised"))
+    counted = valued.join(checked, ["rid", "item", "shift"], "left").where(F.coalesce("consistent", F.lit(True)))
+    found = counted.groupBy("rid", "item", "n_windows").agg(F.countDistinct("h").alias("n_hit"), (F.max(F.coalesce("changed", F.lit(0))) == 1).alias("reparameterised"))
     found = found.where(F.col("n_hit") >= SIMILARITY * F.col("n_windows"))
-    return texts.select("rid", "doc_id").join(found, "rid").select("rid", "doc_id", "item_id", "n_windows", "n_hit", "reparameterised")
+    named = found.join(bench.select("item", "item_id"), "item").join(texts.select("rid", "doc_id"), "rid")
+    return named.select("rid", "doc_id", "item_id", "n_windows", "n_hit", "reparameterised")
 
 
 def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -120,5 +122,5 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones."""
-    bad = stage(contaminated(docs, benchmark).select(F.col("rid").alias("_rid")).distinct(), "contaminated")
-    return docs.withColumn("_rid", row_key()).join(bad, "_rid", "left_anti").select(*docs.columns)
+    bad = stage(contaminated(docs, benchmark).select("rid").distinct(), "contaminated")
+    return whole_rows(docs, rid=row_key()).join(bad, "rid", "left_anti").select("row.*")

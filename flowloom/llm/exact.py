@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stage, text_of
+from .common import stage, text_of, whole_rows
 
 #: The white space that the comparison deletes.
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -97,11 +97,10 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     Rows outside the filter are passed on where they are read; of the rest only those that stay are joined
     back, by digest and place in the preference order; of repeated rows one stays.
     """
-    columns = docs.columns
     rows = digests(docs)
     bits = filter_bits(rows.count())
-    probed = docs.withColumns({"text_sha256": digest(), "n_points": F.length(text_of())}).withColumn("_maybe", possibly_repeated(rows, bits))
-    maybe = rows.where(possibly_repeated(rows, bits)).groupBy("text_sha256").agg(F.min(_first()).alias("_best"))
-    best = maybe.select("text_sha256", F.col("_best.doc_id").alias("_id"), (-F.col("_best.a")).alias("_n"))
-    stay = probed.where("_maybe").join(best, "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("n_points") == F.col("_n")))
-    return probed.where(~F.col("_maybe")).select(*columns).unionByName(stay.dropDuplicates(["text_sha256"]).select(*columns))
+    probed = whole_rows(docs, doc_id=F.col("doc_id"), text_sha256=digest(), n_points=F.length(text_of())).withColumn("maybe", possibly_repeated(rows, bits))
+    best = rows.where(possibly_repeated(rows, bits)).groupBy("text_sha256").agg(F.min(_first()).alias("best"))
+    best = best.select("text_sha256", F.col("best.doc_id").alias("id"), (-F.col("best.a")).alias("n"))
+    stay = probed.where("maybe").join(best, "text_sha256").where(F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("n_points") == F.col("n")))
+    return probed.where("not maybe").select("row.*").unionByName(stay.dropDuplicates(["text_sha256"]).select("row.*"))

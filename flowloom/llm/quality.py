@@ -8,7 +8,7 @@ a bounded sample of labelled rows, and a temperature on rows kept apart from the
 Nulls and empty texts pool to the zero vector and get a score like any other text; rows with a null id are
 scored and never learnt from; null labels are not learnt from; repeated rows get equal scores. Without labels of
 both kinds every score is the share of label 1 (1.0 without any label: nothing is known against a text). Extra
-columns stay as they are, except that columns named like the four results are replaced.
+columns are passed over, or kept by ``keep_good``.
 """
 
 from __future__ import annotations
@@ -18,11 +18,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SUMS, add_up, byte_view, split_sums, steps, text_of, words
+from .common import SUMS, add_up, byte_view, id_remainder, split_sums, steps, text_of, whole_rows, words
 
 SLOTS, DIM, NONZERO = 1 << 14, 32, 4
 BLOCKS = 16
@@ -174,28 +175,26 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     return vectors, fit_network(x, np.array([r.y for r in rows], np.float64))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network, text: str = "text", name: str = "score") -> DataFrame:
-    """``docs`` with the score, an 8-byte float between 0 and 1."""
+def score(docs: DataFrame, vectors: np.ndarray, net: Network, text: str = "text") -> DataFrame:
+    """``row`` (all columns of ``docs``) and ``score``, between 0 and 1."""
     held = docs.sparkSession.sparkContext.broadcast((vectors, net))
-    docs = docs.drop(name)
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
+    rows = whole_rows(docs)
+    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
 
     def apply(batches):
         vec, model = held.value
         for b in batches:
-            s = model.score(pool(b.column(b.num_columns - 1), vec).astype(np.float64))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], names=[*b.schema.names[:-1], name])
+            texts = pc.fill_null(pc.struct_field(b.column(0), text), "").cast(pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(pool(texts, vec).astype(np.float64)))], names=["row", "score"])
 
-    return docs.withColumn("_bytes", text_of(text).cast("binary")).mapInArrow(apply, schema)
+    return rows.mapInArrow(apply, schema)
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; labels of held-out ids are not learnt."""
-    from .common import id_remainder
-
     vectors, net = fit(docs, labels, id_remainder(5) != 0)
     scored = score(docs.select("doc_id", "text"), vectors, net)
-    return scored.select(
+    return scored.select("row.doc_id", "score").select(
         "doc_id", F.coalesce(id_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
@@ -203,7 +202,5 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
-    from .common import id_remainder
-
     vectors, net = fit(docs, labels, id_remainder(5) != 0)
-    return score(docs, vectors, net, name="_quality").where(F.col("_quality") >= THRESHOLD).drop("_quality")
+    return score(docs, vectors, net).where(F.col("score") >= THRESHOLD).select("row.*")

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import byte_view, row_key, stage, text_of
+from .common import byte_view, row_key, stage, text_of, whole_rows
 from .components import components
 
 SHINGLE, BUDGET = 4, 4
@@ -166,6 +166,7 @@ def keep_one(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     rows = fingerprints(docs)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     firsts = rows.groupBy("fp").agg(best.alias("first")).join(classes(rows, block), "fp")
-    stay = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("_rid"))
-    keyed = docs.withColumn("_rid", row_key())
-    return keyed.join(stay, "_rid", "left_semi").dropDuplicates(["_rid"]).select(*docs.columns)
+    stay = firsts.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.rid").alias("rid"), F.col("first.doc_id").alias("id"))
+    keyed = whole_rows(docs, rid=row_key(), id=F.col("doc_id")).alias("d")
+    same = (F.col("d.rid") == F.col("s.rid")) & F.col("d.id").eqNullSafe(F.col("s.id"))
+    return keyed.join(stay.alias("s"), same, "left_semi").dropDuplicates(["rid", "id"]).select("row.*")

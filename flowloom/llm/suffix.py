@@ -28,6 +28,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -362,7 +363,7 @@ def _decide(parts: int):
     def apply(key, table):
         out = []
         for hot in (False, True):
-            cols = table.filter(pa.compute.equal(table.column("hot"), hot)).to_pydict()
+            cols = table.filter(pc.equal(table.column("hot"), hot)).to_pydict()
             if not cols["part"]:
                 continue
             gram = np.frombuffer(b"".join(cols["gram"]), np.uint64)
