@@ -26,6 +26,7 @@ from pyspark.sql import types as T
 from .common import SUMS, add_up, byte_view, id_remainder, split_sums, steps, text_of, whole_rows, words
 
 SLOTS, DIM, NONZERO = 1 << 14, 32, 4
+AGAIN = SLOTS - 1
 BLOCKS = 16
 #: Most labelled rows the network is fitted on (a sample by a hash of the id).
 FIT_ROWS = 20_000
@@ -41,11 +42,15 @@ def index_vectors(slots: int = SLOTS, dim: int = DIM, nonzero: int = NONZERO) ->
 
 
 def _slots(batch_text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """Row range, slot of each word, row of each word (from the range's first)."""
+    """Row range, slot of each word, row of each word (from the range's first). A word that repeats one of the two before it
+    counts as the word AGAIN, so that stuttering text has a word of its own."""
     off, data = byte_view(batch_text)
     for lo, hi in steps(np.diff(off)):
         h, row = words(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
-        yield lo, hi, (h % np.uint64(SLOTS)).astype(np.int64), row
+        slot = (h % np.uint64(SLOTS - 1)).astype(np.int64)
+        for k in (1, 2):
+            slot[k:][(h[k:] == h[:-k]) & (row[k:] == row[:-k])] = AGAIN
+        yield lo, hi, slot, row
 
 
 def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
