@@ -162,7 +162,7 @@ def _send_anchors(parts: int):
     return apply
 
 
-def _settle(parts: int):
+def _settle(parts: int, most: int):
     schema = _arrow(REPLIES)
 
     def apply(key, table):
@@ -185,7 +185,7 @@ def _settle(parts: int):
             _, back, n = np.unique(k, return_inverse=True, return_counts=True)
             matched |= (n[back] > 1) & (side[begin, x] > 0)
         ask = matched[of_class] & ~full
-        hot = np.bincount(of_gram[ask], minlength=of_gram[-1] + 1)[of_gram] > HOT
+        hot = np.bincount(of_gram[ask], minlength=of_gram[-1] + 1)[of_gram] > most
         said = full | ask
         code = number * 4 + np.where(full, 1, np.where(hot, 3, 2))
         return pa.Table.from_batches([_batch(_reply_rows(doc[said, 0], code[said], None, parts), schema)])
@@ -267,13 +267,12 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     """
     n = len(s) - SPAN - 8
     word = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(s, 8)).view(">u8").ravel().astype(np.uint64)
-    # smaller than its successor: the next different character is larger (the end counts as larger)
+    # smaller than its successor: the next different character is larger
     change = np.flatnonzero(s[1:n + 1] != s[:n])
     nxt = np.full(n, -1)
     nxt[change] = change
     nxt = np.minimum.accumulate(np.where(nxt < 0, n, nxt)[::-1])[::-1]
     small = np.where(nxt < n, s[np.minimum(nxt + 1, n)] > s[np.minimum(nxt, n - 1)], True)
-    small[n - 1:] = True
     # stage one: sort those directly, eight bytes at a time, going on only with ties
     order = np.flatnonzero(small)
     order = order[np.argsort(word[order], kind="stable")]
@@ -426,14 +425,14 @@ def _cut(with_text: bool):
     return apply
 
 
-def remove_repeats(docs: DataFrame, with_text: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, with_text: bool = False, part_bytes: int = PART_BYTES, hot: int = HOT) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row; with ``with_text`` also ``kept``, the bytes left."""
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST)))
     rows = docs.select("doc_id", row_key().alias("rid"), order.alias("ord"), text_of().cast("binary").alias("_t"))
     total = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
-    parts = int(min(MOST_PARTS, max(1, total // PART_BYTES)))
+    parts = int(min(MOST_PARTS, max(1, total // part_bytes)))
     homed = rows.withColumn("home", F.expr(f"cast(pmod(cast(rid as decimal(20)) + if(rid < 0, 18446744073709551616, 0), {parts}) as long)"))
-    replies = stage(rows.select("rid", "ord", "_t").mapInArrow(_send_anchors(parts), ENTRIES).groupBy("part").applyInArrow(_settle(parts), REPLIES), "settled")
+    replies = stage(rows.select("rid", "ord", "_t").mapInArrow(_send_anchors(parts), ENTRIES).groupBy("part").applyInArrow(_settle(parts, hot), REPLIES), "settled")
     texts = homed.select("home", "rid", "ord", "_t").groupBy("home")
     fetched = texts.cogroup(replies.where("home >= 0").groupBy("home")).applyInArrow(_fetch(parts), OPEN)
     decided = fetched.groupBy("part").applyInArrow(_decide(parts), REPLIES)
