@@ -47,8 +47,9 @@ def conflict_totals(conflicts: DataFrame) -> DataFrame:
 
 
 def duplicate_hash_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Repeated rows by a 64-bit row hash: rows minus distinct hashes, exact count of hashes in two steps."""
-    h = df.select(F.xxhash64(*[c(x) for x in columns]).alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n"))
+    """Repeated rows by two row hashes (96 bits): rows minus distinct hashes, exact count of hashes in two steps."""
+    cols = [c(x) for x in columns]
+    h = df.select(F.xxhash64(*cols).alias("_h"), F.hash(*cols).alias("_h2")).groupBy("_h", "_h2").agg(F.count(F.lit(1)).alias("_n"))
     return h.agg(F.sum("_n").alias("rows"), F.coalesce(F.sum(F.col("_n") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -119,7 +119,9 @@ def train_forecaster(df: DataFrame, x: str, y: str, split: str, penalties: Seque
     spark = df.sparkSession
     grams = _gram(df.where(F.col(split).isin("train", "validation")), x, y, split)
     k = len(df.select(x).first()[0]) + 1
-    sent = spark.sparkContext.broadcast((grams["train"], grams.get("validation", grams["train"])))
+    if "validation" not in grams:
+        raise ValueError("no validation rows to choose the penalty on")
+    sent = spark.sparkContext.broadcast((grams["train"], grams["validation"]))
 
     def solve(batches):
         import pandas as pd

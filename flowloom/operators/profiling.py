@@ -13,18 +13,19 @@ from ..schema import LABEL, TIMESTAMP
 from .reports import cell_report, column_report, long_form
 
 IDENTIFIERS = ["Dst Port", "Protocol"]
+MONOTONE_CELL = 100_000
 
 # Names that mark a label or a time column.
 LABEL_NAMES = ["label", "class", "attack", "attack_type", "category"]
 TIME_NAMES = ["timestamp", "time", "date", "flow start", "starttime"]
 
 
-def detect_column(columns: Sequence[str], names: Sequence[str]) -> str | None:
-    """First column whose trimmed lower-case name is in ``names``, else the first containing one of them."""
-    low = [(x, x.strip().lower()) for x in columns]
-    exact = [x for x, y in low if y in names]
-    part = [x for x, y in low if any(n in y for n in names)]
-    return (exact + part + [None])[0]
+def detect_cell(cells: str, names: Sequence[str]) -> Column:
+    """First cell of a header whose trimmed lower-case text is in ``names``, else the first containing one of them."""
+    low = lambda x: F.lower(F.trim(x))
+    exact = F.filter(cells, lambda x: low(x).isin(*names))
+    part = F.filter(cells, lambda x: F.exists(F.array(*[F.lit(n) for n in names]), lambda n: low(x).contains(n)))
+    return F.get(F.concat(exact, part), F.lit(0))
 
 
 def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -173,7 +174,8 @@ def time_report(df: DataFrame, ts: str, row_id: str) -> DataFrame:
     """Span, distinct times, repeated times, observations per time (exact median) and whether the row order is
     non-decreasing in time.
 
-    Monotony needs no sort: neighbours of a dense row id are compared by an equi-join on id + 1.
+    Rows are compared inside cells of ids, then each cell's last row with the next cell's first, so gaps between ids
+    do not hide a step back and no task sees more than a cell, or one row per cell.
     """
     obs = F.col("obs")
     per = df.groupBy(ts).agg(F.count(F.lit(1)).alias("obs"))
@@ -183,9 +185,12 @@ def time_report(df: DataFrame, ts: str, row_id: str) -> DataFrame:
         F.coalesce(F.sum(F.when(obs > 1, obs)), F.lit(0)).alias("rows_at_repeated_ts"),
         F.min(obs).alias("obs_min"), F.max(obs).alias("obs_max"), F.round(F.avg(obs), 4).alias("obs_mean"))
     med = exact_percentiles(per, "obs", {"obs_median": 0.5})
-    cur = df.select(F.col(row_id).alias("_i"), F.col(ts).alias("_t"))
-    nxt = df.select((F.col(row_id) - 1).alias("_i"), F.col(ts).alias("_t1"))
-    mono = cur.join(nxt, "_i").agg((F.count_if(F.col("_t1") < F.col("_t")) == 0).alias("monotonic"))
+    rows = df.select(F.col(row_id).alias("_i"), F.col(ts).alias("_t"), F.floor(F.col(row_id) / MONOTONE_CELL).alias("_cell"))
+    back = lambda w: F.coalesce(F.col("_t") < F.lag("_t").over(w), F.lit(False))
+    inside = rows.withColumn("_back", back(Window.partitionBy("_cell").orderBy("_i")))
+    cells = inside.groupBy("_cell").agg(F.count_if("_back").alias("_n"), F.min_by("_t", "_i").alias("_t"), F.max_by("_t", "_i").alias("_last"))
+    step = F.coalesce(F.col("_t") < F.lag("_last").over(Window.orderBy("_cell")), F.lit(False))
+    mono = cells.select("_n", step.alias("_back")).agg((F.coalesce(F.sum(F.col("_n") + F.col("_back").cast("long")), F.lit(0)) == 0).alias("monotonic"))
     return base.crossJoin(F.broadcast(med)).crossJoin(F.broadcast(mono))
 
 

@@ -57,5 +57,5 @@ def class_weights(df: DataFrame, label: str, name: str = "weight") -> DataFrame:
     """Balanced weights n / (classes * n_c); the counts are one row per class."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_c"))
     tot = per.agg(F.sum("_c").alias("_n"), F.count(F.lit(1)).alias("_k"))
-    w = per.crossJoin(F.broadcast(tot)).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias(name))
-    return df.join(F.broadcast(w), label)
+    w = per.crossJoin(F.broadcast(tot)).select(F.col(label).alias("_l"), (F.col("_n") / (F.col("_k") * F.col("_c"))).alias(name))
+    return df.join(w, df[label].eqNullSafe(F.col("_l"))).drop("_l")  # a missing label is a class of its own

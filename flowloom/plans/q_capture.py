@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators.cleaning import column_contract as contract
-from ..operators.flows import PACKET_FIELDS, missing_packet_fields
+from ..operators.flows import missing_packet_fields
 from ..schema import EXCLUDED, FEATURES, RAW_COLUMNS
 from ..sources import captures as cap
 from . import mapping as m
@@ -62,17 +61,30 @@ def scan_pcap_malformed(spark, d):
     return cap.malformed(cap.decode(files)).select("capture", F.col("index").cast("int").alias("frame"), "reason")
 
 
-@query("contract_packet_fields", "SELECT count(*) AS packets, '' AS missing FROM events")
+@query("contract_packet_fields", f"""WITH {m.packets_sql()} SELECT count(*) AS packets, count("index") AS "index", count(timestamp_us) AS timestamp_us, count(src_ip) AS src_ip, count(dst_ip) AS dst_ip,
+count(protocol) AS protocol, count(src_port) AS src_port, count(dst_port) AS dst_port, count(tcp_flags) AS tcp_flags FROM packets""")
 def contract_packet_fields(spark, d):
+    """How many packets have each field; a table that lacks one fails."""
     p = m.packets(spark, d)
-    gone = ",".join(missing_packet_fields(p))
-    return p.select(*[x for x in PACKET_FIELDS if x in p.columns]).agg(F.count(F.lit(1)).alias("packets")).withColumn("missing", F.lit(gone))
+    gone = missing_packet_fields(p)
+    if gone:
+        raise ValueError(f"packet fields missing: {gone}")
+    fields = ["index", "timestamp_us", "src_ip", "dst_ip", "protocol", "src_port", "dst_port", "tcp_flags"]
+    return p.agg(F.count(F.lit(1)).alias("packets"), *[F.count(x).alias(x) for x in fields])
 
 
-@query("column_contract", "SELECT count(*) AS rows, true AS covered, '' AS problems FROM events")
+_PLAN = [*FEATURES, "Protocol", "Dst Port", "Timestamp", *EXCLUDED, "Label"]
+
+
+@query("column_contract", f"""WITH {m.raw_text_sql(RAW_COLUMNS)}, h AS (SELECT * FROM rawt WHERE "Label" = 'Label'),
+cell AS (UNPIVOT h ON COLUMNS(* EXCLUDE row_id) INTO NAME place VALUE v), n AS (SELECT row_id, count(*) AS cells, count(DISTINCT v) AS names, count(*) FILTER (WHERE v = place) AS planned FROM cell GROUP BY 1)
+SELECT count(*) AS headers, count(*) FILTER (WHERE cells = 80 AND names = 80 AND planned = 80) AS covered, count(*) FILTER (WHERE planned < 80) AS incomplete FROM n""")
 def column_contract(spark, d):
-    raw = m.raw_text(spark, d).drop("row_id")
-    problems = contract(raw.columns, FEATURES + ["Protocol"], ["Dst Port", "Timestamp"], EXCLUDED + ["Label"])
-    assert len(RAW_COLUMNS) == 80
-    return raw.agg(F.count(F.lit(1)).alias("rows")).select(
-        "rows", F.lit(not problems).alias("covered"), F.lit("; ".join(problems)).alias("problems"))
+    """Header lines among the rows, held against the feature plan: each planned column must be there exactly once."""
+    from .q_profile import _header_rows
+
+    h = _header_rows(spark, d)
+    plan = F.array(*[F.lit(x) for x in _PLAN])
+    missing, surplus = F.size(F.array_except(plan, "cells")), F.size(F.array_except("cells", plan))
+    exact = (missing == 0) & (surplus == 0) & (F.size("cells") == len(_PLAN))
+    return h.agg(F.count(F.lit(1)).alias("headers"), F.count_if(exact).alias("covered"), F.count_if(missing > 0).alias("incomplete"))

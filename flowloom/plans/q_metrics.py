@@ -152,13 +152,13 @@ def trajectory_stats(spark, d):
 # Probabilities of one sequence at several horizons: missing where the horizon leaves its segment.
 HP = "CAST((e * 7919 + u * 104729 + k * 31 + horizon * 977) % 1001 AS DOUBLE) / 1000.0E0"
 HY = "CASE WHEN (CAST(floor(value) AS BIGINT) + horizon) % 3 = 0 THEN 1 ELSE 0 END"
-HORIZON_SQL = f"{m._RAW_SQL}, hs AS (SELECT e AS sequence_id, horizon, {HP} AS p, {HY} AS y, k, t, u FROM raw, (VALUES (1), (2), (3), (5)) h(horizon) WHERE k >= 4 * horizon)"
+HORIZON_SQL = f"{m._RAW_SQL}, hs AS (SELECT e AS sequence_id, horizon, {HP} AS p, {HY} AS y, k, t, u FROM raw, (VALUES (1), (2), (3), (5)) h(horizon))"
 
 
 def horizon_scores(spark, d):
     base = m.table(spark, d, "events").selectExpr(
         "event_id AS e", "user_id AS u", "event_type AS t", "value", "CAST(get_json_object(props, '$.k') AS INT) AS k")
-    return base.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS]))).where("k >= 4 * horizon").selectExpr(
+    return base.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in HORIZONS]))).selectExpr(
         "e AS sequence_id", "horizon", f"{HP} AS p", f"{HY} AS y", "k", "t", "u")
 
 

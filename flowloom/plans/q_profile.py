@@ -48,40 +48,47 @@ def describe(spark, d):
     return _r(_r(t, ["mean", "std"], 5), ["p25", "p50", "p75"], 6)
 
 
-@query("profile_csv", f"""WITH {m.raw_text_sql([TIMESTAMP, LABEL, "Flow Byts/s", "Active Min"])},
-x AS (SELECT 'Flow Byts/s' AS column_name, "Flow Byts/s" AS v FROM rawt UNION ALL SELECT 'Active Min', "Active Min" FROM rawt)
-SELECT column_name, count(*) AS rows, count(*) FILTER (WHERE v IS NULL OR trim(v) = '') AS missing, count(*) FILTER (WHERE trim(v) <> '' AND NOT coalesce(isfinite(TRY_CAST(v AS DOUBLE)), false)) AS numeric_issues,
-(SELECT count(DISTINCT "Label") FROM rawt) AS labels, 0 AS malformed_rows FROM x GROUP BY 1""")
-def profile_csv(spark, d):
-    """Profile of a written CSV: row, missing and numeric-issue counts per column, labels, malformed lines."""
-    from .q_tables import _staged_csv
+_PROFILED = [x for x in RAW_COLUMNS if x not in (TIMESTAMP, LABEL)]
+
 
-    path = _staged_csv(spark, d)
-    raw = tb.read_flow_csv(spark, path)
-    cols = ["Flow Byts/s", "Active Min"]
+@query("profile_csv", f"""WITH {m.raw_text_sql(RAW_COLUMNS)},
+x AS (UNPIVOT (SELECT {", ".join(f'"{x}"' for x in _PROFILED)} FROM rawt) ON COLUMNS(*) INTO NAME column_name VALUE v)
+SELECT column_name, count(*) AS rows, count(*) FILTER (WHERE trim(v) = '') AS missing, count(*) FILTER (WHERE trim(v) <> '' AND NOT coalesce(isfinite(TRY_CAST(v AS DOUBLE)), false)) AS numeric_issues,
+(SELECT count(DISTINCT "Label") FROM rawt) AS labels, (SELECT count(*) FROM events WHERE event_id % 307 = 5 OR event_id % 311 = 6) AS malformed_rows FROM x GROUP BY 1""")
+def profile_csv(spark, d):
+    """Profile of written CSV files: row, missing and numeric-issue counts of all columns, labels, malformed lines."""
     from ..operators.reports import column_report
+    from .q_tables import _staged_csv
 
+    raw = tb.read_flow_csv(spark, _staged_csv(spark, d))
     bad = lambda x: ~F.coalesce(F.abs(c(x).try_cast("double")) < float("inf"), F.lit(False))
     empty = lambda x: c(x).isNull() | (F.trim(c(x)) == "")
-    rep = column_report(raw, cols, {"rows": lambda x: F.count(F.lit(1)), "missing": lambda x: F.count_if(empty(x)),
-                                    "numeric_issues": lambda x: F.count_if(~empty(x) & bad(x))})
-    labels = raw.select(c(LABEL)).distinct().agg(F.count(LABEL).alias("labels"))
-    lines = tb.read_csv_lines(spark, path).agg(
-        F.count_if(F.size(F.split("value", ",", -1)) != len(RAW_COLUMNS)).alias("malformed_rows"))
+    good = tb.good_rows(raw)
+    rep = column_report(good, _PROFILED, {"rows": lambda x: F.count(F.lit(1)), "missing": lambda x: F.count_if(empty(x)),
+                                          "numeric_issues": lambda x: F.count_if(~empty(x) & bad(x))})
+    labels = good.select(c(LABEL)).distinct().agg(F.count(LABEL).alias("labels"))
+    lines = tb.rejected_lines(raw).agg(F.count(F.lit(1)).alias("malformed_rows"))
     return rep.crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(lines))
 
 
-@query("name_detect", "SELECT 'event_type' AS label_like, 'ts' AS ts_like, 'Label' AS label_column, 'Timestamp' AS timestamp_column FROM (SELECT count(*) FROM events)")
-def name_detect(spark, d):
+_HEADERS = f"""{m.raw_text_sql([DST_PORT, TIMESTAMP, LABEL, "Flow Byts/s"])}, h AS (SELECT row_id, "Dst Port" AS a, "Timestamp" AS b, "Label" AS c, "Flow Byts/s" AS d FROM rawt WHERE "Label" = 'Label')"""
+
+
+def _header_rows(spark, d):
+    """Header lines that stand among the data, each with its cells."""
     raw = m.raw_text(spark, d)
-    ev = m.table(spark, d, "events")
-    found = [pf.detect_column(ev.columns, ["event_type"]), pf.detect_column(ev.columns, ["ts"]),
-             pf.detect_column(raw.columns, pf.LABEL_NAMES), pf.detect_column(raw.columns, pf.TIME_NAMES)]
-    names = ["label_like", "ts_like", "label_column", "timestamp_column"]
-    return ev.agg(F.count(F.lit(1)).alias("_n")).select(*[F.lit(v).alias(n) for v, n in zip(found, names)])
+    return raw.where(c(LABEL) == LABEL).select("row_id", F.array(*[c(x) for x in RAW_COLUMNS]).alias("cells"))
+
+
+@query("name_detect", f"WITH {_HEADERS} SELECT c AS label_column, b AS timestamp_column, count(*) AS headers FROM h GROUP BY 1, 2")
+def name_detect(spark, d):
+    """Label and time column of every header line found among the rows."""
+    h = _header_rows(spark, d)
+    return h.select(pf.detect_cell("cells", pf.LABEL_NAMES).alias("label_column"), pf.detect_cell("cells", pf.TIME_NAMES).alias("timestamp_column")).groupBy(
+        "label_column", "timestamp_column").agg(F.count(F.lit(1)).alias("headers"))
 
 
-CONST = ["ECE Flag Cnt", "Active Min", "Tot Fwd Pkts", "Flow Byts/s", "Flow Duration"]
+CONST = FEATURES
 
 
 @query("constant_columns", f"""WITH {m.flows_sql(CONST)}, f AS ({" UNION ALL ".join(f"SELECT '{x}' AS column_name, CAST(" + '"' + x + '"' + f" AS VARCHAR) AS v, count(*) AS n FROM flows GROUP BY 2" for x in CONST)}),
@@ -111,7 +118,7 @@ def identifier_purity(spark, d):
     return _r(pf.identifier_purity(m.flows(spark, d, ["dst_port", "label"]), "dst_port", "label"), ["weighted_purity"])
 
 
-CORR = ["Flow Duration", "Flow Byts/s", "Flow Pkts/s", "Tot Fwd Pkts", "Subflow Fwd Pkts", "TotLen Fwd Pkts", "Fwd Pkt Len Mean", "Fwd Seg Size Avg", "Pkt Len Mean", "Active Min", "SYN Flag Cnt"]
+CORR = FEATURES
 _fin = lambda x: f'(CASE WHEN isfinite(CAST("{x}" AS DOUBLE)) THEN CAST("{x}" AS DOUBLE) END)'
 _corr1 = " UNION ALL ".join(f"SELECT '{x}' AS column_name, corr({_fin(x)}, CASE WHEN label = 'Infilteration' THEN 1.0E0 ELSE 0.0E0 END) AS correlation, min({_fin(x)}) < max({_fin(x)}) AS varies FROM flows" for x in CORR)
 
@@ -123,18 +130,18 @@ def feature_label_corr(spark, d):
 
 
 _pairs = [(a, b) for i, a in enumerate(CORR) for b in CORR[i + 1:]]
-_corr2 = " UNION ALL ".join(f"SELECT '{a}' AS column_a, '{b}' AS column_b, corr({_fin(a)}, {_fin(b)}) AS correlation FROM flows" for a, b in _pairs)
+_corr2 = ", ".join(f"{{'column_a': '{a}', 'column_b': '{b}', 'correlation': corr(\"{a}\", \"{b}\")}}" for a, b in _pairs)
 
 
-@query("corr_pairs", f"WITH {m.flows_sql(CORR)}, r AS ({_corr2}) SELECT column_a, column_b, round(correlation, 6) AS correlation FROM r WHERE NOT isnan(correlation) AND abs(correlation) >= 0.95")
+@query("corr_pairs", f"WITH {m.flows_sql(CORR)}, z AS (SELECT {', '.join(f'{_fin(x)} AS {chr(34)}{x}{chr(34)}' for x in CORR)} FROM flows), r AS (SELECT unnest([{_corr2}], recursive := true) FROM z) SELECT column_a, column_b, round(correlation, 6) AS correlation FROM r WHERE NOT isnan(correlation) AND abs(correlation) >= 0.95")
 def corr_pairs(spark, d):
     return _r(pf.correlated_pairs(m.flows(spark, d, CORR), CORR), ["correlation"])
 
 
-CLASSED = [TIMESTAMP, LABEL, DST_PORT, PROTOCOL, "ECE Flag Cnt", "Active Min", "Tot Fwd Pkts", "Flow Duration"]
+CLASSED = [TIMESTAMP, LABEL, DST_PORT, PROTOCOL, *FEATURES]
 
 
-@query("classify_columns", f"""WITH {m.flows_sql(["ECE Flag Cnt", "Active Min", "Tot Fwd Pkts", "Flow Duration"])}, s AS ({" UNION ALL ".join(f"SELECT '{x}' AS column_name, (SELECT count(DISTINCT " + '"' + x + '"' + f") FROM flows) AS u, (SELECT max(n) FROM (SELECT count(*) AS n FROM flows GROUP BY " + '"' + x + '"' + ")) / CAST((SELECT count(*) FROM flows) AS DOUBLE) AS share" for x in CLASSED[4:])})
+@query("classify_columns", f"""WITH {m.flows_sql(FEATURES)}, s AS ({" UNION ALL ".join(f"SELECT '{x}' AS column_name, (SELECT count(DISTINCT " + '"' + x + '"' + f") FROM flows) AS u, (SELECT max(n) FROM (SELECT count(*) AS n FROM flows GROUP BY " + '"' + x + '"' + ")) / CAST((SELECT count(*) FROM flows) AS DOUBLE) AS share" for x in CLASSED[4:])})
 SELECT column_name, CASE WHEN u <= 1 OR share >= 0.99 THEN 'CONSTANT_OR_NEAR_CONSTANT' ELSE 'NETWORK_FEATURE' END AS category, NOT (u <= 1 OR share >= 0.99) AS core FROM s
 UNION ALL SELECT * FROM (VALUES ('Timestamp', 'TIMESTAMP', false), ('Label', 'TARGET', false), ('Dst Port', 'NETWORK_IDENTIFIER', false), ('Protocol', 'NETWORK_IDENTIFIER', true))""")
 def classify_columns(spark, d):

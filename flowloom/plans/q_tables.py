@@ -8,7 +8,7 @@ from ..functions.numeric import c, minmax_scaled
 from ..operators import cleaning as cl
 from ..operators import dedup as dd
 from ..operators import profiling as pf
-from ..schema import ATTACK, BENIGN, DST_PORT, FEATURES, LABEL, PROTOCOL, RAW_COLUMNS, TIMESTAMP
+from ..schema import ATTACK, BENIGN, DST_PORT, EXCLUDED, FEATURES, INT_FEATURES, LABEL, PROTOCOL, RAW_COLUMNS, REAL_FEATURES, STATE, TIMESTAMP
 from ..sources import tables as tb
 from . import mapping as m
 from .registry import query
@@ -17,22 +17,37 @@ DAY = "CAST(capture_day AS VARCHAR)"
 
 
 def _staged_csv(spark, d):
+    """The raw table as files of two column orders, among them files with lines that are too short or too long."""
     path = tb.staging_dir(spark, "flows_csv")
-    raw = m.raw_text(spark, d).withColumn("capture_day", F.lit("all"))
-    raw.select(*[c(x) for x in RAW_COLUMNS], "capture_day").write.partitionBy("capture_day").option("header", True).csv(path)
+    raw = m.raw_text(spark, d).withColumn("Extra", F.lit("a, b"))
+    orders = {"all": RAW_COLUMNS, "turned": [*RAW_COLUMNS[40:], "Extra", *RAW_COLUMNS[:40]]}
+    for i, (name, columns) in enumerate(orders.items()):
+        day = f"{path}/capture_day={name}"
+        raw.where(F.col("row_id") % 2 == i).select(*[c(x) for x in columns]).write.option("header", True).csv(day)
+    short = F.when(F.col("row_id") % 307 == 5, "cut, short").when(F.col("row_id") % 311 == 6, ",".join(["0"] * len(RAW_COLUMNS) + ["one,more"]))
+    # a CSV writer cannot write such lines: they go out as one-column lines under a header of the right names
+    faulty = raw.select(short.alias(",".join(RAW_COLUMNS))).where(F.col(f"`{','.join(RAW_COLUMNS)}`").isNotNull())
+    faulty.write.option("header", True).option("sep", "\t").option("quote", "").csv(f"{path}/capture_day=faulty")
     return path
 
 
-SCAN_COLS = [DST_PORT, TIMESTAMP, "Flow Byts/s", "Tot Fwd Pkts", LABEL]
+SCAN = [DST_PORT, PROTOCOL, TIMESTAMP, *INT_FEATURES, *EXCLUDED, LABEL]
+_scan_real = ", ".join(f'TRY_CAST("{x}" AS DOUBLE) AS "{x}"' for x in REAL_FEATURES)
 
 
-@query("scan_csv_flows", f"""WITH {m.raw_text_sql([DST_PORT, TIMESTAMP, "Tot Fwd Pkts", LABEL])}
-SELECT "Dst Port" AS port, "Timestamp" AS ts_text, "Tot Fwd Pkts" AS fwd, "Label" AS label_text, count(*) AS n
-FROM rawt GROUP BY ALL""")
+@query("scan_csv_flows", f"""WITH {m.raw_text_sql(RAW_COLUMNS)}
+SELECT {", ".join(f'"{x}"' for x in SCAN)}, {_scan_real} FROM rawt""")
 def scan_csv_flows(spark, d):
-    df = tb.read_flow_csv(spark, _staged_csv(spark, d))
-    return df.groupBy(c(DST_PORT).alias("port"), c(TIMESTAMP).alias("ts_text"), c("Tot Fwd Pkts").alias("fwd"),
-                      c(LABEL).alias("label_text")).agg(F.count(F.lit(1)).alias("n"))
+    """All 80 columns of files with two column orders; the real-valued ones as numbers, as engines spell them differently."""
+    df = tb.good_rows(tb.read_flow_csv(spark, _staged_csv(spark, d)))
+    return df.select(*[c(x) for x in SCAN], *[c(x).try_cast("double").alias(x) for x in REAL_FEATURES])
+
+
+@query("scan_csv_rejects", """SELECT CASE WHEN event_id % 307 = 5 THEN 'short' ELSE 'long' END AS kind, count(*) AS n FROM events
+WHERE event_id % 307 = 5 OR event_id % 311 = 6 GROUP BY 1""")
+def scan_csv_rejects(spark, d):
+    lines = tb.rejected_lines(tb.read_flow_csv(spark, _staged_csv(spark, d)))
+    return lines.groupBy(F.when(F.col("line") == "cut, short", "short").when(F.col("line").endswith(",one,more"), "long").alias("kind")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("scan_csv_chunked", f"""WITH {m.raw_text_sql([LABEL, TIMESTAMP, "Flow Byts/s"])}
@@ -41,7 +56,7 @@ SELECT "Label" AS label_text, count(*) AS row_count, count(DISTINCT "Timestamp")
  CAST(sum(CASE WHEN "Flow Byts/s" = 'Infinity' THEN 1 ELSE 0 END) AS BIGINT) AS inf_text
 FROM rawt GROUP BY 1""")
 def scan_csv_chunked(spark, d):
-    df = tb.read_flow_csv(spark, _staged_csv(spark, d))
+    df = tb.good_rows(tb.read_flow_csv(spark, _staged_csv(spark, d)))
     return df.groupBy(c(LABEL).alias("label_text")).agg(
         F.count(F.lit(1)).alias("row_count"), F.count_distinct(c(TIMESTAMP)).alias("distinct_ts"),
         F.count_if(c("Flow Byts/s") == "NaN").alias("nan_text"), F.count_if(c("Flow Byts/s") == "Infinity").alias("inf_text"))
@@ -203,7 +218,6 @@ def minmax_normalize(spark, d):
 
 # ---- duplicates ------------------------------------------------------------------------------------------
 
-DUP = ["user_id", "event_type", "k"]
 _DUP_SQL = "dup AS (SELECT user_id, event_type, json_extract_string(props, '$.k') AS k FROM events)"
 
 
@@ -211,16 +225,29 @@ def _dup(spark, d):
     return m.table(spark, d, "events").select("user_id", "event_type", F.get_json_object("props", "$.k").alias("k"))
 
 
-@query("dedup_full_row", f"WITH {_DUP_SQL} SELECT DISTINCT * FROM dup")
+FULL = ["timestamp", "label", "dst_port", *STATE]
+_FULL_COLS = ", ".join(f'"{x}"' for x in FULL)
+_FULL_SQL = f"""{m.states_sql()}, whole AS (SELECT {_FULL_COLS} FROM states UNION ALL SELECT {_FULL_COLS} FROM states WHERE row_id % 10 = 3 UNION ALL SELECT {_FULL_COLS} FROM states WHERE row_id % 30 = 3)"""
+_FULL_GROUPS = f"g AS (SELECT count(*) AS n FROM whole GROUP BY {_FULL_COLS})"
+
+
+def _whole(spark, d):
+    """Every column of the flow states, with a tenth of the rows once and a thirtieth twice more."""
+    s = m.states(spark, d)
+    rows = F.explode(F.when(F.col("row_id") % 30 == 3, F.array_repeat(F.lit(1), 3)).when(F.col("row_id") % 10 == 3, F.array_repeat(F.lit(1), 2)).otherwise(F.array(F.lit(1))))
+    return s.withColumn("_copy", rows).select(*[c(x) for x in FULL])
+
+
+@query("dedup_full_row", f"WITH {_FULL_SQL} SELECT DISTINCT * FROM whole")
 def dedup_full_row(spark, d):
-    return dd.drop_full_duplicates(_dup(spark, d), DUP)
+    return dd.drop_full_duplicates(_whole(spark, d), FULL)
 
 
-@query("dup_stats", f"""WITH {_DUP_SQL}, g AS (SELECT count(*) AS n FROM dup GROUP BY user_id, event_type, k)
+@query("dup_stats", f"""WITH {_FULL_SQL}, {_FULL_GROUPS}
 SELECT CAST(coalesce(sum(n - 1) FILTER (WHERE n > 1), 0) AS BIGINT) AS extra_rows, CAST(coalesce(sum(n) FILTER (WHERE n > 1), 0) AS BIGINT) AS rows_involved,
 count(*) FILTER (WHERE n > 1) AS groups FROM g""")
 def dup_stats(spark, d):
-    return dd.duplicate_stats(_dup(spark, d), DUP)
+    return dd.duplicate_stats(_whole(spark, d), FULL)
 
 
 @query("label_conflicts", f"""WITH {_DUP_SQL} SELECT user_id, k, count(DISTINCT event_type) AS labels, count(*) AS rows,
@@ -229,10 +256,10 @@ def label_conflicts(spark, d):
     return dd.label_conflicts(_dup(spark, d), ["user_id", "k"], "event_type")
 
 
-@query("dup_hash", f"""WITH {_DUP_SQL}, g AS (SELECT count(*) AS n FROM dup GROUP BY user_id, event_type, k)
+@query("dup_hash", f"""WITH {_FULL_SQL}, {_FULL_GROUPS}
 SELECT CAST(sum(n) AS BIGINT) AS rows, CAST(sum(n - 1) AS BIGINT) AS duplicate_rows FROM g""")
 def dup_hash(spark, d):
-    return dd.duplicate_hash_count(_dup(spark, d), DUP)
+    return dd.duplicate_hash_count(_whole(spark, d), FULL)
 
 
 @query("distinct_pairs", f"WITH {m.flows_sql(['label', 'protocol'])} SELECT DISTINCT label, protocol FROM flows")

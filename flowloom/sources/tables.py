@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import csv
 import tempfile
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..schema import RAW_SCHEMA
+from ..schema import RAW_COLUMNS
 from ..session import checkpoint_dir
 
 
@@ -24,9 +26,60 @@ def staging_dir(spark: SparkSession, name: str) -> str:
     return tempfile.mkdtemp(prefix="spark-") + f"/{name}"
 
 
-def read_flow_csv(spark: SparkSession, path: str, schema: T.StructType = RAW_SCHEMA) -> DataFrame:
-    """A day folder (or a tree of capture_day=… folders) of flow CSV files, untyped: nothing is inferred."""
-    return spark.read.schema(schema).option("header", True).option("mode", "PERMISSIVE").csv(path)
+#: Holds the whole line where it has too few or too many fields.
+CORRUPT = "_corrupt_line"
+
+
+def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
+    """Files below ``path`` by their header line. One small job per file reads its first line; day files are few."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
+    groups: dict[tuple[str, ...], list[str]] = {}
+    for row in listed.select("path").collect():
+        first = spark.read.text(row.path).first()
+        if first is not None:
+            names = tuple(x.strip() for x in next(csv.reader([first[0]])))
+            groups.setdefault(names, []).append(row.path)
+    return groups
+
+
+def read_flow_csv(spark: SparkSession, path: str, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:
+    """A day folder (or a tree of capture_day=… folders) of flow CSV files, as text: nothing is inferred.
+
+    Columns are bound by the header of each file, whatever its order; surplus columns are left out, a missing or
+    repeated one fails with the file's name. Lines with another number of fields than their header are kept
+    with their whole text in ``_corrupt_line``: ``good_rows`` and ``rejected_lines`` part the two.
+    """
+    groups = csv_headers(spark, path)
+    for names, files in groups.items():
+        wrong = [x for x in columns if names.count(x) != 1]
+        if wrong:
+            raise ValueError(f"{files[0]}: columns missing or repeated: {wrong}")
+    out = None
+    for names, files in groups.items():
+        unique = [n if names.count(n) == 1 else f"{n} {i}" for i, n in enumerate(names)]
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in [*unique, CORRUPT]])
+        reader = spark.read.schema(schema).option("header", True).option("enforceSchema", True).option("mode", "PERMISSIVE")
+        # without pruning a line's fields are counted whichever columns are asked for
+        part = reader.option("columnNameOfCorruptRecord", CORRUPT).option("columnPruning", False).option("basePath", path).csv(files)
+        days = [x for x in part.columns if x not in unique and x != CORRUPT]
+        part = part.select(*[F.col(f"`{x}`") for x in [*columns, *days]], CORRUPT)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], T.StructType([T.StructField(n, T.StringType()) for n in [*columns, CORRUPT]]))
+    return out
+
+
+def good_rows(raw: DataFrame) -> DataFrame:
+    return raw.where(F.col(CORRUPT).isNull()).drop(CORRUPT)
+
+
+def rejected_lines(raw: DataFrame) -> DataFrame:
+    """Unreadable lines as they stand in the file.
+
+    Spark refuses a plan that reads nothing but the corrupt-line column, so the condition looks at a second one.
+    """
+    both = F.length(F.concat_ws("", CORRUPT, F.col(f"`{raw.columns[0]}`"))) >= 0
+    return raw.where(F.col(CORRUPT).isNotNull() & both).select(F.col(CORRUPT).alias("line"))
 
 
 def read_csv_lines(spark: SparkSession, path: str) -> DataFrame:
