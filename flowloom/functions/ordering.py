@@ -57,31 +57,40 @@ def halo_window(by: Sequence[str], id_col: str):
     return Window.partitionBy(*by, "_chunk").orderBy(id_col)
 
 
-def _range_bounds(df: DataFrame, by: str | None, value: str, ranges: int, small: int) -> dict:
-    """At most ``ranges`` approximate quantiles per group, none where the distinct values are few.
+#: Distinct values that one range of ``value_cdf`` holds, about; and the most ranges a group is cut into.
+RANGE_VALUES, MOST_RANGES = 250_000, 2_000
 
-    One pass, a few numbers per group; groups are metric, feature or horizon names, so they are few.
+
+def _range_bounds(df: DataFrame, by: str | None, value: str, per_range: int) -> dict:
+    """Approximate quantiles per group that cut it into ranges of about ``per_range`` distinct values.
+
+    The number of ranges grows with the values (up to MOST_RANGES, then ranges grow); what reaches the driver is these
+    numbers, for groups that are metric, feature or horizon names.
     """
-    probs = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    sketch = [F.percentile_approx(value, probs, F.lit(1000)).alias("b"), F.approx_count_distinct(value).alias("d")]
-    rows = df.groupBy(F.col(by) if by else F.lit("").alias("g")).agg(*sketch).collect()
-    return {r[0]: sorted(set(r["b"] or [])) if r["d"] > small else [] for r in rows}
+    key = F.col(by) if by else F.lit("").alias("g")
+    sizes = df.groupBy(key).agg(F.approx_count_distinct(value).alias("d")).collect()
+    ranges = {r[0]: max(1, min(MOST_RANGES, -(-r["d"] // per_range))) for r in sizes}
+    most = max(ranges.values(), default=1)
+    if most == 1:
+        return {g: [] for g in ranges}
+    probs = F.array(*[F.lit(i / most) for i in range(1, most)])
+    rows = df.groupBy(key).agg(F.percentile_approx(value, probs, F.lit(10 * most)).alias("b")).collect()
+    return {r[0]: sorted(set(r["b"][:: -(-most // ranges[r[0]])] if ranges[r[0]] > 1 and r["b"] else [])) for r in rows}
 
 
 def value_cdf(df: DataFrame, value: str, sums: dict[str, Column] | None = None, by: str | None = None,
-              ranges: int = 64, small: int = 2_000_000) -> DataFrame:
+              per_range: int = RANGE_VALUES) -> DataFrame:
     """One row per (by, distinct value): count ``n``, counts ``below`` and ``all_n``, and for each entry of
     ``sums`` its total ``s``, running total before the value ``s_below`` and overall total ``s_all``.
 
-    The split points are fetched once as plain numbers, so a retried task sees the same ranges. Groups
-    with at most about ``small`` distinct values keep a single range.
+    The split points are fetched once as plain numbers, so a retried task sees the same ranges.
     """
     sums = sums or {}
     g = [by] if by else []
     merged = df.where(F.col(value).isNotNull()).groupBy(*g, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(e).alias(k) for k, e in sums.items()]
     )
-    bounds = _range_bounds(df.where(F.col(value).isNotNull()), by, value, ranges, small)
+    bounds = _range_bounds(df.where(F.col(value).isNotNull()), by, value, per_range)
     ranged = _assign_range(merged, by, value, bounds)
     inside = Window.partitionBy(*g, "_r").orderBy(value)
     across = Window.partitionBy(*g).orderBy("_r")

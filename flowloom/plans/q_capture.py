@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..operators.flows import missing_packet_fields
 from ..schema import EXCLUDED, FEATURES, RAW_COLUMNS
 from ..sources import captures as cap
+from ..sources.tables import staging_dir
 from . import mapping as m
 from .registry import query
 
@@ -49,6 +50,29 @@ def scan_pcap(spark, d):
     return cap.packets(cap.decode(capture_files(spark, d))).select("capture", *_FIELDS)
 
 
+_FILES = "capture_no, count(*) AS frames, CAST(sum(ip_total_len) AS BIGINT) AS bytes, CAST(sum(payload_len) AS BIGINT) AS payload, min(timestamp_us) AS first_us, max(timestamp_us) AS last_us, count(tcp_flags) AS tcp"
+
+
+@query("scan_pcap_files", f"""WITH {m.packets_sql()}, p AS (SELECT *, "index" // 500 AS capture_no FROM packets), good AS (SELECT {_FILES} FROM p GROUP BY 1),
+n AS (SELECT DISTINCT capture_no FROM p)
+SELECT good.*, CASE WHEN capture_no % 3 = 1 THEN 'record: header cut short' WHEN capture_no % 3 = 2 THEN 'record: data cut short' END AS reason FROM good JOIN n USING (capture_no)""")
+def scan_pcap_files(spark, d):
+    """Captures of many packets, stored and read back; a third ends in half a record header, a third in half a record."""
+    one = capture_files(spark, d).select(F.col("capture").cast("long").alias("i"), F.col("content"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", F.hex(F.substring("content", 25, 1 << 20)).alias("x")))), lambda r: r["x"]), "")
+    head = F.lit("d4c3b2a1020004000000000000000000ffff000001000000")
+    tail = F.when(F.col("no") % 3 == 1, "0000000000000000ff").when(F.col("no") % 3 == 2, "000000000000000010000000100000000102").otherwise("")
+    files = one.groupBy(F.floor(F.col("i") / 500).alias("no")).agg(body.alias("body")).select(
+        F.unhex(F.concat(head, "body", tail)).alias("content"), "no")
+    path = staging_dir(spark, "captures")
+    files.select(F.concat(F.lit("capture-"), F.col("no").cast("string")).alias("capture"), "content").write.parquet(path)
+    rows = cap.decode(spark.read.parquet(path)).withColumn("capture_no", F.element_at(F.split("capture", "-"), -1).cast("long"))
+    good = cap.packets(rows).groupBy("capture_no").agg(F.count(F.lit(1)).alias("frames"), F.sum("ip_total_len").alias("bytes"), F.sum("payload_len").alias("payload"),
+                                                       F.min("timestamp_us").alias("first_us"), F.max("timestamp_us").alias("last_us"), F.count("tcp_flags").alias("tcp"))
+    bad = rows.where("reason IS NOT NULL").select("capture_no", "reason")
+    return good.join(bad, "capture_no", "left")
+
+
 @query("scan_pcap_malformed", """SELECT CAST(doc_id AS VARCHAR) AS capture, 0 AS frame, CASE WHEN octet_length(encode(text)) < 14 THEN 'Truncated link header.'
 ELSE 'No IPv4 layer present (e.g. ARP or other non-IP frame).' END AS reason FROM documents""")
 def scan_pcap_malformed(spark, d):

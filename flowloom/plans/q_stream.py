@@ -33,7 +33,7 @@ def stream_window_agg(spark, d):
 
 
 @query("stream_segments", f"""WITH {qw.windows_sql([])}, s AS (SELECT min(window_start) AS segment_start, max(window_end) AS segment_end, CAST(sum(observation_count) AS BIGINT) AS observations FROM win GROUP BY segment_id)
-SELECT * FROM s WHERE segment_end <= (SELECT time_bucket(INTERVAL '10 minutes', max(ts)) - INTERVAL 630 SECOND FROM events)""")
+SELECT * FROM s WHERE segment_end <= (SELECT date_trunc('millisecond', max(ts)) - INTERVAL 630 SECOND FROM events)""")
 def stream_segments(spark, d):
     st = m.states(spark, d, []).withColumn("capture", F.lit("events"))
     return jobs.run_available(jobs.segments(_stream(st, "states"), m.WIDTH, "capture"), "stream_segments").drop("capture")

@@ -1,4 +1,5 @@
-"""Packet captures (pcap and pcapng) as a source: one row per frame, readable or with a reason.
+"""Packet captures (pcap and pcapng) as a source: one row per frame, readable or with a reason. A file that cannot be read
+(on) gives a row with the reason at that place, so no file and no tail vanishes.
 
 A capture cannot be split without walking it, so the unit of work is one file; capture tools rotate files,
 and Spark spreads the files. A task yields batches while it walks, so it never holds the decoded packets of a
@@ -56,41 +57,66 @@ def _frame_table(rows: list[tuple]) -> pd.DataFrame:
     return pd.DataFrame(rows, columns=COLUMNS).astype({c: "Int64" for c in COLUMNS if c not in ("capture", "src_ip", "dst_ip", "reason")})
 
 
-def _frames(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(timestamp_us, link type, frame bytes) in file order."""
+def _frames(data: bytes) -> Iterator[tuple]:
+    """(timestamp_us, link type, frame bytes, reason) in file order; with a reason where the file itself cannot be read on."""
     magic = data[:4]
     if magic == b"\x0a\x0d\x0d\x0a":
         yield from _frames_ng(data)
         return
-    # File magic, byte order and clock unit.
+    # File magic, byte order and clock ticks per microsecond.
     kinds = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
     if magic not in kinds:
+        yield None, None, b"", "file: unknown magic"
+        return
+    if len(data) < 24:
+        yield None, None, b"", "file: header cut short"
         return
     order, unit = kinds[magic]
     link = struct.unpack(order + "I", data[20:24])[0] & 0xFFFF
     at = 24
-    while at + 16 <= len(data):
+    while at < len(data):
+        if at + 16 > len(data):
+            yield None, link, data[at:], "record: header cut short"
+            return
         sec, frac, size, _ = struct.unpack(order + "IIII", data[at:at + 16])
-        yield sec * 1_000_000 + frac // unit, link, data[at + 16:at + 16 + size]
+        frame = data[at + 16:at + 16 + size]
+        yield sec * 1_000_000 + (frac + unit // 2) // unit, link, frame, None if len(frame) == size else "record: data cut short"
         at += 16 + size
 
 
-def _frames_ng(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+#: Pcapng blocks that carry no packet (section, interface, names, statistics, journal, secrets, custom).
+_NO_PACKET = {0x0A0D0D0A, 1, 4, 5, 9, 10, 0x0BAD, 0x40000BAD}
+
+
+def _frames_ng(data: bytes) -> Iterator[tuple]:
     order, links, at = "<", [], 0
-    while at + 12 <= len(data):
-        kind = struct.unpack(order + "I", data[at:at + 4])[0]
+    while at < len(data):
+        if at + 12 > len(data):
+            yield None, None, b"", "block: header cut short"
+            return
         if data[at:at + 4] == b"\x0a\x0d\x0d\x0a":
             order, links = ("<" if data[at + 8:at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
-        size = struct.unpack(order + "I", data[at + 4:at + 8])[0]
-        if size < 12:
+        kind, size = struct.unpack(order + "II", data[at:at + 8])
+        if size < 12 or at + size > len(data):
+            yield None, None, b"", "block: wrong length" if size < 12 else "block: data cut short"
             return
         body = data[at + 8:at + size - 4]
-        if kind == 1:
-            links.append((struct.unpack(order + "H", body[:2])[0], _ticks(body[8:], order)))
-        elif kind == 6 and len(body) >= 20:
-            iface, high, low, cap, _ = struct.unpack(order + "IIIII", body[:20])
-            link, per_sec = links[iface] if iface < len(links) else (1, 1_000_000)
-            yield ((high << 32) | low) * 1_000_000 // per_sec, link, body[20:20 + cap]
+        if kind == 1 and len(body) >= 8:
+            links.append((struct.unpack(order + "H", body[:2])[0], _ticks(body[8:], order), struct.unpack(order + "I", body[4:8])[0]))
+        elif kind in (2, 6) and len(body) >= 20:
+            if kind == 6:
+                iface, high, low, cap = struct.unpack(order + "IIII", body[:16])
+            else:
+                iface, _, high, low, cap = struct.unpack(order + "HHIII", body[:16])
+            link, per_sec, _ = links[iface] if iface < len(links) else (1, 1_000_000, 0)
+            ticks, frame = (high << 32) | low, body[20:20 + cap]
+            yield (ticks * 1_000_000 + per_sec // 2) // per_sec, link, frame, None if len(frame) == cap else "record: data cut short"
+        elif kind == 3 and len(body) >= 4:  # a packet without a time: as long as stated, or as the interface keeps
+            link, _, snap = links[0] if links else (1, 1_000_000, 0)
+            size_on_wire = struct.unpack(order + "I", body[:4])[0]
+            yield None, link, body[4:4 + (min(size_on_wire, snap) if snap else size_on_wire)], "packet without a time"
+        elif kind not in _NO_PACKET:
+            yield None, None, b"", f"block: unknown kind {kind}"
         at += size
 
 
@@ -108,12 +134,15 @@ def _ticks(options: bytes, order: str) -> int:
     return 1_000_000
 
 
-def _bad(ts: int, reason: str) -> tuple:
+def _bad(ts: int | None, reason: str) -> tuple:
     return (ts, *[None] * 11, reason)
 
 
-def _packet(ts: int, link: int, frame: bytes) -> tuple:
+# The reasons of unreadable frames.
+def _packet(ts: int | None, link: int | None, frame: bytes, reason: str | None = None) -> tuple:
     """Fields of one frame in the order of the packet table, then the reason if it cannot be read."""
+    if reason:
+        return _bad(ts, reason)
     if link == 1:
         if len(frame) < 14:
             return _bad(ts, "Truncated link header.")

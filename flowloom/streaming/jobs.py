@@ -56,11 +56,15 @@ def window_aggregates(states: DataFrame, width: str, columns: Sequence[str] = ST
 
 def segments(states: DataFrame, width: str, by: str, ts: str = "timestamp", delay: str = "30 seconds") -> DataFrame:
     """Twin of the gap segments: sessions over window starts with a gap of one window merge exactly the runs
-    without a missing window. The watermark is on window starts, so it also waits for one window width.
+    without a missing window. A segment is closed once the watermark is a width past its last window.
     ``by`` is the link or capture; sessions of different links never merge."""
-    started = states.select(by, F.window(_instant(states, ts), width).getField("start").alias("_ws")).withWatermark("_ws", f"{width} {delay}")
-    g = started.groupBy(by, F.session_window(F.col("_ws"), width).alias("_s")).agg(F.count(F.lit(1)).alias("observations"))
-    return g.select(by, _wall(F.col("_s.start")).alias("segment_start"), _wall(F.col("_s.end")).alias("segment_end"), "observations")
+    timed = states.withColumn(ts, _instant(states, ts)).withWatermark(ts, delay)
+    # one row per link and window first (counted where the rows are), so a busy link's session sees its windows only
+    per = timed.groupBy(by, F.window(ts, width).alias("_w")).agg(F.count(F.lit(1)).alias("_n")).select(by, F.window_time("_w").alias("_wt"), "_n")
+    # a window's time is a microsecond before its end, so sessions run as much before, and a width after, their windows
+    g = per.groupBy(by, F.session_window(F.col("_wt"), width).alias("_s")).agg(F.sum("_n").alias("observations"))
+    edge = lambda x: _wall(x + F.expr("INTERVAL 1 MICROSECOND") - F.expr(f"INTERVAL {width}"))
+    return g.select(by, edge(F.col("_s.start")).alias("segment_start"), edge(F.col("_s.end")).alias("segment_end"), "observations")
 
 
 def deduplicated(rows: DataFrame, columns: Sequence[str], ts: str, delay: str = "1 hour") -> DataFrame:
