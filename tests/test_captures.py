@@ -86,3 +86,26 @@ def test_forecast_and_occlusion(spark):
         z = x[5].copy()
         z[r["time_step"] + steps - 1] = base
         assert r["occluded_probability"] == pytest.approx(prob(z), abs=1e-12)
+
+
+@pytest.mark.parametrize("content, reason, good", [
+    (b"\x01\x02\x03\x04" + bytes(100), "file: unknown magic", 0), (pcap(FRAMES[:2])[:20], "file: header cut short", 0), (pcap(FRAMES[:2]) + bytes(9), "record: header cut short", 2),
+    (pcap(FRAMES[:2])[:-3], "record: data cut short", 1), (pcapng(FRAMES[:2]) + block(77, bytes(8)), "block: unknown kind 77", 2), (pcapng(FRAMES[:2]) + bytes(5), "block: header cut short", 2),
+    (pcapng(FRAMES[:2]) + struct.pack("<II", 6, 4) + bytes(8), "block: wrong length", 2), (pcapng(FRAMES[:1]) + block(3, struct.pack("<I", 60) + bytes(60)), "packet without a time", 1)])
+def test_nothing_vanishes(spark, content, reason, good):
+    """Whatever cannot be read on leaves one row with its reason, and what stands before it stays."""
+    rows = cap.decode(spark.createDataFrame([("x", bytearray(content))], "capture string, content binary")).collect()
+    assert [r.reason for r in rows if r.reason] == [reason] and sum(r.reason is None for r in rows) == good
+
+
+def test_csv_bound_by_header(spark, tmp_path):
+    """Two column orders, an embedded header, a surplus and a short line; a missing column fails."""
+    from flowloom.sources import tables as tb
+
+    (tmp_path / "a.csv").write_text("x,y,z\n1,2,3\nx,y,z\n4,5\n6,7,8,9\n")
+    (tmp_path / "b.csv").write_text('z,more,y,x\n30,"a,b",20,10\n')
+    raw = tb.read_flow_csv(spark, str(tmp_path), ["x", "y", "z"])
+    assert sorted(map(tuple, tb.good_rows(raw).collect())) == [("1", "2", "3"), ("10", "20", "30"), ("x", "y", "z")]
+    assert sorted(r.line for r in tb.rejected_lines(raw).collect()) == ["4,5", "6,7,8,9"] and tb.rejected_lines(raw).count() == 2
+    with pytest.raises(ValueError, match="missing"):
+        tb.read_flow_csv(spark, str(tmp_path), ["x", "w"])

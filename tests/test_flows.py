@@ -57,7 +57,7 @@ def as_df(spark, rows):
     return spark.createDataFrame([tuple(r[f.name] for f in PACKET_SCHEMA) for r in rows], PACKET_SCHEMA)
 
 
-@pytest.mark.parametrize("kw", [{}, {"hot_rows": 0, "slice_us": 7_000_000}, {"hot_rows": 60, "slice_us": 50_000_000}])
+@pytest.mark.parametrize("kw", [{}, {"slice_us": 7_000_000}, {"slice_us": 50_000_000}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_flows_match_fold(spark, seed, kw):
     rows = capture(seed, 260)
@@ -71,7 +71,7 @@ def test_flows_match_fold(spark, seed, kw):
 def test_sliced_features_equal_unsliced(spark):
     df = as_df(spark, capture(7, 200, keys=1))
     a = fl.flow_table(df)
-    b = fl.flow_table(df, hot_rows=0, slice_us=5_000_000)
+    b = fl.flow_table(df, slice_us=5_000_000)
     ra, rb = a.orderBy("flow_id").collect(), b.select(*a.columns).orderBy("flow_id").collect()
     assert len(ra) == len(rb)
     for x, y in zip(ra, rb):

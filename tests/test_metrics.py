@@ -21,7 +21,7 @@ def scored(spark):
     return p, y, g, spark.createDataFrame([(str(a), int(b), float(c)) for a, b, c in zip(g, y, p)], "g string, y int, p double").repartition(4)
 
 
-@pytest.mark.parametrize("kw", [{}, {"small": 0, "ranges": 7}])
+@pytest.mark.parametrize("kw", [{}, {"per_range": 3}])
 def test_percentiles(scored, kw):
     p, y, g, df = scored
     got = {r["g"]: r for r in exact_percentiles(df, "p", {"q1": 0.1, "q5": 0.5, "q95": 0.95}, "g", **kw).collect()}
@@ -33,7 +33,7 @@ def test_percentiles(scored, kw):
     assert sum(r["n"] for r in cdf) == 900 and all(r["below"] == int((p < r["p"]).sum()) for r in cdf)
 
 
-@pytest.mark.parametrize("kw", [{}, {"small": 0, "ranges": 5}])
+@pytest.mark.parametrize("kw", [{}, {"per_range": 3}])
 def test_ranking(scored, kw):
     p, y, _, df = scored
     r = mx.ranking(df, **kw).first()
