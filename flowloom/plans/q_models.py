@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions.arrays import flatten_names
@@ -97,12 +98,118 @@ def train_forecaster(spark, d):
     return mx.regression_metrics(j, "state", "next_state", ["partition"])
 
 
-@query("rollout_k")
+# ---- fixed weights: applying a model is plain algebra, so SQL can check it ---------------------------------------------
+
+#: A forecaster and a classifier with dyadic weights over the four features of ``qw.FEW``.
+LAST, BEFORE, BIAS = 0.5, 0.25, 0.125
+COEF, INTERCEPT, BASE = [2.0**-23, 2.0**-6, 2.0**-14, 2.0**-5], -0.75, [1024.0, 4.0, 64.0, 2.0]
+_W = len(qw.FEW)
+
+
+def fixed_forecaster():
+    w = np.zeros((sq.HISTORY * _W, _W))
+    w[-_W:] = np.eye(_W) * LAST
+    w[-2 * _W:-_W] = np.eye(_W) * BEFORE
+    return md.Forecaster(w, np.full(_W, BIAS), 0.0, 0.0)
+
+
+def fixed_sequences(spark, d):
+    """Raw window sequences, missing numbers as zero."""
+    zero = lambda s: F.transform(s, lambda x: F.coalesce(x, F.lit(0.0)))
+    s = qw.sequences(spark, d)
+    return s.select("sequence_id", "target_window_target", F.transform("history", zero).alias("history"), zero("next_state").alias("next_state"))
+
+
+_x = lambda t, f: f'coalesce(CAST({t}."{f}" AS DOUBLE), 0)'
+_ROLL = [", ".join(f"{_x('a', f)} AS s0_{i}, {_x('b', f)} AS r0_{i}, {_x('t', f)} AS n_{i}" for i, f in enumerate(qw.FEW))]
+FIXED_SQL = f"""{qw.seq_sql(qw.FEW)}, h0 AS (SELECT q.sequence_id, q.target_window_target AS y, {_ROLL[0]} FROM seq q JOIN win a ON a.window_id = q.input_end_window JOIN win b ON b.window_id = q.input_end_window - 1 JOIN win t ON t.window_id = q.target_window)"""
+for _k in range(1, max(HORIZONS) + 1):
+    FIXED_SQL += f", h{_k} AS (SELECT *, " + ", ".join(f"{LAST} * s{_k - 1}_{i} + {BEFORE} * {f's{_k - 2}_{i}' if _k > 1 else f'r0_{i}'} + {BIAS} AS s{_k}_{i}" for i in range(_W)) + f" FROM h{_k - 1})"
+_p = lambda v: "1 / (1 + exp(-(" + " + ".join(f"CAST({c!r} AS DOUBLE) * {v.format(i=i)}" for i, c in enumerate(COEF)) + f" + {INTERCEPT})))"
+
+
+@query("rollout_k", f"WITH {FIXED_SQL} " + " UNION ALL ".join(
+    f"SELECT sequence_id, {k} AS horizon, " + ", ".join(f'round(s{k}_{i} + 1e-8, 6) AS "{f}"' for i, f in enumerate(qw.FEW)) + f" FROM h{max(HORIZONS)}" for k in HORIZONS))
 def rollout_k(spark, d):
+    """Recursive forecast with fixed weights over all sequences; the offset keeps dyadic halves off the rounding border."""
+    f = md.rollout(fixed_sequences(spark, d), fixed_forecaster(), max(HORIZONS), "history", ["sequence_id"], HORIZONS)
+    return f.select("sequence_id", "horizon", *[F.round(F.col("state")[i] + 1e-8, 6).alias(x) for i, x in enumerate(qw.FEW)])
+
+
+@query("rollout_trained")
+def rollout_trained(spark, d):
     f = md.rollout(seqs(spark, d), forecaster(spark, d), max(HORIZONS), "history", ["sequence_id", "input_end_window"], HORIZONS)
     return f.select("sequence_id", "horizon", F.size("state").alias("width"), F.element_at("state", 1).alias("first"))
 
 
+@query("score_state", f"WITH {FIXED_SQL} SELECT sequence_id, round({_p('n_{i}')}, 9) AS p, CASE WHEN {_p('n_{i}')} >= 0.5 THEN 1 ELSE 0 END AS predicted_class FROM h0")
+def score_state(spark, d):
+    """Attack probability of every next state under fixed weights."""
+    p = md.linear_probability(F.col("next_state"), COEF, INTERCEPT)
+    return fixed_sequences(spark, d).select("sequence_id", F.round(p, 9).alias("p"), mx.predicted(p).alias("predicted_class"))
+
+
+@query("oracle_vs_pipeline", f"""WITH {FIXED_SQL} SELECT 'oracle' AS mode, sequence_id, y, round({_p('n_{i}')}, 9) AS p FROM h1 UNION ALL SELECT 'full_pipeline', sequence_id, y, round({_p('s1_{i}')}, 9) FROM h1""")
+def oracle_vs_pipeline(spark, d):
+    """The same classifier on true and on forecast next states, stacked."""
+    s = fixed_sequences(spark, d)
+    f = md.rollout(s, fixed_forecaster(), 1, "history", ["sequence_id", "target_window_target"])
+    p = lambda c: F.round(md.linear_probability(F.col(c), COEF, INTERCEPT), 9).alias("p")
+    y = F.col("target_window_target").alias("y")
+    return s.select(F.lit("oracle").alias("mode"), "sequence_id", y, p("next_state")).unionByName(f.select(F.lit("full_pipeline").alias("mode"), "sequence_id", y, p("state")))
+
+
+def _fixed_occlusion(spark, d, whole):
+    w, b = md.composite(fixed_forecaster(), COEF, INTERCEPT)
+    return md.occlusion(fixed_sequences(spark, d), "history", "sequence_id", w, b, BASE, whole)
+
+
+_full = _p("s1_{i}")
+_OCC = FIXED_SQL + ", z AS (SELECT sequence_id, " + _full + " AS p, " + " + ".join(f"CAST({c!r} AS DOUBLE) * s1_{i}" for i, c in enumerate(COEF)) + f" + {INTERCEPT} AS logit, " + ", ".join(
+    f"CAST({c!r} AS DOUBLE) * {LAST} * (s0_{i} - {BASE[i]}) AS d0_{i}, CAST({c!r} AS DOUBLE) * {BEFORE} * (r0_{i} - {BASE[i]}) AS d1_{i}" for i, c in enumerate(COEF)) + " FROM h1)"
+_CELLS = _OCC + ", cell AS (" + " UNION ALL ".join(
+    f"SELECT sequence_id, -{t} AS time_step, {i} AS feature, p, 1 / (1 + exp(-(logit - {f'd{t}_{i}' if t < 2 else '0'}))) AS o FROM z" for t in range(sq.HISTORY) for i in range(_W)) + ")"
+
+
+@query("occlusion_timestep", f"WITH {_OCC}, o AS (" + " UNION ALL ".join(
+    f"SELECT sequence_id, -{t} AS time_step, p, 1 / (1 + exp(-(logit - ({' + '.join(f'd{t}_{i}' for i in range(_W)) if t < 2 else '0'})))) AS o FROM z" for t in range(sq.HISTORY))
+    + ") SELECT sequence_id, time_step, round(p, 9) AS full_probability, round(o, 9) AS occluded_probability, round(p - o, 9) + 0.0 AS contribution FROM o")
+def occlusion_timestep(spark, d):
+    r = lambda c: (F.round(c, 9) + F.lit(0.0)).alias(c)
+    return _fixed_occlusion(spark, d, True).select("sequence_id", "time_step", r("full_probability"), r("occluded_probability"), r("contribution"))
+
+
+@query("occlusion_cell", f"WITH {_CELLS} SELECT feature, round(avg(p - o), 9) AS mean_contribution, round(sum(p - o), 6) AS sum_contribution, round(sum(abs(p - o)), 6) AS sum_abs_contribution FROM cell GROUP BY 1")
+def occlusion_cell(spark, d):
+    t = at.rollup(_fixed_occlusion(spark, d, False), "feature")
+    return t.select("feature", F.round("mean_contribution", 9).alias("mean_contribution"), *[F.round(x, 6).alias(x) for x in ("sum_contribution", "sum_abs_contribution")])
+
+
+@query("cross_occlusion", f"WITH {_CELLS} SELECT time_step, count(*) AS cells, round(avg(p - o), 9) + 0.0 AS mean_contribution FROM cell GROUP BY 1")
+def cross_occlusion(spark, d):
+    """Each sequence times its cells, counted per step."""
+    return _fixed_occlusion(spark, d, False).groupBy("time_step").agg(F.count(F.lit(1)).alias("cells"), (F.round(F.avg("contribution"), 9) + F.lit(0.0)).alias("mean_contribution"))
+
+
+@query("train_facts", """SELECT 'classifier' AS model, true AS holds UNION ALL SELECT 'forecaster', true UNION ALL SELECT 'forest', true FROM (SELECT count(*) FROM events)""")
+def train_facts(spark, d):
+    """What must hold of any fit: the classifier's gradient and the forecaster's normal equations vanish, the forest's importances add up to one.
+
+    All three are measured on the training rows, in one aggregate each.
+    """
+    s = seqs(spark, d).where("partition = 'train'")
+    weighted = sc.class_weights(s.select("next_state", "target_window_target"), "target_window_target")
+    lr = state_classifier(spark, d)
+    p = md.linear_probability(F.col("next_state"), lr.coefficients.toArray(), lr.intercept)
+    slope = weighted.agg((F.abs(F.sum(F.col("weight") * (p - F.col("target_window_target")))) / F.sum("weight") < 1e-3).alias("holds"))
+    fc = md.rollout(s, forecaster(spark, d), 1, "history", ["sequence_id"]).join(s.select("sequence_id", "next_state"), "sequence_id")
+    gap = fc.select(F.posexplode(F.zip_with("state", "next_state", lambda a, b: a - b)).alias("i", "e")).groupBy("i").agg(F.abs(F.avg("e")).alias("e"))
+    forest = _memo(spark, d, "rf", lambda: md.train_forest(s.select("flat", "target_window_target"), "flat", "target_window_target"))
+    total = float(sum(forest.featureImportances.toArray()))
+    return slope.select(F.lit("classifier").alias("model"), "holds").unionByName(gap.agg((F.max("e") < 1e-6).alias("holds")).select(F.lit("forecaster").alias("model"), "holds")).unionByName(
+        spark.range(1).select(F.lit("forest").alias("model"), F.lit(abs(total - 1) < 1e-6).alias("holds")))
+
+
 def _forecast_vs_actual(spark, d):
     """(sequence_id, horizon, partition, forecast state, actual state, actual label) where the horizon is valid."""
     s = seqs(spark, d).where("partition IS NOT NULL").select("sequence_id", "input_end_window", "partition", "history")
@@ -119,8 +226,8 @@ def k_step_metrics(spark, d):
     return mx.regression_metrics(_forecast_vs_actual(spark, d), "state", "actual", ["partition", "horizon"])
 
 
-@query("oracle_vs_pipeline")
-def oracle_vs_pipeline(spark, d):
+@query("oracle_vs_pipeline_trained")
+def oracle_vs_pipeline_trained(spark, d):
     """The same classifier on true and on forecast states, stacked."""
     clf = state_classifier(spark, d)
     p = lambda col: md.linear_probability(F.col(col), clf.coefficients.toArray(), clf.intercept)
@@ -146,18 +253,18 @@ def _occlude(spark, d, whole):
     return md.occlusion(seqs(spark, d), "history", "sequence_id", w, b, _baseline(spark, d), whole)
 
 
-@query("occlusion_timestep")
-def occlusion_timestep(spark, d):
+@query("occlusion_timestep_trained")
+def occlusion_timestep_trained(spark, d):
     return _occlude(spark, d, True).drop("feature")
 
 
-@query("occlusion_cell")
-def occlusion_cell(spark, d):
+@query("occlusion_cell_trained")
+def occlusion_cell_trained(spark, d):
     return at.rollup(_occlude(spark, d, False), "feature")
 
 
-@query("cross_occlusion")
-def cross_occlusion(spark, d):
+@query("cross_occlusion_trained")
+def cross_occlusion_trained(spark, d):
     """Each sequence times its 680 cells, counted per step."""
     return _occlude(spark, d, False).groupBy("time_step").agg(F.count(F.lit(1)).alias("cells"), F.avg("contribution").alias("mean_contribution"))
 
