@@ -14,7 +14,7 @@ QUERIES = [
     "coerce_numeric", "dup_stats", "label_conflicts", "column_inventory", "corr_pairs", "window_agg_policy", "segment_gap",
     "sequences_sliding", "join_offset_h", "growth_baseline", "fit_impute_scale", "transform_frozen", "sessionize_flows", "flow_features_65",
     "join_interval_match", "roc_auc", "calibration_bins", "trajectory_stats", "regression_extended", "stage_rules", "triage_level",
-    "abs_rel_diff", "scan_pcap",
+    "abs_rel_diff", "scan_pcap", "leakage_checks", "train_forecaster", "rollout_k", "train_logreg", "stream_flows",
 ]
 
 

@@ -10,6 +10,7 @@ from ..operators import sequences as sq
 from ..operators import splits as sp
 from ..operators import windows as wn
 from ..schema import ATTACK, HORIZONS, STATE, SUM_FEATURES
+from ..sources.tables import staging_dir, write_stage
 from . import mapping as m
 from .registry import query
 
@@ -18,8 +19,10 @@ ONEHOT_SQL = ["Protocol_0", "Protocol_6", "Protocol_17"]
 
 
 def windows(spark, d, features=FEW, width=m.WIDTH, step=m.STEP, by=()):
+    """The window table. Its aggregates are written once: numbering, splits and sequences read them several times."""
     df = wn.window_features(m.states(spark, d, [f for f in features if f in m.FEATURES]), width, by, features)
-    return wn.index_windows(wn.with_targets(df), step, by)
+    path = write_stage(wn.with_targets(df), staging_dir(spark, "window_table"))
+    return wn.index_windows(spark.read.parquet(path), step, by)
 
 
 def _agg_sql(f):
@@ -103,8 +106,8 @@ def segment_summary(spark, d):
     return wn.gap_summary(windows(spark, d, []), m.STEP)
 
 
-def sequences(spark, d, features=FEW, labeled=True, states=True):
-    w = windows(spark, d, features)
+def sequences(spark, d, features=FEW, labeled=True, states=True, w=None):
+    w = windows(spark, d, features) if w is None else w
     if states:
         w = sq.with_state(w, features)
     return sq.sliding_sequences(w, labeled=labeled, states=states)
@@ -169,9 +172,9 @@ def split_chrono(spark, d):
     return sp.chronological(windows(spark, d, [])).select("window_id", "window_start", "partition")
 
 
-def partitioned_sequences(spark, d, **kw):
-    w = windows(spark, d, kw.get("features", []))
-    return sp.partition_sequences(sequences(spark, d, **{"features": [], "states": False, **kw}), w)
+def partitioned_sequences(spark, d, w=None, **kw):
+    w = windows(spark, d, kw.get("features", [])) if w is None else w
+    return sp.partition_sequences(sequences(spark, d, **{"features": [], "states": False, "w": w, **kw}), w)
 
 
 @query("purge_boundary", f"WITH {seq_sql()}, {PURGE_SQL} SELECT sequence_id, input_start_window, target_window, partition, partition IS NULL AS purged FROM pseq")
@@ -219,7 +222,8 @@ UNION ALL SELECT 'span_is_eleven_windows', count(*) FILTER (WHERE target_window
 UNION ALL SELECT 'no_label_or_time_feature', 0)
 SELECT check_name, CAST(offending AS BIGINT) AS offending, offending = 0 AS passed FROM r""")
 def leakage_checks(spark, d):
-    return sp.leakage_checks(sp.chronological(windows(spark, d, [])), partitioned_sequences(spark, d), STATE)
+    w = windows(spark, d, [])
+    return sp.leakage_checks(sp.chronological(w), partitioned_sequences(spark, d, w), STATE)
 
 
 @query("intersect_ids", f"""WITH {windows_sql([])}, {SPLIT_SQL} SELECT 'train_validation' AS pair, count(*) AS shared FROM (SELECT window_id FROM part WHERE partition = 'train' INTERSECT SELECT window_id FROM part WHERE partition = 'validation')
@@ -251,8 +255,9 @@ def join_offset_h(spark, d):
 SELECT p.partition AS split, h.horizon, t.window_id AS tw FROM pseq p CROSS JOIN h LEFT JOIN part t ON t.window_id = p.input_end_window + h.horizon AND t.segment_id = p.segment_id AND t.partition = p.partition WHERE p.partition IS NOT NULL)
 SELECT split, horizon, count(*) AS sequences, count(tw) AS valid, count(*) - count(tw) AS excluded FROM x GROUP BY 1, 2""")
 def horizon_exclusions(spark, d):
-    s = partitioned_sequences(spark, d).where("partition IS NOT NULL").select("sequence_id", "input_end_window", F.col("partition").alias("split"))
-    t = sq.horizon_targets(sp.chronological(windows(spark, d, [])), HORIZONS).select("input_end_window", "horizon", "target_window")
+    w = windows(spark, d, [])
+    s = partitioned_sequences(spark, d, w).where("partition IS NOT NULL").select("sequence_id", "input_end_window", F.col("partition").alias("split"))
+    t = sq.horizon_targets(sp.chronological(w), HORIZONS).select("input_end_window", "horizon", "target_window")
     return s.join(t, "input_end_window").groupBy("split", "horizon").agg(
         F.count(F.lit(1)).alias("sequences"), F.count("target_window").alias("valid"),
         F.count_if(F.isnull("target_window")).alias("excluded"))
