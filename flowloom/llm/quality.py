@@ -13,17 +13,15 @@ columns are passed over, or kept by ``keep_good``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import SUMS, add_up, byte_view, id_remainder, split_sums, steps, text_of, whole_rows, words
+from .common import SUMS, add_up, byte_view, id_remainder, split_sums, steps, text_of, words
 
 SLOTS, DIM, NONZERO = 1 << 14, 32, 4
 AGAIN = SLOTS - 1
@@ -180,26 +178,23 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, label: str = "quality
     return vectors, fit_network(x, np.array([r.y for r in rows], np.float64))
 
 
-def score(docs: DataFrame, vectors: np.ndarray, net: Network, text: str = "text") -> DataFrame:
-    """``row`` (all columns of ``docs``) and ``score``, between 0 and 1."""
-    held = docs.sparkSession.sparkContext.broadcast((vectors, net))
-    rows = whole_rows(docs)
-    schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
+def scorer(spark: SparkSession, vectors: np.ndarray, net: Network) -> Callable[[Column], Column]:
+    """Score of a text column, between 0 and 1. Only texts go to Python and only numbers come back."""
+    held = spark.sparkContext.broadcast((vectors, net))
 
-    def apply(batches):
+    @F.arrow_udf("double")
+    def apply(texts: pa.Array) -> pa.Array:
         vec, model = held.value
-        for b in batches:
-            texts = pc.fill_null(pc.struct_field(b.column(0), text), "").cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(model.score(pool(texts, vec).astype(np.float64)))], names=["row", "score"])
+        return pa.array(model.score(pool(texts, vec).astype(np.float64)))
 
-    return rows.mapInArrow(apply, schema)
+    return lambda text: apply(F.coalesce(text, F.lit("")).cast("binary"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every row; labels of held-out ids are not learnt."""
     vectors, net = fit(docs, labels, id_remainder(5) != 0)
-    scored = score(docs.select("doc_id", "text"), vectors, net)
-    return scored.select("row.doc_id", "score").select(
+    score = scorer(docs.sparkSession, vectors, net)
+    return docs.select("doc_id", score(F.col("text")).alias("score")).select(
         "doc_id", F.coalesce(id_remainder(5) == 0, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
     )
@@ -208,4 +203,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier does not reject, with their columns."""
     vectors, net = fit(docs, labels, id_remainder(5) != 0)
-    return score(docs, vectors, net).where(F.col("score") >= THRESHOLD).select("row.*")
+    return docs.where(scorer(docs.sparkSession, vectors, net)(F.col("text")) >= THRESHOLD)
