@@ -38,8 +38,10 @@ SPAN, GRAM = 50, 8
 REACH = (SPAN - GRAM) // 2
 #: Text per group of documents or grams.
 PART_BYTES, MOST_PARTS = 8_000_000, 1 << 18
-#: Open segments of one gram that are sorted together (3 MB of text at most).
-HOT = 30_000
+#: Open segments of one gram that are sorted together (1 MB of text at most).
+HOT = 10_000
+#: Text per numpy step of the anchors, and per suffix array (about 100 and 130 bytes of memory for each).
+STEP, SORT_BYTES = 750_000, 750_000
 #: Low bits of a window's key that hold the place.
 _PLACE = 26
 _LAST = np.iinfo(np.int64).max
@@ -138,7 +140,7 @@ def _send_anchors(parts: int):
         for b in batches:
             off, data = byte_view(b.column("_t"))
             ids = np.stack([b.column("rid").to_numpy(), b.column("ord").to_numpy()], 1)
-            for lo, hi in steps(np.diff(off)):
+            for lo, hi in steps(np.diff(off), STEP):
                 a = anchors(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 doc, number = ids[lo + a["row"]], _ordinals(a["row"])
                 order = np.lexsort((doc[:, 1], a["segment"], a["gram"]))
@@ -254,7 +256,7 @@ def _fetch(parts: int):
 def _all_anchors(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """``anchors`` of a group, step by step."""
     found = []
-    for lo, hi in steps(np.diff(off)):
+    for lo, hi in steps(np.diff(off), STEP):
         a = anchors(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
         found.append(a | {"first": a["first"] + off[lo], "last": a["last"] + off[lo], "row": a["row"] + lo})
     return {k: np.concatenate([f[k] for f in found]) for k in found[0]} if found else anchors(data, off)
@@ -342,8 +344,8 @@ def _decide(parts: int):
         by = np.argsort(gram, kind="stable")
         found = np.zeros(len(gram), np.uint64)
         lo = 0
-        while lo < len(by):  # whole grams together, about 4 MB at once
-            hi = lo + int(np.searchsorted(np.cumsum(size[by[lo:]]), 4_000_000, "right"))
+        while lo < len(by):  # whole grams together
+            hi = lo + int(np.searchsorted(np.cumsum(size[by[lo:lo + SORT_BYTES // SPAN]]), SORT_BYTES, "right"))
             hi = max(hi, lo + 1)
             while hi < len(by) and gram[by[hi]] == gram[by[hi - 1]]:
                 hi += 1
