@@ -79,6 +79,19 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     return {"first": first, "last": last, "row": np.searchsorted(offsets, first, "right") - 1, "gram": gram[pick], "segment": range_hash(sums, first, last + SPAN), "left": sides[0], "right": sides[1]}
 
 
+def step_anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
+    """``anchors``, with a text longer than STEP (always a step of its own) taken in parts that share no window, so that
+    memory is bounded by STEP; a segment across a border becomes two, the same two whenever the text is read."""
+    if len(offsets) != 2 or offsets[1] - offsets[0] <= STEP + SPAN:
+        return anchors(data, offsets)
+    found = []
+    for lo in range(0, len(data) - SPAN + 1, STEP):
+        part = data[lo:lo + STEP + SPAN - 1]
+        a = anchors(part, np.array([0, len(part)]))
+        found.append(a | {"first": a["first"] + lo, "last": a["last"] + lo})
+    return {k: np.concatenate([f[k] for f in found]) for k in found[0]}
+
+
 def _ordinals(row: np.ndarray) -> np.ndarray:
     """Number of each entry within its row; rows are in order."""
     begin = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
@@ -141,7 +154,7 @@ def _send_anchors(parts: int):
             off, data = byte_view(b.column("_t"))
             ids = np.stack([b.column("rid").to_numpy(), b.column("ord").to_numpy()], 1)
             for lo, hi in steps(np.diff(off), STEP):
-                a = anchors(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+                a = step_anchors(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
                 doc, number = ids[lo + a["row"]], _ordinals(a["row"])
                 order = np.lexsort((doc[:, 1], a["segment"], a["gram"]))
                 g, s, o = a["gram"][order], a["segment"][order], doc[order, 1]
@@ -257,7 +270,7 @@ def _all_anchors(data: np.ndarray, off: np.ndarray) -> dict[str, np.ndarray]:
     """``anchors`` of a group, step by step."""
     found = []
     for lo, hi in steps(np.diff(off), STEP):
-        a = anchors(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
+        a = step_anchors(data[off[lo]:off[hi]], off[lo:hi + 1] - off[lo])
         found.append(a | {"first": a["first"] + off[lo], "last": a["last"] + off[lo], "row": a["row"] + lo})
     return {k: np.concatenate([f[k] for f in found]) for k in found[0]} if found else anchors(data, off)
 

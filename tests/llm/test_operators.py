@@ -64,6 +64,16 @@ def test_suffix_array_order():
         assert sorted(sa.tolist()) == list(range(len(s) - suffix.SPAN - 8)) and keys == sorted(keys)
 
 
+def test_long_text_in_parts(monkeypatch):
+    """Taken in parts, a long text has the same windows under the same grams, each once."""
+    d = np.random.default_rng(4).integers(97, 101, 5000).astype(np.uint8)
+    by_window = lambda a: np.concatenate([np.full(n, g) for g, n in zip(a["gram"], a["last"] - a["first"] + 1)])
+    whole = suffix.anchors(d, np.array([0, len(d)]))
+    monkeypatch.setattr(suffix, "STEP", 333)
+    parts = suffix.step_anchors(d, np.array([0, len(d)]))
+    assert len(parts["gram"]) > len(whole["gram"]) and (by_window(parts) == by_window(whole)).all() and len(by_window(parts)) == len(d) - suffix.SPAN + 1
+
+
 def test_suffix_dedup_empty(nothing):
     assert suffix.remove_repeats(nothing, with_text=True).count() == 0
 
