@@ -41,10 +41,6 @@ def argmax(a: Column) -> Column:
     return F.array_position(a, F.array_max(a)) - 1
 
 
-def shift_in(history: Column, newest: Column) -> Column:
-    """Drop the oldest state of a history and append the newest one."""
-    return F.concat(F.slice(history, F.lit(2), F.size(history) - 1), F.array(newest))
-
 
 def flatten_names(names: Sequence[str], steps: int = 10) -> list[str]:
     """Names t-9__f … t__f of a flattened history."""

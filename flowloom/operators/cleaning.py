@@ -135,10 +135,3 @@ def encode_label(label: Column, variant: str = "strict") -> Column:
 def implausible(df: DataFrame, ts: str, low: str, high: str) -> DataFrame:
     t = F.col(ts)
     return df.where(~t.between(F.lit(low).cast("timestamp_ntz"), F.lit(high).cast("timestamp_ntz")))
-
-
-def column_contract(columns: Sequence[str], selected: Sequence[str], reserved: Sequence[str], excluded: Sequence[str]) -> list[str]:
-    """Problems if the three lists do not cover the table exactly once; empty when they do."""
-    plan = [*selected, *reserved, *excluded]
-    return ([f"not in the plan: {x}" for x in columns if x not in plan] + [f"not in the table: {x}" for x in plan if x not in columns]
-            + [f"listed twice: {x}" for x in sorted(set(plan)) if plan.count(x) > 1])

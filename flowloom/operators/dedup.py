@@ -41,10 +41,6 @@ def label_conflicts(df: DataFrame, features: Sequence[str], label: str) -> DataF
     )
 
 
-def conflict_totals(conflicts: DataFrame) -> DataFrame:
-    return conflicts.agg(F.count(F.lit(1)).alias("conflicting_groups"),
-                         F.coalesce(F.sum("rows"), F.lit(0)).alias("conflicting_rows"))
-
 
 def duplicate_hash_count(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Repeated rows by two row hashes (96 bits): rows minus distinct hashes, exact count of hashes in two steps."""

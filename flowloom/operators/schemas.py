@@ -30,13 +30,13 @@ def schema_family(cols: DataFrame, known: Sequence[str] = RAW_COLUMNS) -> DataFr
         "confidence", F.when(exact, "exact").when(r >= 0.9, "strong").when(r >= 0.4, "partial").otherwise("unrecognized"))
 
 
-def schema_equal(cols: DataFrame, reference: Sequence[str] = RAW_COLUMNS) -> DataFrame:
-    """Names and order of each header against a reference header."""
-    ref = F.array(*[F.lit(x) for x in reference])
-    same = F.coalesce(F.get(ref, F.col("position")) == F.col("column_name"), F.lit(False))
-    return cols.groupBy("file").agg(
-        F.count_if(~same).alias("differing"), F.count(F.lit(1)).alias("columns")).withColumn(
-        "equal", (F.col("differing") == 0) & (F.col("columns") == len(reference)))
+def schema_equal(cols: DataFrame, reference: str) -> DataFrame:
+    """Names and order of each header against the header of the file ``reference`` of the same table."""
+    ref = cols.where(F.col("file") == reference).select("position", F.col("column_name").alias("_ref"))
+    size = ref.agg(F.count(F.lit(1)).alias("_size"))
+    same = F.coalesce(F.col("_ref") == F.col("column_name"), F.lit(False))
+    per = cols.join(ref, "position", "left").groupBy("file").agg(F.count_if(~same).alias("differing"), F.count(F.lit(1)).alias("columns"))
+    return per.crossJoin(F.broadcast(size)).select("file", "differing", "columns", ((F.col("differing") == 0) & (F.col("columns") == F.col("_size"))).alias("equal"))
 
 
 def schema_compat(cols: DataFrame, features: Sequence[str] = FEATURES) -> DataFrame:

@@ -139,8 +139,3 @@ def distinct_ports(flows: DataFrame, width: str, port: str = "dst_port", ts: str
     start = floor_to_window(F.col(ts), width).alias("window_start")
     pairs = flows.where(c(port).isNotNull()).groupBy(*by, start, c(port)).agg(F.lit(1).alias("_one"))
     return pairs.groupBy(*by, "window_start").agg(F.count(F.lit(1)).alias("dst_port_nunique"))
-
-
-def floor_report(flows: DataFrame, width: str, ts: str = "timestamp") -> DataFrame:
-    start = floor_to_window(F.col(ts), width)
-    return flows.agg(F.count(F.lit(1)).alias("rows"), F.count_if(start != F.col(ts)).alias("floor_changed"))

@@ -308,9 +308,9 @@ def schema_family(spark, d):
     return sh.schema_family(_header_table(spark, d)).withColumn("overlap_ratio", F.round("overlap_ratio", 6))
 
 
-@query("schema_equal", f"WITH {HEAD_SQL} SELECT file, count(*) FILTER (WHERE column_name <> k.name) AS differing, count(*) AS columns, count(*) FILTER (WHERE column_name <> k.name) = 0 AS equal FROM hd JOIN k USING (position) GROUP BY 1")
+@query("schema_equal", f"WITH {HEAD_SQL}, ref AS (SELECT position, column_name AS name FROM hd WHERE file = 'src0') SELECT file, count(*) FILTER (WHERE column_name <> ref.name) AS differing, count(*) AS columns, count(*) FILTER (WHERE column_name <> ref.name) = 0 AS equal FROM hd JOIN ref USING (position) GROUP BY 1")
 def schema_equal(spark, d):
-    return sh.schema_equal(_header_table(spark, d))
+    return sh.schema_equal(_header_table(spark, d), "src0")
 
 
 @query("schema_compat", f"""WITH {HEAD_SQL}, a AS (SELECT file, count(*) FILTER (WHERE column_name IN ({_feat})) AS direct, 65 - count(*) FILTER (WHERE column_name IN ({_feat})) AS missing, bool_or(column_name = '{PROTOCOL}') AS protocol, bool_or(column_name = '{TIMESTAMP}') AS timestamp,

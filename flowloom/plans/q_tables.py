@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import c, minmax_scaled
+from ..operators import chain
 from ..operators import cleaning as cl
 from ..operators import dedup as dd
 from ..operators import profiling as pf
+from ..operators import windows as wn
 from ..schema import ATTACK, BENIGN, DST_PORT, EXCLUDED, FEATURES, INT_FEATURES, LABEL, PROTOCOL, RAW_COLUMNS, REAL_FEATURES, STATE, TIMESTAMP
 from ..sources import tables as tb
 from . import mapping as m
@@ -113,6 +115,24 @@ def drop_embedded_headers(spark, d):
     return cl.drop_embedded_headers(m.raw_text(spark, d), RAW_COLUMNS).select("row_id", c(TIMESTAMP).alias("ts_text"))
 
 
+CHAIN = ["Flow Duration", "Tot Fwd Pkts", "Flow Byts/s", "Active Min", "Protocol_6"]
+_chain_num = lambda x: f'(CASE WHEN isfinite(TRY_CAST("{x}" AS DOUBLE)) THEN TRY_CAST("{x}" AS DOUBLE) END)'
+
+
+@query("clean_chain", f"""WITH {m.raw_text_sql(RAW_COLUMNS)}, whole AS (SELECT DISTINCT * EXCLUDE row_id FROM rawt WHERE "Label" <> 'Label'),
+t AS (SELECT time_bucket(INTERVAL '10 minutes', try_strptime("Timestamp", '%d/%m/%Y %H:%M:%S')) AS window_start, * FROM whole WHERE try_strptime("Timestamp", '%d/%m/%Y %H:%M:%S') IS NOT NULL)
+SELECT window_start, count(*) AS observation_count, count(*) FILTER (WHERE "Label" = 'Infilteration') AS infiltration_count, round(avg({_chain_num("Flow Duration")}), 6) AS "Flow Duration", round(sum({_chain_num("Tot Fwd Pkts")}), 6) AS "Tot Fwd Pkts",
+round(avg({_chain_num("Flow Byts/s")}) + 1e-8, 6) AS "Flow Byts/s", round(avg({_chain_num("Active Min")}), 6) AS "Active Min", round(avg(CASE WHEN "Protocol" = '6' THEN 1.0E0 ELSE 0 END), 6) AS "Protocol_6" FROM t GROUP BY 1""")
+def clean_chain(spark, d):
+    """From dirty CSV files, with every row written twice, to windows."""
+    path = _staged_csv(spark, d)
+    raw = tb.good_rows(tb.read_flow_csv(spark, path)).select(*[c(x) for x in RAW_COLUMNS])
+    states = chain.clean_states(raw.unionByName(raw), [BENIGN, ATTACK, "SSH-Bruteforce"])
+    w = wn.window_features(states, m.WIDTH, columns=CHAIN)
+    off = {"Flow Byts/s": 1e-8}
+    return w.select("window_start", "observation_count", "infiltration_count", *[F.round(c(x) + F.lit(off[x]) if x in off else c(x), 6).alias(x) for x in CHAIN])
+
+
 def _numeric_sql(x):
     v = f'TRY_CAST("{x}" AS DOUBLE)'
     miss = f'("{x}" IS NULL OR lower(trim("{x}")) IN (\'\', \'nan\', \'null\'))'

@@ -82,10 +82,6 @@ def rejected_lines(raw: DataFrame) -> DataFrame:
     return raw.where(F.col(CORRUPT).isNotNull() & both).select(F.col(CORRUPT).alias("line"))
 
 
-def read_csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Physical lines with their file, for malformed-row counts."""
-    return spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"))
-
 
 def write_stage(df: DataFrame, path: str, partition_by: str | None = None) -> str:
     writer = df.write.mode("overwrite")
