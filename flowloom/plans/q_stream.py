@@ -47,7 +47,8 @@ def stream_dedup(spark, d):
 
 
 @query("stream_flows", f"""WITH {qf.FLOWS} SELECT start_us, first_index, end_us, packets, bytes, CASE WHEN closed_reason = 'end_of_capture' THEN 'timeout' ELSE closed_reason END AS closed_reason
-FROM fln WHERE closed_reason <> 'end_of_capture' OR end_us + 120000000 < (SELECT max(timestamp_us) FROM packets) - 130000000""")
+FROM fln, (SELECT max(timestamp_us) // 1000 - 130000 AS passed FROM packets)
+WHERE CASE WHEN closed_reason IN ('tcp_rst', 'tcp_fin_both') THEN end_us ELSE end_us + 120000000 END // 1000 < passed""")
 def stream_flows(spark, d):
     out = jobs.run_available(jobs.flows(_stream(m.packets(spark, d), "packets")), "stream_flows")
     return out.select("start_us", "first_index", "end_us", "packets", "bytes", "closed_reason")

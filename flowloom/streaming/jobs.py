@@ -70,14 +70,17 @@ def deduplicated(rows: DataFrame, columns: Sequence[str], ts: str, delay: str =
 
 FLOW_SCHEMA = ("capture string, protocol int, a_ip string, a_port int, b_ip string, b_port int, start_us long, first_index long, "
                "end_us long, packets long, bytes long, closed_reason string")
-_FLOW_STATE = "start long, first long, last long, packets long, bytes long, opener int, ff boolean, fb boolean"
+_PACKETS = ["timestamp_us", "index", "side", "ip_total_len", "rst", "fin"]
+_FLOW_STATE = ("open boolean, start long, first long, last long, packets long, bytes long, opener int, ff boolean, fb boolean, "
+               "w_ts array<long>, w_ix array<long>, w_side array<int>, w_len array<long>, w_rst array<boolean>, w_fin array<boolean>")
 
 
 def flows(packets: DataFrame, timeout_us: int = TIMEOUT_US, delay: str = "130 seconds") -> DataFrame:
-    """Twin of ``flow_table`` (identity, counts, closing reason). State per pair: one open flow of fixed size.
+    """Twin of ``flow_table`` (identity, counts, closing reason), whatever order packets arrive in within the delay.
 
-    The watermark lags by more than the flow timeout; an event-time timer closes flows that went quiet.
-    Rows of a pair arrive as an iterator and are folded one batch at a time.
+    State per pair: the open flow and the packets the watermark has not passed. Packets are folded in the order of
+    their times once no earlier one can come; a timer folds them, and closes quiet flows, when nothing else arrives.
+    What waits is the traffic of ``delay`` at most, and of one micro-batch: bound it with maxFilesPerTrigger.
     """
     spark = packets.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
@@ -86,37 +89,47 @@ def flows(packets: DataFrame, timeout_us: int = TIMEOUT_US, delay: str = "130 se
         has_flag(F.col("tcp_flags"), "FIN").alias("fin"), F.timestamp_micros("timestamp_us").alias("event_time"))
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out = []
-
-        def close(s, reason):
-            out.append((*key, s[0], s[1], s[2], s[3], s[4], reason))
-
-        cur = list(state.get) if state.exists else None
-        if state.hasTimedOut:
-            close(cur, "timeout")
-            state.remove()
-        else:
-            rows = pd.concat(list(batches)).sort_values(["timestamp_us", "index"])
-            for r in rows.itertuples(index=False):
-                if cur and r.timestamp_us - cur[2] > timeout_us:
-                    close(cur, "timeout")
-                    cur = None
-                if cur is None:
-                    cur = [r.timestamp_us, r.index, r.timestamp_us, 0, 0, r.side, False, False]
-                cur[2], cur[3], cur[4] = r.timestamp_us, cur[3] + 1, cur[4] + r.ip_total_len
-                if r.rst:
-                    close(cur, "tcp_rst")
+        out, cur, waiting = [], None, []
+        if state.exists:
+            kept = state.get
+            cur = list(kept[1:9]) if kept[0] else None
+            waiting = list(zip(*kept[9:]))
+        if not state.hasTimedOut:
+            for b in batches:
+                waiting += list(b[_PACKETS].itertuples(index=False, name=None))
+        passed = state.getCurrentWatermarkMs()
+        ready = sorted(r for r in waiting if r[0] // 1000 < passed)
+        waiting = [r for r in waiting if r[0] // 1000 >= passed]
+
+        def close(reason):
+            out.append((*key, *cur[:5], reason))
+
+        for ts, ix, side, size, rst, fin in ready:
+            if cur and ts - cur[2] > timeout_us:
+                close("timeout")
+                cur = None
+            if cur is None:
+                cur = [ts, ix, ts, 0, 0, side, False, False]
+            cur[2], cur[3], cur[4] = ts, cur[3] + 1, cur[4] + size
+            if rst:
+                close("tcp_rst")
+                cur = None
+            elif fin:
+                cur[6 if side == cur[5] else 7] = True
+                if cur[6] and cur[7]:
+                    close("tcp_fin_both")
                     cur = None
-                elif r.fin:
-                    cur[6 if r.side == cur[5] else 7] = True
-                    if cur[6] and cur[7]:
-                        close(cur, "tcp_fin_both")
-                        cur = None
-            if cur:
-                state.update(tuple(cur))
-                state.setTimeoutTimestamp(max(cur[2] + timeout_us, state.getCurrentWatermarkMs() * 1000 + 1000) // 1000 + 1)
-            elif state.exists:
-                state.remove()
+        if cur and (cur[2] + timeout_us) // 1000 < passed:
+            close("timeout")
+            cur = None
+        if cur or waiting:
+            wake = min([r[0] // 1000 for r in waiting] + ([(cur[2] + timeout_us) // 1000] if cur else []))
+            flow = [int(x) for x in cur[:6]] + [bool(x) for x in cur[6:]] if cur else [0] * 6 + [False] * 2
+            cols = [list(c) for c in zip(*waiting)] if waiting else [[] for _ in _PACKETS]
+            state.update((cur is not None, *flow, *[[int(x) for x in c] for c in cols[:4]], *[[bool(x) for x in c] for c in cols[4:]]))
+            state.setTimeoutTimestamp(max(wake, passed + 1))
+        elif state.exists:
+            state.remove()
         yield pd.DataFrame(out, columns=[f.split()[0] for f in FLOW_SCHEMA.split(", ")])
 
     return keyed.withWatermark("event_time", delay).groupBy(*KEY).applyInPandasWithState(
