@@ -123,3 +123,23 @@ def test_unassigned_and_contract(spark):
     got = fl.contract_rejections(bad).first()
     assert got["reasons"].split(",") == ["missing_required_column", "unsupported_protocol_other",
                                           "label_column_present_and_required_absent", "feature_value_type_mismatch"]
+
+
+def test_stream_does_not_depend_on_arrival(spark, tmp_path):
+    """Packets up to a minute out of order, in many micro-batches, give the flows of the plain fold."""
+    from flowloom.streaming import jobs
+
+    rows = capture(3, 150)
+    rnd = random.Random(5)
+    arrival = sorted(rows, key=lambda r: r["timestamp_us"] + rnd.randrange(60_000_000))
+    for i in range(5):
+        as_df(spark, arrival[i * 30:(i + 1) * 30]).coalesce(1).write.parquet(str(tmp_path / f"in/{i}"))
+    stream = spark.readStream.schema(PACKET_SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in/*"))
+    got = jobs.run_available(jobs.flows(stream), "flow_test").select("start_us", "first_index", "end_us", "packets", "closed_reason").collect()
+    passed = max(r["timestamp_us"] for r in rows) // 1000 - 130_000
+    want = []
+    for start, ix, end, n, _, reason in fold(rows, fl.TIMEOUT_US):
+        reason = "timeout" if reason == "end_of_capture" else reason
+        if (end + (fl.TIMEOUT_US if reason == "timeout" else 0)) // 1000 < passed:
+            want.append((start, ix, end, n, reason))
+    assert sorted(map(tuple, got)) == want and len(want) > 20
