@@ -36,8 +36,9 @@ from .common import byte_view, prefix_sums, range_hash, row_key, stage, steps, t
 
 SPAN, GRAM = 50, 8
 REACH = (SPAN - GRAM) // 2
-#: Text per group of documents or grams.
-PART_BYTES, MOST_PARTS = 8_000_000, 1 << 18
+#: Text per group of documents, and groups of documents for one of grams: fewer of these mean more entries of a document
+#: in each, and so fewer bytes to name it.
+PART_BYTES, MOST_PARTS, HOMES_PER_PART = 8_000_000, 1 << 18, 4
 #: Open segments of one gram that are sorted together (1 MB of text at most).
 HOT = 10_000
 #: Text per numpy step of the anchors, and per suffix array (about 100 and 130 bytes of memory for each).
@@ -111,7 +112,7 @@ def _from_low_bytes(raw: bytes, n: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-ENTRIES = "part long, gram binary, segment binary, sides binary, doc binary, ordinal binary"
+ENTRIES = "part long, gram binary, segment binary, sides binary, doc binary, which binary, ordinal binary"
 #: code: ordinal * 4 + 1 for a covered segment, + 2 for an open one, + 3 for an open one of a hot gram
 REPLIES = "home long, rid binary, code binary, mask binary"
 OPEN = "part long, hot boolean, gram binary, doc binary, ordinal binary, windows binary, text binary"
@@ -146,7 +147,7 @@ def _reply_rows(rid: np.ndarray, code: np.ndarray, mask: np.ndarray | None, part
 
 # ---- step 1 ------------------------------------------------------------------------------------------------------
 
-def _send_anchors(parts: int):
+def _send_anchors(parts: int, homes: int):
     schema = _arrow(ENTRIES)
 
     def apply(batches):
@@ -163,21 +164,22 @@ def _send_anchors(parts: int):
                 rows = []
                 settled = order[later]  # an earlier text of this step has the segment: no need to ask
                 if len(settled):
-                    for h, rid, code, _ in _reply_rows(doc[settled, 0], number[settled] * 4 + 1, None, parts):
-                        rows.append((-1 - h, b"", b"", b"", rid, code))
+                    for h, rid, code, _ in _reply_rows(doc[settled, 0], number[settled] * 4 + 1, None, homes):
+                        rows.append((-1 - h, b"", b"", b"", rid, b"", code))
                 go = np.sort(order[~later])
                 order, slices = _split((a["gram"][go] % np.uint64(parts)).astype(np.int64))
                 go = go[order]
                 sides = np.stack([a["left"], a["right"]], 1)
                 for p, x in slices:
                     k = go[x]
-                    rows.append((p, _low_bytes(a["gram"][k] // np.uint64(parts), 6), _low_bytes(a["segment"][k], 5), sides[k].tobytes(), doc[k].tobytes(), number[k].astype("<u4").tobytes()))
+                    own, which = np.unique(a["row"][k], return_inverse=True)
+                    rows.append((p, _low_bytes(a["gram"][k] // np.uint64(parts), 6), _low_bytes(a["segment"][k], 5), sides[k].tobytes(), ids[lo + own].tobytes(), which.astype("<u2").tobytes(), number[k].astype("<u4").tobytes()))
                 yield _batch(rows, schema)
 
     return apply
 
 
-def _settle(parts: int, most: int):
+def _settle(homes: int, most: int):
     schema = _arrow(REPLIES)
 
     def apply(key, table):
@@ -186,7 +188,7 @@ def _settle(parts: int, most: int):
             return pa.Table.from_batches([_batch([(-1 - key[0].as_py(), r, c, b"") for r, c in zip(cols["doc"], cols["ordinal"])], schema)])
         gram, segment = (_from_low_bytes(b"".join(cols[c]), n) for c, n in (("gram", 6), ("segment", 5)))
         side = np.frombuffer(b"".join(cols["sides"]), np.uint16).reshape(-1, 2)
-        doc = np.frombuffer(b"".join(cols["doc"]), np.int64).reshape(-1, 2)
+        doc = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2)[np.frombuffer(w, "<u2")] for d, w in zip(cols["doc"], cols["which"])])
         number = np.frombuffer(b"".join(cols["ordinal"]), "<u4").astype(np.int64)
         order = np.lexsort((doc[:, 1], segment, gram))
         gram, segment, side, doc, number = gram[order], segment[order], side[order], doc[order], number[order]
@@ -203,7 +205,7 @@ def _settle(parts: int, most: int):
         hot = np.bincount(of_gram[ask], minlength=of_gram[-1] + 1)[of_gram] > most
         said = full | ask
         code = number * 4 + np.where(full, 1, np.where(hot, 3, 2))
-        return pa.Table.from_batches([_batch(_reply_rows(doc[said, 0], code[said], None, parts), schema)])
+        return pa.Table.from_batches([_batch(_reply_rows(doc[said, 0], code[said], None, homes), schema)])
 
     return apply
 
@@ -348,7 +350,7 @@ def first_documents(texts: np.ndarray, valid: np.ndarray, order_of: np.ndarray)
     return out
 
 
-def _decide(parts: int):
+def _decide(homes: int):
     schema = _arrow(REPLIES)
 
     def masks(doc, number, window, gram, text):
@@ -393,7 +395,7 @@ def _decide(parts: int):
             else:
                 mask = masks(doc, number, window, gram, np.frombuffer(b"".join(cols["text"]), np.uint8))
             some = mask > 0
-            out += _reply_rows(doc[some, 0], number[some] * 4, mask[some], parts)
+            out += _reply_rows(doc[some, 0], number[some] * 4, mask[some], homes)
         return pa.Table.from_batches([_batch(out, schema)], schema)
 
     return apply
@@ -445,12 +447,13 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, part_bytes: int = P
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(int(_LAST)))
     rows = docs.select("doc_id", row_key().alias("rid"), order.alias("ord"), text_of().cast("binary").alias("_t"))
     total = docs.agg(F.sum(F.octet_length(text_of()))).first()[0] or 0
-    parts = int(min(MOST_PARTS, max(1, total // part_bytes)))
-    homed = rows.withColumn("home", F.expr(f"cast(pmod(cast(rid as decimal(20)) + if(rid < 0, 18446744073709551616, 0), {parts}) as long)"))
-    replies = stage(rows.select("rid", "ord", "_t").mapInArrow(_send_anchors(parts), ENTRIES).groupBy("part").applyInArrow(_settle(parts, hot), REPLIES), "settled")
+    homes = int(min(MOST_PARTS, max(1, total // part_bytes)))
+    parts = -(-homes // HOMES_PER_PART)
+    homed = rows.withColumn("home", F.expr(f"cast(pmod(cast(rid as decimal(20)) + if(rid < 0, 18446744073709551616, 0), {homes}) as long)"))
+    replies = stage(rows.select("rid", "ord", "_t").mapInArrow(_send_anchors(parts, homes), ENTRIES).groupBy("part").applyInArrow(_settle(homes, hot), REPLIES), "settled")
     texts = homed.select("home", "rid", "ord", "_t").groupBy("home")
     fetched = texts.cogroup(replies.where("home >= 0").groupBy("home")).applyInArrow(_fetch(parts), OPEN)
-    decided = fetched.groupBy("part").applyInArrow(_decide(parts), REPLIES)
+    decided = fetched.groupBy("part").applyInArrow(_decide(homes), REPLIES)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return homed.groupBy("home").cogroup(replies.unionByName(decided).groupBy("home")).applyInArrow(_cut(with_text), schema)
