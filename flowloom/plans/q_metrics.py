@@ -31,24 +31,24 @@ def fit_impute_scale(spark, d):
     return p.select("feature", F.round("median", 6).alias("median"), *[F.round(x, 5).alias(x) for x in ("mean", "std", "scale")])
 
 
-FEW = ["Flow Duration", "Flow Pkts/s", "Tot Fwd Pkts", "Active Min"]
-_pick = ", ".join(f"""(SELECT {x} FROM params WHERE feature = '{f}') AS "{x}_{i}" """ for i, f in enumerate(FEW) for x in ("median", "mean", "std"))
-_scaled = ", ".join(f"""round((coalesce("{f}", median_{i}) - mean_{i}) / CASE WHEN std_{i} = 0 THEN 1 ELSE std_{i} END, 6) AS "{f}" """ for i, f in enumerate(FEW))
+_pick = ", ".join(f"""max({x}) FILTER (WHERE feature = '{f}') AS "{x}_{i}" """ for i, f in enumerate(FITTED) for x in ("median", "mean", "std"))
+_scaled = ", ".join(f"""round((coalesce("{f}", median_{i}) - mean_{i}) / CASE WHEN std_{i} = 0 THEN 1 ELSE std_{i} END, 6) AS "{f}" """ for i, f in enumerate(FITTED))
 
 
-@query("transform_frozen", f"WITH {PARAM_SQL}, pk AS (SELECT {_pick}) SELECT window_id, {_scaled} FROM win, pk")
+@query("transform_frozen", f"WITH {PARAM_SQL}, pk AS (SELECT {_pick} FROM params) SELECT window_id, {_scaled} FROM win, pk")
 def transform_frozen(spark, d):
-    params = sc.load(sc.fit(train_windows(spark, d, FEW), FEW))
-    out = sc.transform(qw.windows(spark, d, FEW), params)
-    return out.select("window_id", *[F.round(c(f), 6).alias(f) for f in FEW])
+    w = qw.windows(spark, d, FITTED)
+    params = sc.load(sc.fit(sp.chronological(w).where("partition = 'train'"), FITTED))
+    return sc.transform(w, params).select("window_id", *[F.round(c(f), 6).alias(f) for f in FITTED])
 
 
-@query("inverse_scale", f"""WITH {PARAM_SQL}, pk AS (SELECT {_pick}) SELECT window_id, {", ".join(f'round(coalesce("{f}", median_{i}) * 0.7310585E0, 2) AS "{f}"' for i, f in enumerate(FEW))} FROM win, pk""")
+@query("inverse_scale", f"""WITH {PARAM_SQL}, pk AS (SELECT {_pick} FROM params) SELECT window_id, {", ".join(f'round(coalesce("{f}", median_{i}) * 0.7310585E0, 2) AS "{f}"' for i, f in enumerate(FITTED))} FROM win, pk""")
 def inverse_scale(spark, d):
-    params = sc.load(sc.fit(train_windows(spark, d, FEW), FEW))
-    out = sc.inverse(sc.transform(qw.windows(spark, d, FEW), params), params)
+    w = qw.windows(spark, d, FITTED)
+    params = sc.load(sc.fit(sp.chronological(w).where("partition = 'train'"), FITTED))
+    out = sc.inverse(sc.transform(w, params), params)
     # Scaled by an odd factor: whole and dyadic inputs would sit exactly on a rounding border.
-    return out.select("window_id", *[F.round(c(f) * 0.7310585, 2).alias(f) for f in FEW])
+    return out.select("window_id", *[F.round(c(f) * 0.7310585, 2).alias(f) for f in FITTED])
 
 
 @query("class_weights", f"WITH {m.SCORES_SQL} SELECT sequence_id, y, round((SELECT count(*) FROM scores) / (2.0E0 * count(*) OVER (PARTITION BY y)), 9) AS weight FROM scores")
