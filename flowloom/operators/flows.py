@@ -9,9 +9,9 @@ packet of the pair starts a new one. That is a sequential rule, but it needs no
   packet is the parity of the turns since the last set or clear, a running sum; a turn that arrives at
   state 0 closes the flow.
 
-Skew: every pair is cut into time slices and each slice is a group of its own; what a slice must know about the past
-(last packet, last FIN end, automaton state, open flow) is one row per slice, passed along by windows over these few
-rows.
+Skew: once any pair has more than ``hot_rows`` packets, pairs are cut into time slices and each slice is a group of its own;
+what a slice must know about the past (last packet, last FIN end, automaton state, open flow) is one row per
+slice, passed along by windows over these rows. Until then every pair is one small group, by that bound.
 """
 
 from __future__ import annotations
@@ -68,20 +68,25 @@ def _previous(column: str, across, earlier: bool = True) -> Column:
     return F.last(column, ignorenulls=True).over(frame)
 
 
-def label_packets(packets: DataFrame, timeout_us: int = TIMEOUT_US, idle_us: int = IDLE_US, slice_us: int = 600_000_000) -> DataFrame:
+def label_packets(packets: DataFrame, timeout_us: int = TIMEOUT_US, idle_us: int = IDLE_US, hot_rows: int = 1_000_000,
+                  slice_us: int = 600_000_000) -> DataFrame:
     """Packets with their flow: start position (ts, index), opening side, previous times and closing marks.
 
     Adds ``flow`` (struct ts, index, side of the first packet), ``prev_ts`` (packet before, any direction),
     ``same_prev`` (struct of the packet before from the same end), ``burst_ts`` / ``prev_burst_ts`` (start of
     the current / preceding burst), ``starts``, ``rst``, ``fin_close``, ``ends_pair`` (last packet of the pair).
 
-    Every pair is cut into slices of time, whatever its size, so one plan serves quiet and busy pairs.
+    One small job finds the size of the largest pair, a single number. Up to ``hot_rows`` every pair is one group, bounded by
+    that; beyond, every pair is cut into time slices. Results are the same, no key is collected or broadcast.
     """
     keyed = with_key(assignable(packets)).withColumn("rst", has_flag(F.col("tcp_flags"), "RST")).withColumn(
         "fin", has_flag(F.col("tcp_flags"), "FIN") & ~F.col("rst"))
+    largest = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
     keep = [*packets.columns, *[k for k in KEY if k not in packets.columns], "side", "prev_ts", "same_prev", "starts", "rst",
             "fin_close", "ends_pair"]
-    return _label(keyed.withColumn("_slice", F.floor(F.col("timestamp_us") / slice_us).cast("long")), keep, timeout_us, idle_us)
+    if largest <= hot_rows:
+        return _label(keyed.withColumn("_slice", F.lit(-1).cast("long")), keep, timeout_us, idle_us, carry=False)
+    return _label(keyed.withColumn("_slice", F.floor(F.col("timestamp_us") / slice_us).cast("long")), keep, timeout_us, idle_us, carry=True)
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -90,13 +95,14 @@ def _stored(df: DataFrame) -> DataFrame:
     return spark.read.parquet(write_stage(df, staging_dir(spark, "packet_slices")))
 
 
-def _label(df: DataFrame, keep: Sequence[str], timeout_us: int, idle_us: int) -> DataFrame:
+def _label(df: DataFrame, keep: Sequence[str], timeout_us: int, idle_us: int, carry: bool) -> DataFrame:
     part = [*KEY, "_slice"]
     w = Window.partitionBy(*part).orderBy("timestamp_us", "index")
     before, upto = w.rowsBetween(*BEFORE), w.rowsBetween(*UPTO)
     across = Window.partitionBy(*KEY).orderBy("_slice")
     pos = F.struct(F.col("timestamp_us").alias("ts"), F.col("index").alias("ix"))
     pos_side = F.struct(F.col("timestamp_us").alias("ts"), F.col("index").alias("ix"), F.col("side").alias("sd"))
+    null = lambda kind: F.lit(None).cast(kind)
 
     # 1. breaks by gap or RST; last FIN end
     local = (
@@ -104,7 +110,11 @@ def _label(df: DataFrame, keep: Sequence[str], timeout_us: int, idle_us: int) ->
         .withColumn("_hard", F.when(F.col("_pts").isNotNull(),
                                     (F.col("timestamp_us") - F.col("_pts") > timeout_us) | F.col("_prst")))
     )
-    x = local.join(_past_packets(local, part, across, pos, pos_side, timeout_us), part)
+    if carry:
+        x = local.join(_past_packets(local, part, across, pos, pos_side, timeout_us), part)
+    else:
+        x = local.withColumns({"_in_ts": null("long"), "_in_hard": null("boolean"), "_in_fin": null("int"), "_in_final": null("boolean"),
+                               "_in_l0": null("struct<ts:long,ix:long>"), "_in_l1": null("struct<ts:long,ix:long>")})
     x = x.withColumn("prev_ts", F.coalesce("_pts", "_in_ts")).withColumn(
         "hard", F.coalesce(F.col("_hard"), F.col("_in_hard"), F.lit(True)))
     x = x.withColumn("ends_pair", F.lead("timestamp_us").over(w).isNull() & F.coalesce(F.col("_in_final"), F.lit(True)))
@@ -119,8 +129,11 @@ def _label(df: DataFrame, keep: Sequence[str], timeout_us: int, idle_us: int) ->
     x = x.withColumn("_m", F.when(F.col("_set"), F.struct(F.lit(1).alias("b"), F.col("_c").alias("c"))).when(
         F.col("hard"), F.struct(F.lit(0).alias("b"), (F.col("_c") - F.col("_turn")).alias("c"))))
     x = x.withColumn("_cur", F.last("_m", True).over(upto))
-    x = _stored(x)
-    x = x.join(_past_state(x, part, across), part)
+    if carry:
+        x = _stored(x)
+        x = x.join(_past_state(x, part, across), part)
+    else:
+        x = x.withColumns({"_in_d": null("long"), "_in_closed": null("boolean")})
     state = F.when(F.col("_cur").isNotNull(), F.col("_cur.b") + F.col("_c") - F.col("_cur.c")).otherwise(
         F.coalesce(F.col("_in_d"), F.lit(0)) + F.col("_c"))
     x = x.withColumn("fin_close", (F.col("_turn") == 1) & (F.pmod(state, F.lit(2)) == 0))
@@ -134,9 +147,12 @@ def _label(df: DataFrame, keep: Sequence[str], timeout_us: int, idle_us: int) ->
     same = lambda s: F.last(F.when(F.col("side") == s, pos), True).over(before)
     x = x.withColumn("same_prev", F.when(F.col("side") == 0, F.coalesce(same(0), F.col("_in_l0"))).otherwise(
         F.coalesce(same(1), F.col("_in_l1"))))
-    x = _stored(x)
-    s3 = x.groupBy(*part).agg(F.max("_f").alias("f"), F.max("_b").alias("b"))
-    x = x.join(s3.select(*part, _previous("f", across).alias("_in_f"), _previous("b", across).alias("_in_b")), part)
+    if carry:
+        x = _stored(x)
+        s3 = x.groupBy(*part).agg(F.max("_f").alias("f"), F.max("_b").alias("b"))
+        x = x.join(s3.select(*part, _previous("f", across).alias("_in_f"), _previous("b", across).alias("_in_b")), part)
+    else:
+        x = x.withColumns({"_in_f": null("struct<ts:long,ix:long,sd:int>"), "_in_b": null("long")})
     return x.select(*keep, F.coalesce("_lf", "_in_f").alias("flow"), F.coalesce("_lb", "_in_b").alias("burst_ts"),
                     F.coalesce("_plb", "_in_b").alias("prev_burst_ts"))
 
