@@ -30,7 +30,8 @@ NUMBER, NAME, UNIT = "⟨num⟩", "⟨name⟩", "⟨unit⟩"
 #: Units of measure that follow a number.
 UNITS = ("km", "m", "cm", "mm", "mi", "miles", "mile", "ft", "feet", "inches", "kg", "g", "mg", "lb", "lbs", "pounds", "tons", "l", "ml", "litres", "liters",
          "s", "sec", "seconds", "min", "minutes", "h", "hours", "hour", "days", "day", "weeks", "months", "years", "mph", "kmh", "dollars", "euros", "cents", "percent", "degrees")
-_NUMBER = "[0-9](?:[0-9]|[.,:/](?=[0-9]))*"
+# possessive and without a repeated alternation, which Java walks recursively: a long number would overflow its stack
+_NUMBER = "[0-9]++(?:[.,:/][0-9]++)*+"
 # the capital is looked for first, so the text before it is looked at only there
 _NAME = "\\p{Lu}(?<=\\p{Ll}[,;:]?\\x20\\p{Lu})\\p{Ll}+(?!\\p{L})"
 _UNIT = f"(?i:{'|'.join(UNITS)})(?!\\p{{L}})"
@@ -42,7 +43,8 @@ _RAW_SLOT = f"({_NAME}|{_NUMBER}|(?<=[0-9]\\x20?){_UNIT})"
 def template(text: Column) -> Column:
     """Template words of a text, an array."""
     t = F.regexp_replace(text, _NAME, NAME)
-    t = F.regexp_replace(t, f"{_NUMBER}\\x20?{_UNIT}", f" {NUMBER} {UNIT} ")
+    # by the digit before the unit: a long number would be walked again from each of its digits
+    t = F.regexp_replace(t, f"(?<=[0-9])\\x20?{_UNIT}", f" {UNIT} ")
     t = F.regexp_replace(t, _NUMBER, f" {NUMBER} ")
     return F.array_remove(F.split(F.lower(t), _BETWEEN), "")
 

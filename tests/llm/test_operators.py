@@ -205,6 +205,16 @@ def test_decontamination_by_shuffle(spark, monkeypatch):
     assert decontaminate.contamination_report(docs.limit(0), bench).count() == 0
 
 
+def test_decontamination_of_long_numbers(spark):
+    """Numbers of any length are one placeholder; a repeated alternation would overflow the stack of the regex."""
+    bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
+    docs = brute.edge_table(spark, [(1, "3" * 100_000), (2, "1," * 100_000 + "1"), (3, "7" * 100_000 + " km " + QUESTION), (4, "1.5:2/3,,4 5. 6km")])
+    assert rows_of(decontaminate.contamination_report(docs, bench), "doc_id", "reparameterised") == [(3, False)]
+    words = {r.doc_id: r.w for r in docs.select("doc_id", decontaminate.template(F.col("text")).alias("w")).where("doc_id <> 3").collect()}
+    n, u = decontaminate.NUMBER, decontaminate.UNIT
+    assert words == {1: [n], 2: [n], 4: [n, n, n, n, u]}
+
+
 # ---- SimHash -----------------------------------------------------------------------------------------------------
 
 @pytest.mark.parametrize("block", [1024, 2])
