@@ -4,8 +4,8 @@ Anchors bring equal strings together. Every SPAN-byte window picks the least has
 windows pick equal grams at equal places. Neighbouring windows that picked the same occurrence form a *segment*, the
 text from the first one's start to the last one's end (SPAN to 2 * SPAN bytes).
 
-1. Anchors (gram hash, segment hash, hashes of the text left and right of the gram) are dealt by gram. Equal segments are
-   one class: all but those of its first document are wholly covered. A window reaches REACH bytes past its gram on
+1. Anchors (gram hash, segment hash, hashes of the text left and right of the gram) are dealt by gram. Equal segments (by
+   all 64 bits of their hash) are one class: all but those of its first document are wholly covered. A window reaches REACH bytes past its gram on
    one side at least, so two classes can share a window only if they agree on one side; only the first segments of such
    classes are still open.
 2. The open segments' texts are fetched and dealt by gram, and their suffixes are sorted in two stages: those smaller
@@ -173,7 +173,7 @@ def _send_anchors(parts: int, homes: int):
                 for p, x in slices:
                     k = go[x]
                     own, which = np.unique(a["row"][k], return_inverse=True)
-                    rows.append((p, _low_bytes(a["gram"][k] // np.uint64(parts), 6), _low_bytes(a["segment"][k], 5), sides[k].tobytes(), ids[lo + own].tobytes(), which.astype("<u2").tobytes(), number[k].astype("<u4").tobytes()))
+                    rows.append((p, _low_bytes(a["gram"][k] // np.uint64(parts), 6), _low_bytes(a["segment"][k], 8), sides[k].tobytes(), ids[lo + own].tobytes(), which.astype("<u2").tobytes(), number[k].astype("<u4").tobytes()))
                 yield _batch(rows, schema)
 
     return apply
@@ -186,7 +186,7 @@ def _settle(homes: int, most: int):
         cols = table.to_pydict()
         if key[0].as_py() < 0:
             return pa.Table.from_batches([_batch([(-1 - key[0].as_py(), r, c, b"") for r, c in zip(cols["doc"], cols["ordinal"])], schema)])
-        gram, segment = (_from_low_bytes(b"".join(cols[c]), n) for c, n in (("gram", 6), ("segment", 5)))
+        gram, segment = (_from_low_bytes(b"".join(cols[c]), n) for c, n in (("gram", 6), ("segment", 8)))
         side = np.frombuffer(b"".join(cols["sides"]), np.uint16).reshape(-1, 2)
         doc = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2)[np.frombuffer(w, "<u2")] for d, w in zip(cols["doc"], cols["which"])])
         number = np.frombuffer(b"".join(cols["ordinal"]), "<u4").astype(np.int64)

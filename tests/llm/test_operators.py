@@ -74,6 +74,25 @@ def test_long_text_in_parts(monkeypatch):
     assert len(parts["gram"]) > len(whole["gram"]) and (by_window(parts) == by_window(whole)).all() and len(by_window(parts)) == len(d) - suffix.SPAN + 1
 
 
+def test_segments_that_agree_in_part_of_their_hash(monkeypatch):
+    """Two segments of one gram are equal only if their whole hashes are; 40 equal bits are not enough."""
+    import pyarrow as pa
+
+    data = np.frombuffer(b"some text of more than fifty bytes, which is the first of the two" * 2, np.uint8)
+    n = len(data) // 2
+
+    def found(high):
+        one = lambda v, t: np.array([v, v], t)
+        two = {"first": np.array([0, n]), "last": np.array([0, n]), "row": np.array([0, 1]), "gram": one(12, np.uint64), "segment": np.array([5, 5 | high << 40], np.uint64), "left": one(0, np.uint16), "right": one(0, np.uint16)}
+        monkeypatch.setattr(suffix, "step_anchors", lambda *_: two)
+        docs = pa.record_batch({"rid": pa.array([7, 8]), "ord": pa.array([1, 2]), "_t": pa.array([data[:n].tobytes(), data[n:].tobytes()], pa.binary())})
+        sent = [pa.Table.from_batches([b]) for b in suffix._send_anchors(1, 1)([docs])][0]
+        replies = [suffix._settle(1, 10)([pa.scalar(p)], sent.filter(pa.compute.equal(sent.column("part"), p))) for p in sorted(set(sent.column("part").to_pylist()))]
+        return [x for t in replies for c in t.column("code").to_pylist() for x in np.frombuffer(c, "<u4").tolist()]
+
+    assert found(0) == [1] and found(1) == [] and found(1 << 23) == []
+
+
 def test_suffix_dedup_empty(nothing):
     assert suffix.remove_repeats(nothing, with_text=True).count() == 0
 
