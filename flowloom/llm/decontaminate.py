@@ -3,10 +3,11 @@
 Texts become templates: capitalised names inside a sentence, numbers, and units after a number are replaced by typed
 placeholders, everything is lower-cased and punctuation dropped. Windows of WINDOW template words are hashed and
 hash-joined with the windows of the benchmark. Hits of a document and an item with the same distance between their
-places are one alignment. In an alignment every slot value of the item must stand for one value of the document
-and the other way round; then the question has been copied (all values equal) or re-parameterised (values
-replaced consistently). Alignments that contradict themselves do not count. A document is contaminated by an item if
-SIMILARITY of the item's distinct windows are hit by alignments that count.
+places are one alignment. In an alignment every slot value of the item must stand for one value of the document; then the
+question has been copied (all values equal) or re-parameterised (values replaced consistently, different ones by equal
+ones too). Where a value stands for several, the most frequent holds, none on a tie, and the windows that contradict it do
+not count; all others do. A document is contaminated by an item if
+SIMILARITY of the item's distinct windows are hit by windows that count.
 
 A benchmark is broadcast only while its windows are at most MAX_BROADCAST; a larger one is joined by shuffle. Windows
 made of placeholders alone, or with fewer than two words, say nothing and are left out on the item's side.
@@ -87,8 +88,29 @@ def _pairs(place: str, prefix: str) -> Column:
     return F.slice(values, before + 1, count(F.slice(words, F.col(place) + 1, WINDOW)))
 
 
+def _slot_places(place: str, prefix: str) -> Column:
+    """Places of the placeholders of the window at ``place``."""
+    words, at = F.col(f"{prefix}w"), F.col(place)
+    return F.filter(F.sequence(at, at + (WINDOW - 1)), lambda i: is_slot(F.get(words, i)))
+
+
+def _agreeing(valued: DataFrame, alignment: list[str]) -> DataFrame:
+    """Per alignment and place with slots: does each hold what its item value mostly stands for (consistent), and is any
+    not the item's own (changed)?"""
+    pair = F.explode(F.arrays_zip("dv", "iv", "ip")).alias("slot")
+    slots = valued.where(F.size("iv") > 0).select(*alignment, "at", pair).select(*alignment, "at", "slot.*")
+    votes = slots.select(*alignment, "iv", "dv", "ip").distinct().groupBy(*alignment, "iv", "dv").agg(F.count(F.lit(1)).alias("n"))
+    ranked = votes.groupBy(*alignment, "iv").agg(F.reverse(F.array_sort(F.collect_list(F.struct("n", "dv")))).alias("top"))
+    clear = F.coalesce(F.col("top")[0]["n"] > F.get("top", F.lit(1))["n"], F.lit(True))
+    means = ranked.select(*alignment, F.col("iv").alias("own"), F.col("top")[0]["dv"].alias("means"), clear.alias("clear"))
+    slots, means = slots.alias("s"), means.alias("m")
+    on = [F.col(f"s.{c}") == F.col(f"m.{c}") for c in alignment] + [F.col("s.iv").eqNullSafe(F.col("m.own"))]
+    judged = slots.join(means, on).select("s.*", (F.col("clear") & F.col("dv").eqNullSafe(F.col("means"))).alias("fits"), (~F.col("dv").eqNullSafe(F.col("iv"))).alias("new"))
+    return judged.groupBy(*alignment, "at").agg(F.min("fits").alias("consistent"), F.max("new").alias("changed"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, n_windows of the item, n_hit (of these, in alignments that count) and reparameterised, one row per contaminated document and item.
+    """doc_id, item_id, n_windows of the item, n_hit (of these, hit by windows that count) and reparameterised, one row per contaminated document and item.
 
     Also the row key ``rid`` of the document.
     """
@@ -106,13 +128,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = stage(texts.dropDuplicates(["rid"]), "hit-texts")
     items = _slots(bench, "item", "i")
     full = near.join(_slots(texts, "rid", "d"), "rid").join(items, "item")
-    valued = full.select("rid", "item", "n_windows", "h", (F.col("p") - F.col("at")).alias("shift"), _pairs("p", "d").alias("dv"), _pairs("at", "i").alias("iv"))
-    pair = F.explode_outer(F.arrays_zip("dv", "iv")).alias("slot")
-    slots = valued.where(F.size("iv") > 0).select("rid", "item", "shift", pair).select("rid", "item", "shift", F.col("slot.dv").alias("dv"), F.col("slot.iv").alias("iv")).distinct()
-    checked = slots.groupBy("rid", "item", "shift").agg(
-        ((F.count(F.lit(1)) == F.countDistinct("iv")) & (F.count(F.lit(1)) == F.countDistinct("dv"))).alias("consistent"), F.max((~F.col("dv").eqNullSafe(F.col("iv"))).cast("int")).alias("changed"))
-    counted = valued.join(checked, ["rid", "item", "shift"], "left").where(F.coalesce("consistent", F.lit(True)))
-    found = counted.groupBy("rid", "item", "n_windows").agg(F.countDistinct("h").alias("n_hit"), (F.max(F.coalesce("changed", F.lit(0))) == 1).alias("reparameterised"))
+    alignment = ["rid", "item", "shift"]
+    valued = full.select("rid", "item", "n_windows", "h", "at", (F.col("p") - F.col("at")).alias("shift"), _pairs("p", "d").alias("dv"), _pairs("at", "i").alias("iv"), _slot_places("at", "i").alias("ip"))
+    counted = valued.join(_agreeing(valued, alignment), [*alignment, "at"], "left").where(F.coalesce("consistent", F.lit(True)))
+    found = counted.groupBy("rid", "item", "n_windows").agg(F.countDistinct("h").alias("n_hit"), F.max(F.coalesce("changed", F.lit(False))).alias("reparameterised"))
     found = found.where(F.col("n_hit") >= SIMILARITY * F.col("n_windows"))
     named = found.join(bench.select("item", "item_id"), "item").join(texts.select("rid", "doc_id"), "rid")
     return named.select("rid", "doc_id", "item_id", "n_windows", "n_hit", "reparameterised")

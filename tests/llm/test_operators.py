@@ -224,6 +224,15 @@ def test_decontamination_by_shuffle(spark, monkeypatch):
     assert decontaminate.contamination_report(docs.limit(0), bench).count() == 0
 
 
+def test_values_that_become_equal_or_differ_once(spark):
+    """Different values may become equal ones; a contradiction costs the windows it stands in, not the whole alignment."""
+    eggs = "the farmer sells 12 eggs in the town and then pays 3 coins for each egg of the other farmers who live there too"
+    thrice = "a box of 4 pens costs 4 coins in this shop and the owner of the shop then sells all boxes of pens that are left on the shelf to a friend who gives 4 stamps"
+    bench = spark.createDataFrame([(1, eggs), (2, thrice)], "item_id long, text string")
+    docs = brute.edge_table(spark, [(1, eggs.replace("12", "5").replace("3", "5")), (2, thrice.replace("gives 4", "gives 9")), (3, thrice), (4, thrice.replace("gives 4", "gives 9").replace("of 4", "of 8"))])
+    assert rows_of(decontaminate.contamination_report(docs, bench), "doc_id", "item_id", "reparameterised") == [(1, 1, True), (2, 2, False), (3, 2, False)]
+
+
 def test_decontamination_of_long_numbers(spark):
     """Numbers of any length are one placeholder; a repeated alternation would overflow the stack of the regex."""
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
