@@ -224,6 +224,19 @@ def test_decontamination_by_shuffle(spark, monkeypatch):
     assert decontaminate.contamination_report(docs.limit(0), bench).count() == 0
 
 
+def test_names_at_the_start_of_a_sentence(spark):
+    item = "A farmer sells 12 eggs to Maria every day. Maria pays 3 coins for each egg. Paula then buys 7 more. How many coins does the farmer have in the end?"
+    other = item.replace("Maria", "Anna").replace("Paula", "Peter").replace("12", "15").replace("3", "4").replace("7", "9")
+    mixed = item.replace("day. Maria", "day. Peter")  # the name at the start of a sentence is another one
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = brute.edge_table(spark, [(1, item), (2, other), (3, other.replace("How", "(How").replace("day. ", "day, then ")), (4, mixed), (5, item.replace("How", "how"))])
+    got = rows_of(decontaminate.contamination_report(docs, bench), "doc_id", "n_windows", "n_hit", "reparameterised")
+    assert got[:2] == [(1, 27, 27, False), (2, 27, 27, True)] and (5, 27, 27, False) in got
+    texts = docs.unionByName(brute.edge_table(spark, [*brute.edge_rows(), *brute.sample_rows(), (6, "5 Miles 5Miles x\u0301Anna \u20acAnna (Anna) 5Anna5 O'Brien Anna-Maria \u201cAnna. \u00c9ric Min2")]))
+    forms = texts.select(decontaminate.template(F.col("text")).alias("a"), decontaminate.template(F.col("text"), 1).alias("b"), decontaminate.slot_values(F.col("text"), 1).alias("v"))
+    assert forms.where("size(a) <> size(b) or size(filter(b, x -> startswith(x, '\u27e8'))) <> size(v)").count() == 0
+
+
 def test_values_that_become_equal_or_differ_once(spark):
     """Different values may become equal ones; a contradiction costs the windows it stands in, not the whole alignment."""
     eggs = "the farmer sells 12 eggs in the town and then pays 3 coins for each egg of the other farmers who live there too"
