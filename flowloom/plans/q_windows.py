@@ -183,11 +183,16 @@ def purge_boundary(spark, d):
     return s.select("sequence_id", "input_start_window", "target_window", "partition", F.isnull("partition").alias("purged"))
 
 
-DAYSEQ_SQL = f"""{windows_sql([], by="capture_day")}, slid AS (SELECT capture_day, segment_id, lag(window_id, 9) OVER s AS input_start_window, lead(window_id) OVER s AS target_window
+def dayseq_sql(features=()):
+    """CTEs ending in ``win`` and ``seq``, by day."""
+    return f"""{windows_sql(list(features), by="capture_day")}, slid AS (SELECT capture_day, segment_id, lag(window_id, 9) OVER s AS input_start_window, lead(window_id) OVER s AS target_window
  FROM win WINDOW s AS (PARTITION BY capture_day, segment_id ORDER BY window_id)),
 seq AS (SELECT *, row_number() OVER (PARTITION BY capture_day ORDER BY input_start_window) - 1 AS sequence_id, count(*) OVER (PARTITION BY capture_day) AS n FROM slid WHERE input_start_window IS NOT NULL AND target_window IS NOT NULL)"""
 
 
+DAYSEQ_SQL = dayseq_sql()
+
+
 @query("split_tail_per_day", f"""WITH {DAYSEQ_SQL} SELECT CAST(capture_day AS VARCHAR) AS capture_day, sequence_id, input_start_window,
 CASE WHEN sequence_id >= n - CASE WHEN n > 1 THEN greatest(1, CAST(round_even(n * 0.1, 0) AS BIGINT)) ELSE 0 END THEN 'validation' ELSE 'train' END AS split FROM seq""")
 def split_tail_per_day(spark, d):

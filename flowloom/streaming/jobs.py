@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.numeric import c, epoch_micros, from_micros
 from ..operators.flows import KEY, TIMEOUT_US, assignable, has_flag, with_key
@@ -15,20 +13,49 @@ from ..operators.windows import aggregation_policy
 from ..schema import ATTACK, BENIGN, HISTORY, STATE
 from ..session import ROCKSDB_PROVIDER
 from ..sources.tables import staging_dir
+from . import stateful
 
 
-def run_available(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def run_available(df: DataFrame, name: str, mode: str = "append", base: str | None = None) -> DataFrame:
     """Runs a stream over everything that is there now into a Parquet sink and reads the sink.
 
-    The checkpoint lies next to the sink in the shared folder, so a lost executor or a restart resumes."""
+    The checkpoint lies next to the sink in the shared folder, so a lost executor or a restart resumes; a later run with
+    the same ``base`` goes on where this one ended."""
     spark = df.sparkSession
-    base = staging_dir(spark, name)
+    base = base or staging_dir(spark, name)
     q = (df.writeStream.outputMode(mode).format("parquet").option("path", f"{base}/out")
          .option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
 
 
+def run_arrivals(arrivals: Sequence[DataFrame], build: Callable[[DataFrame], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """Runs ``build`` over tables that arrive one after another, each in a run of its own that resumes the one before.
+
+    Gives the results and the folder of the query: its input, output and state."""
+    spark = arrivals[0].sparkSession
+    base = staging_dir(spark, name)
+    out = None
+    for rows in arrivals:
+        rows.write.mode("append").parquet(f"{base}/in")
+        out = run_available(build(spark.readStream.schema(rows.schema).parquet(f"{base}/in")), name, base=base)
+    return out, base
+
+
+def window_accounts(closed: DataFrame, base: str) -> DataFrame:
+    """One row: rows that came in, are in closed windows, in windows still open, and came too late for theirs.
+
+    Open windows are read from the state store, so the late rows are what is left; the engine's own count of dropped
+    rows is of partial aggregates, not of rows."""
+    spark = closed.sparkSession
+    total = lambda df, x, name: df.agg(F.coalesce(F.sum(x), F.lit(0)).cast("long").alias(name))
+    state = spark.read.format("statestore").option("path", f"{base}/state").load()
+    kept = state.schema["value"].dataType.fields  # by position: several are called "count", the first one counts the rows
+    state = state.select(F.col("value").cast("struct<" + ", ".join(f"f{i}: {f.dataType.simpleString()}" for i, f in enumerate(kept)) + ">").alias("value"))
+    rows = spark.read.parquet(f"{base}/in").agg(F.count(F.lit(1)).alias("rows_in"))
+    out = rows.crossJoin(total(closed, F.col("observation_count"), "rows_closed")).crossJoin(total(state, F.col("value.f0"), "rows_open"))
+    return out.withColumn("rows_late", F.col("rows_in") - F.col("rows_closed") - F.col("rows_open"))
+
 
 def _instant(df: DataFrame, ts: str):
     """Watermarks need an instant; a zone-less time is read as UTC whatever the session zone is."""
@@ -41,13 +68,13 @@ def _wall(x):
 
 def window_aggregates(states: DataFrame, width: str, columns: Sequence[str] = STATE, ts: str = "timestamp",
                       delay: str = "30 seconds") -> DataFrame:
-    """Twin of ``window_features``: windows close when the watermark passes their end; later rows are dropped
-    and show up in numRowsDroppedByWatermark."""
+    """Twin of ``window_features`` and ``distinct_ports``: windows close when the watermark passes their end; rows that come
+    later are dropped, ``window_accounts`` tells how many. There are 65,536 ports, which bounds a window's set of them."""
     aggs = [(F.sum if how == "sum" else F.avg)(c(x).cast("double")).alias(x) for x, how in aggregation_policy(columns).items()]
     lab = F.col("label")
     g = states.withColumn(ts, _instant(states, ts)).withWatermark(ts, delay).groupBy(F.window(ts, width).alias("_w")).agg(
         F.count(F.lit(1)).alias("observation_count"), F.count_if(lab == BENIGN).alias("benign_count"),
-        F.count_if(lab == ATTACK).alias("infiltration_count"), F.approx_count_distinct("dst_port").alias("dst_port_nunique"), *aggs)
+        F.count_if(lab == ATTACK).alias("infiltration_count"), F.size(F.collect_set("dst_port")).cast("long").alias("dst_port_nunique"), *aggs)
     return g.select(_wall(F.col("_w.start")).alias("window_start"), _wall(F.col("_w.end")).alias("window_end"), *[x for x in g.columns if x != "_w"])
 
 
@@ -70,93 +97,37 @@ def deduplicated(rows: DataFrame, columns: Sequence[str], ts: str, delay: str =
 
 FLOW_SCHEMA = ("capture string, protocol int, a_ip string, a_port int, b_ip string, b_port int, start_us long, first_index long, "
                "end_us long, packets long, bytes long, closed_reason string")
-_PACKETS = ["timestamp_us", "index", "side", "ip_total_len", "rst", "fin"]
-_FLOW_STATE = ("open boolean, start long, first long, last long, packets long, bytes long, opener int, ff boolean, fb boolean, "
-               "w_ts array<long>, w_ix array<long>, w_side array<int>, w_len array<long>, w_rst array<boolean>, w_fin array<boolean>")
+#: Width of the buckets in which packets wait.
+BUCKET_US = 10_000_000
 
 
-def flows(packets: DataFrame, timeout_us: int = TIMEOUT_US, delay: str = "130 seconds") -> DataFrame:
+def flows(packets: DataFrame, timeout_us: int = TIMEOUT_US, delay: str = "130 seconds", bucket_us: int = BUCKET_US) -> DataFrame:
     """Twin of ``flow_table`` (identity, counts, closing reason), whatever order packets arrive in within the delay.
 
-    State per pair: the open flow and the packets the watermark has not passed. Packets are folded in the order of
-    their times once no earlier one can come; a timer folds them, and closes quiet flows, when nothing else arrives.
-    What waits is the traffic of ``delay`` at most, and of one micro-batch: bound it with maxFilesPerTrigger.
-    """
+    State of a pair: the open flow, and the packets of the buckets that the watermark has not passed. A flow is given out
+    once the watermark has passed the bucket of its last packet, or of the end of its idle time."""
     spark = packets.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
     keyed = with_key(assignable(packets)).select(
-        *KEY, "index", "timestamp_us", "side", "ip_total_len", has_flag(F.col("tcp_flags"), "RST").alias("rst"),
-        has_flag(F.col("tcp_flags"), "FIN").alias("fin"), F.timestamp_micros("timestamp_us").alias("event_time"))
-
-    def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        out, cur, waiting = [], None, []
-        if state.exists:
-            kept = state.get
-            cur = list(kept[1:9]) if kept[0] else None
-            waiting = list(zip(*kept[9:]))
-        if not state.hasTimedOut:
-            for b in batches:
-                waiting += list(b[_PACKETS].itertuples(index=False, name=None))
-        passed = state.getCurrentWatermarkMs()
-        ready = sorted(r for r in waiting if r[0] // 1000 < passed)
-        waiting = [r for r in waiting if r[0] // 1000 >= passed]
-
-        def close(reason):
-            out.append((*key, *cur[:5], reason))
-
-        for ts, ix, side, size, rst, fin in ready:
-            if cur and ts - cur[2] > timeout_us:
-                close("timeout")
-                cur = None
-            if cur is None:
-                cur = [ts, ix, ts, 0, 0, side, False, False]
-            cur[2], cur[3], cur[4] = ts, cur[3] + 1, cur[4] + size
-            if rst:
-                close("tcp_rst")
-                cur = None
-            elif fin:
-                cur[6 if side == cur[5] else 7] = True
-                if cur[6] and cur[7]:
-                    close("tcp_fin_both")
-                    cur = None
-        if cur and (cur[2] + timeout_us) // 1000 < passed:
-            close("timeout")
-            cur = None
-        if cur or waiting:
-            wake = min([r[0] // 1000 for r in waiting] + ([(cur[2] + timeout_us) // 1000] if cur else []))
-            flow = [int(x) for x in cur[:6]] + [bool(x) for x in cur[6:]] if cur else [0] * 6 + [False] * 2
-            cols = [list(c) for c in zip(*waiting)] if waiting else [[] for _ in _PACKETS]
-            state.update((cur is not None, *flow, *[[int(x) for x in c] for c in cols[:4]], *[[bool(x) for x in c] for c in cols[4:]]))
-            state.setTimeoutTimestamp(max(wake, passed + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=[f.split()[0] for f in FLOW_SCHEMA.split(", ")])
-
-    return keyed.withWatermark("event_time", delay).groupBy(*KEY).applyInPandasWithState(
-        step, FLOW_SCHEMA, _FLOW_STATE, "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def sequences(windows: DataFrame, key: str, step_seconds: int, width: int, steps: int = HISTORY) -> DataFrame:
-    """Twin of ``sliding_sequences`` per key (a link or a day): the last ``steps`` windows are the state and a
-    gap empties it. ``windows`` carries key, window_start (seconds), state."""
-    schema = f"{key} string, input_start long, input_end long, target long, history array<array<double>>, next_state array<double>"
+        *KEY, F.col("index").cast("long").alias("index"), "timestamp_us", "side", F.col("ip_total_len").cast("long").alias("ip_total_len"),
+        has_flag(F.col("tcp_flags"), "RST").alias("rst"), has_flag(F.col("tcp_flags"), "FIN").alias("fin"), F.timestamp_micros("timestamp_us").alias("event_time"))
+    names = [f.split()[0] for f in FLOW_SCHEMA.split(", ")]
+    return keyed.withWatermark("event_time", delay).groupBy(*KEY).transformWithStateInPandas(
+        stateful.Flows(bucket_us, timeout_us, names), FLOW_SCHEMA, "append", "eventTime")
+
 
-    def slide(k, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times, flat = (list(state.get[0]), list(state.get[1])) if state.exists else ([], [])
-        kept = [flat[i * width:(i + 1) * width] for i in range(len(times))]
-        out = []
-        for r in pd.concat(list(batches)).sort_values("window_s").itertuples(index=False):
-            now, vector = int(r.window_s), [float(v) for v in r.state]
-            if times and now - times[-1] > step_seconds:
-                times, kept = [], []
-            if len(times) == steps:
-                out.append((k[0], times[0], times[-1], now, [list(x) for x in kept], vector))
-            times, kept = (times + [now])[-steps:], (kept + [vector])[-steps:]
-        state.update((times, [v for x in kept for v in x]))
-        yield pd.DataFrame(out, columns=[key, "input_start", "input_end", "target", "history", "next_state"])
-
-    return windows.select(key, "window_s", "state").groupBy(key).applyInPandasWithState(
-        slide, schema, "times array<long>, flat array<double>", "append", GroupStateTimeout.NoTimeout)
+def sequences(windows: DataFrame, key: str, step_seconds: int, steps: int = HISTORY, delay: str = "30 minutes") -> DataFrame:
+    """Twin of ``sliding_sequences`` per key (a link or a day), whatever order windows arrive in within the delay.
+
+    ``windows`` carries key, window_start and state. State: the last ``steps`` windows without a gap, and the windows that
+    the watermark has not passed; what is in front of a gap is forgotten as soon as the gap is certain."""
+    spark = windows.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB_PROVIDER)
+    schema = f"{key} string, input_start long, input_end long, target long, history array<array<double>>, next_state array<double>"
+    timed = windows.select(F.col(key).cast("string").alias(key), epoch_micros(F.col("window_start")).alias("window_us"), "state",
+                           _instant(windows, "window_start").alias("event_time"))
+    return timed.withWatermark("event_time", delay).groupBy(key).transformWithStateInPandas(
+        stateful.Sequences(step_seconds, steps, [f.split()[0] for f in schema.split(", ")]), schema, "append", "eventTime")
 
 
 def scored(rows: DataFrame, work: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
