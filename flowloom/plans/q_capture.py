@@ -73,6 +73,24 @@ def scan_pcap_files(spark, d):
     return good.join(bad, "capture_no", "left")
 
 
+@query("scan_pcap_ranges", f"""WITH {m.packets_sql()}, p AS (SELECT *, "index" // 500 AS capture_no, "index" % 500 // 250 AS part, "index" % 250 AS place FROM packets)
+SELECT capture_no, part, {_FILES.split(", ", 1)[1]}, CAST(sum(place * ip_total_len) AS BIGINT) AS places FROM p GROUP BY 1, 2""")
+def scan_pcap_ranges(spark, d):
+    """Files of 250 packets read in ranges of 4 kB; two rotated files are one capture whose frames are numbered through."""
+    one = capture_files(spark, d).select(F.col("capture").cast("long").alias("i"), F.hex(F.substring("content", 25, 1 << 20)).alias("x"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda r: r["x"]), "")
+    head = F.lit("d4c3b2a1020004000000000000000000ffff000001000000")
+    files = one.groupBy(F.floor(F.col("i") / 250).alias("no")).agg(body.alias("body")).select(
+        F.format_string("link%d-%d.pcap", F.floor(F.col("no") / 2), F.col("no") % 2).alias("name"), F.unhex(F.concat(head, "body")).alias("content"))
+    folder = staging_dir(spark, "pcap_files")
+    cap.store_captures(files, folder)
+    rows = cap.read_captures(spark, folder, link=F.regexp_extract("file", r"link(\d+)-\d+\.pcap$", 1), range_bytes=4096)
+    part, place = F.floor(F.col("index") / cap.FILE_STEP), F.col("index") % cap.FILE_STEP
+    return cap.packets(rows).groupBy(F.col("capture").cast("long").alias("capture_no"), part.alias("part")).agg(
+        F.count(F.lit(1)).alias("frames"), F.sum("ip_total_len").alias("bytes"), F.sum("payload_len").alias("payload"), F.min("timestamp_us").alias("first_us"),
+        F.max("timestamp_us").alias("last_us"), F.count("tcp_flags").alias("tcp"), F.sum(place * F.col("ip_total_len")).alias("places"))
+
+
 @query("scan_pcap_malformed", """SELECT CAST(doc_id AS VARCHAR) AS capture, 0 AS frame, CASE WHEN octet_length(encode(text)) < 14 THEN 'Truncated link header.'
 ELSE 'No IPv4 layer present (e.g. ARP or other non-IP frame).' END AS reason FROM documents""")
 def scan_pcap_malformed(spark, d):

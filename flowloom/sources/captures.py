@@ -1,30 +1,140 @@
 """Packet captures (pcap and pcapng) as a source: one row per frame, readable or with a reason. A file that cannot be read
 (on) gives a row with the reason at that place, so no file and no tail vanishes.
 
-A capture cannot be split without walking it, so the unit of work is one file; capture tools rotate files,
-and Spark spreads the files. A task yields batches while it walks, so it never holds the decoded packets of a
-whole file.
+A capture has no marks to find a record by, so ``capture_ranges`` first walks the record lengths of each file, without
+looking at the packets, and cuts it into ranges of records; ``read_captures`` then decodes the ranges in parallel. A file
+may have any size: a task holds a buffer while it walks and one batch of rows while it decodes.
 """
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import PACKET_SCHEMA
+from .tables import staging_dir, write_stage
 
 BATCH = 20_000
 COLUMNS = [f.name for f in PACKET_SCHEMA] + ["reason"]
 SCHEMA = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in PACKET_SCHEMA) + ", reason string"
 
 
-def read_captures(spark: SparkSession, path: str, pattern: str = "*.pcap*") -> DataFrame:
-    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
-    return decode(files.select(F.col("path").alias("capture"), "content"))
+#: Bytes of a range, about; and what a walk reads at once.
+RANGE_BYTES, BUFFER = 64 << 20, 1 << 20
+RANGES = "file string, begin long, end long, first long, state string"
+#: Frames of the n-th file of a link are numbered from n times this.
+FILE_STEP = 1 << 40
+
+
+def _located(path: str):
+    """File system and name of a path as Spark writes it."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.replace("file:/", "file:///", 1)
+    return fs.FileSystem.from_uri(path)
+
+
+def store_captures(files: DataFrame, folder: str) -> None:
+    """Writes (name, content) rows as files; a repeated task writes the same file again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, base = _located(folder)
+        system.create_dir(base, recursive=True)
+        for b in batches:
+            for name, content in zip(b["name"], b["content"]):
+                with system.open_output_stream(f"{base}/{name}") as out:
+                    out.write(bytes(content))
+            yield pd.DataFrame({"files": [len(b)]})
+
+    files.select("name", "content").mapInPandas(run, "files long").agg(F.sum("files")).collect()
+
+
+class Memory:
+    """A capture in memory."""
+
+    def __init__(self, data: bytes):
+        self.data, self.size = data, len(data)
+
+    def at(self, offset: int, n: int) -> bytes:
+        return self.data[offset:offset + n]
+
+
+class Stored:
+    """A capture in a file, read through a buffer; any file system that pyarrow knows."""
+
+    def __init__(self, path: str):
+        system, name = _located(path)
+        self.file, self.start, self.held = system.open_input_file(name), 0, b""
+        self.size = self.file.size()
+
+    def at(self, offset: int, n: int) -> bytes:
+        if offset < self.start or offset + n > self.start + len(self.held):
+            self.file.seek(offset)
+            self.start, self.held = offset, self.file.read(max(n, BUFFER))
+        return self.held[offset - self.start:offset - self.start + n]
+
+
+def capture_ranges(spark: SparkSession, path: str, pattern: str = "*.pcap*", range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Ranges of whole records of all files below ``path``: where they begin and end, the number of their first frame, and
+    what a decoder has to know there (byte order, clock, link types)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path).select("path")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for name in b["path"]:
+                source = Stored(name)
+                state, at, reason = _start(source)
+                if reason:
+                    yield pd.DataFrame([(name, 0, source.size, 0, None)], columns=[x.split()[0] for x in RANGES.split(", ")])
+                    continue
+                begin, first, count, known = at, 0, 0, json.dumps(state)
+                out = []
+                for after, frame in _records(source, state, at, source.size, bodies=False):
+                    count += frame is not None
+                    if after - begin >= range_bytes:
+                        out.append((name, begin, after, first, known))
+                        begin, first, known = after, count, json.dumps(state)
+                if begin < source.size:
+                    out.append((name, begin, source.size, first, known))
+                yield pd.DataFrame(out, columns=[x.split()[0] for x in RANGES.split(", ")])
+
+    listed = spark.read.parquet(write_stage(files, staging_dir(spark, "capture_files")))
+    return listed.repartition("path").mapInPandas(run, RANGES)
+
+
+def read_captures(spark: SparkSession, path: str, pattern: str = "*.pcap*", link: Column | None = None, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Frames of all captures below ``path`` with their ``file``.
+
+    ``link``: what one capture point is called, from ``file``; rotated files of one link then have one ``capture``, so
+    that a flow over two of them is one flow. Without it every file is a capture of its own. Frames are numbered through
+    the files of a link in the order of their names."""
+    ranges = spark.read.schema(RANGES).parquet(write_stage(capture_ranges(spark, path, pattern, range_bytes), staging_dir(spark, "capture_ranges")))
+    named = ranges.withColumn("capture", F.col("file") if link is None else link)
+    files = named.select("capture", "file").distinct()
+    files = files.withColumn("number", F.row_number().over(Window.partitionBy("capture").orderBy("file")) - 1)
+    dealt = named.join(files.select("file", "number"), "file").repartition("file", "begin")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        for b in batches:
+            for r in b.itertuples(index=False):
+                source = Stored(r.file)
+                frames = _frames(source, json.loads(r.state), r.begin, r.end) if r.state else _frames(source)
+                for i, frame in enumerate(frames, r.number * FILE_STEP + r.first):
+                    rows.append((r.capture, i, *_packet(*frame), r.file))
+                    if len(rows) >= BATCH:
+                        yield _frame_table(rows, [*COLUMNS, "file"])
+                        rows = []
+        if rows:
+            yield _frame_table(rows, [*COLUMNS, "file"])
+
+    return dealt.mapInPandas(run, SCHEMA + ", file string")
 
 
 def decode(files: DataFrame) -> DataFrame:
@@ -34,7 +144,7 @@ def decode(files: DataFrame) -> DataFrame:
         rows: list[tuple] = []
         for b in batches:
             for name, content in zip(b["capture"], b["content"]):
-                for i, frame in enumerate(_frames(bytes(content))):
+                for i, frame in enumerate(_frames(Memory(bytes(content)))):
                     rows.append((name, i, *_packet(*frame)))
                     if len(rows) >= BATCH:
                         yield _frame_table(rows)
@@ -53,56 +163,84 @@ def malformed(decoded: DataFrame) -> DataFrame:
     return decoded.where("reason IS NOT NULL").select("capture", "index", "reason")
 
 
-def _frame_table(rows: list[tuple]) -> pd.DataFrame:
-    return pd.DataFrame(rows, columns=COLUMNS).astype({c: "Int64" for c in COLUMNS if c not in ("capture", "src_ip", "dst_ip", "reason")})
+def _frame_table(rows: list[tuple], columns: list[str] = COLUMNS) -> pd.DataFrame:
+    text = ("capture", "src_ip", "dst_ip", "reason", "file")
+    return pd.DataFrame(rows, columns=columns).astype({c: "Int64" for c in columns if c not in text})
 
 
-def _frames(data: bytes) -> Iterator[tuple]:
+def _frames(source, state: dict | None = None, begin: int = 0, end: int | None = None) -> Iterator[tuple]:
     """(timestamp_us, link type, frame bytes, reason) in file order; with a reason where the file itself cannot be read on."""
-    magic = data[:4]
-    if magic == b"\x0a\x0d\x0d\x0a":
-        yield from _frames_ng(data)
-        return
-    # File magic, byte order and clock ticks per microsecond.
-    kinds = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
-    if magic not in kinds:
-        yield None, None, b"", "file: unknown magic"
-        return
-    if len(data) < 24:
-        yield None, None, b"", "file: header cut short"
+    if state is None:
+        state, begin, reason = _start(source)
+        if reason:
+            yield None, None, b"", reason
+            return
+    for _, frame in _records(source, state, begin, source.size if end is None else end):
+        if frame is not None:
+            yield frame
+
+
+# File magic, byte order and clock ticks per microsecond.
+_MAGIC = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1), b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
+_SECTION = b"\x0a\x0d\x0d\x0a"
+
+
+def _start(source) -> tuple[dict | None, int, str | None]:
+    """What holds at the first record, where that is, or why the file cannot be read."""
+    magic = source.at(0, 4)
+    if magic == _SECTION:
+        return {"blocks": True, "order": "<", "links": []}, 0, None
+    if magic not in _MAGIC:
+        return None, 0, "file: unknown magic"
+    if source.size < 24:
+        return None, 0, "file: header cut short"
+    order, unit = _MAGIC[magic]
+    return {"blocks": False, "order": order, "unit": unit, "link": struct.unpack(order + "I", source.at(20, 4))[0] & 0xFFFF}, 24, None
+
+
+def _records(source, state: dict, at: int, end: int, bodies: bool = True) -> Iterator[tuple[int, tuple | None]]:
+    """(offset behind it, frame or None where a block holds none) of each record; ``state`` is kept up to date.
+
+    Without ``bodies`` packets are passed over by their lengths, and frames come without their bytes."""
+    if state["blocks"]:
+        yield from _blocks(source, state, at, end, bodies)
         return
-    order, unit = kinds[magic]
-    link = struct.unpack(order + "I", data[20:24])[0] & 0xFFFF
-    at = 24
-    while at < len(data):
-        if at + 16 > len(data):
-            yield None, link, data[at:], "record: header cut short"
+    order, unit, link = state["order"], state["unit"], state["link"]
+    while at < end:
+        head = source.at(at, 16)
+        if len(head) < 16:
+            yield source.size, (None, link, head, "record: header cut short")
             return
-        sec, frac, size, _ = struct.unpack(order + "IIII", data[at:at + 16])
-        frame = data[at + 16:at + 16 + size]
-        yield sec * 1_000_000 + (frac + unit // 2) // unit, link, frame, None if len(frame) == size else "record: data cut short"
+        sec, frac, size, _ = struct.unpack(order + "IIII", head)
+        whole = at + 16 + size <= source.size
+        frame = source.at(at + 16, size) if bodies else b""
         at += 16 + size
+        yield at, (sec * 1_000_000 + (frac + unit // 2) // unit, link, frame, None if whole else "record: data cut short")
 
 
 #: Pcapng blocks that carry no packet (section, interface, names, statistics, journal, secrets, custom).
 _NO_PACKET = {0x0A0D0D0A, 1, 4, 5, 9, 10, 0x0BAD, 0x40000BAD}
 
 
-def _frames_ng(data: bytes) -> Iterator[tuple]:
-    order, links, at = "<", [], 0
-    while at < len(data):
-        if at + 12 > len(data):
-            yield None, None, b"", "block: header cut short"
+def _blocks(source, state: dict, at: int, end: int, bodies: bool) -> Iterator[tuple[int, tuple | None]]:
+    while at < end:
+        head = source.at(at, 12)
+        if len(head) < 12:
+            yield source.size, (None, None, b"", "block: header cut short")
             return
-        if data[at:at + 4] == b"\x0a\x0d\x0d\x0a":
-            order, links = ("<" if data[at + 8:at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
-        kind, size = struct.unpack(order + "II", data[at:at + 8])
-        if size < 12 or at + size > len(data):
-            yield None, None, b"", "block: wrong length" if size < 12 else "block: data cut short"
+        if head[:4] == _SECTION:
+            state["order"], state["links"] = ("<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"), []
+        order, links = state["order"], state["links"]
+        kind, size = struct.unpack(order + "II", head[:8])
+        if size < 12 or at + size > source.size:
+            yield source.size, (None, None, b"", "block: wrong length" if size < 12 else "block: data cut short")
             return
-        body = data[at + 8:at + size - 4]
+        body = source.at(at + 8, size - 12) if bodies or kind == 1 else b""
+        at, found = at + size, None
         if kind == 1 and len(body) >= 8:
             links.append((struct.unpack(order + "H", body[:2])[0], _ticks(body[8:], order), struct.unpack(order + "I", body[4:8])[0]))
+        elif kind in (2, 3, 6) and not bodies:
+            found = (None, None, b"", None)
         elif kind in (2, 6) and len(body) >= 20:
             if kind == 6:
                 iface, high, low, cap = struct.unpack(order + "IIII", body[:16])
@@ -110,14 +248,14 @@ def _frames_ng(data: bytes) -> Iterator[tuple]:
                 iface, _, high, low, cap = struct.unpack(order + "HHIII", body[:16])
             link, per_sec, _ = links[iface] if iface < len(links) else (1, 1_000_000, 0)
             ticks, frame = (high << 32) | low, body[20:20 + cap]
-            yield (ticks * 1_000_000 + per_sec // 2) // per_sec, link, frame, None if len(frame) == cap else "record: data cut short"
+            found = ((ticks * 1_000_000 + per_sec // 2) // per_sec, link, frame, None if len(frame) == cap else "record: data cut short")
         elif kind == 3 and len(body) >= 4:  # a packet without a time: as long as stated, or as the interface keeps
             link, _, snap = links[0] if links else (1, 1_000_000, 0)
             size_on_wire = struct.unpack(order + "I", body[:4])[0]
-            yield None, link, body[4:4 + (min(size_on_wire, snap) if snap else size_on_wire)], "packet without a time"
+            found = (None, link, body[4:4 + (min(size_on_wire, snap) if snap else size_on_wire)], "packet without a time")
         elif kind not in _NO_PACKET:
-            yield None, None, b"", f"block: unknown kind {kind}"
-        at += size
+            found = (None, None, b"", f"block: unknown kind {kind}")
+        yield at, found
 
 
 def _ticks(options: bytes, order: str) -> int:

@@ -109,3 +109,35 @@ def test_csv_bound_by_header(spark, tmp_path):
     assert sorted(r.line for r in tb.rejected_lines(raw).collect()) == ["4,5", "6,7,8,9"] and tb.rejected_lines(raw).count() == 2
     with pytest.raises(ValueError, match="missing"):
         tb.read_flow_csv(spark, str(tmp_path), ["x", "w"])
+
+
+@pytest.mark.parametrize("make", [pcap, lambda f: pcap(f, ">"), pcapng])
+@pytest.mark.parametrize("tail", [b"", b"\x01\x02\x03"])
+def test_ranges_give_the_rows_of_one_task(spark, tmp_path, make, tail):
+    data = make(FRAMES * 40) + tail
+    (tmp_path / "a.pcap").write_bytes(data)
+    (tmp_path / "b.pcapng").write_bytes(make(FRAMES))
+    (tmp_path / "c.pcap").write_bytes(b"nothing of the kind")
+    (tmp_path / "d.pcap").write_bytes(make([]))
+    path = "file:" + str(tmp_path)
+    assert cap.capture_ranges(spark, path, range_bytes=300).count() > 40
+    fields = [f for f in cap.COLUMNS if f != "capture"]
+    name = F.element_at(F.split("capture", "/"), -1)
+    rows = lambda df: sorted((tuple(r) for r in df.select(name.alias("capture"), *fields).collect()), key=str)
+    whole = spark.read.format("binaryFile").option("pathGlobFilter", "*.pcap*").load(path).select(F.col("path").alias("capture"), "content")
+    want = rows(cap.decode(whole))
+    assert rows(cap.read_captures(spark, path, range_bytes=300)) == want and len(want) >= 41 * len(FRAMES)
+    assert rows(cap.read_captures(spark, path)) == want
+
+
+def test_rotated_files_are_one_capture(spark, tmp_path):
+    from flowloom.operators import flows as fl
+
+    frame = lambda t: struct.pack("<IIII", t, 0, len(FRAMES[0]), len(FRAMES[0])) + FRAMES[0]
+    head = pcap([])
+    for i in range(3):
+        (tmp_path / f"eth0-{i}.pcap").write_bytes(head + frame(100 + i) + frame(101 + i))
+    read = lambda **kw: cap.packets(cap.read_captures(spark, str(tmp_path), **kw)).drop("file")
+    flows = lambda p: fl.flow_features(fl.label_packets(p)).select("capture", "`Tot Fwd Pkts`").collect()
+    assert flows(read(link=F.lit("eth0"))) == [("eth0", 6)]
+    assert len(flows(read())) == 3
