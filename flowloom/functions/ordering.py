@@ -18,6 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..sources.tables import staging_dir, write_stage
+
 BEFORE = (Window.unboundedPreceding, -1)
 UPTO = (Window.unboundedPreceding, Window.currentRow)
 
@@ -40,6 +42,29 @@ def dense_number(df: DataFrame, name: str, order: Sequence[str], cell: Column, b
     )
 
 
+def number_rows(df: DataFrame, name: str, order: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
+    """0-based dense number in ``order`` per ``by``, for rows of any density: ranges are cut by rows.
+
+    The rows are range-partitioned, written once with their place (a second run would cut elsewhere), and get the number of
+    rows in the ranges before theirs, one row a range. ``order`` must tell rows apart, else equal ones are one range."""
+    spark, by = df.sparkSession, list(by)
+    place = df.repartitionByRange(*by, *order).sortWithinPartitions(*by, *order).withColumn("_at", F.monotonically_increasing_id())
+    path = write_stage(place, staging_dir(spark, "numbered"))
+    rows = spark.read.schema(place.schema).parquet(path).withColumn("_p", F.shiftright("_at", 33))
+    across = Window.orderBy("_p").rowsBetween(*BEFORE)
+    before = rows.groupBy("_p").agg(F.count(F.lit(1)).alias("_n")).select("_p", F.coalesce(F.sum("_n").over(across), F.lit(0)).alias("_off"))
+    out = rows.join(F.broadcast(before), "_p").withColumn("_pos", F.col("_at").bitwiseAND((1 << 33) - 1) + F.col("_off"))
+    if by:
+        start = out.groupBy(*by).agg(F.min("_pos").alias("_start"))
+        same = F.lit(True)
+        for c in by:
+            same &= F.col(f"_o.{c}").eqNullSafe(F.col(f"_s.{c}"))
+        out = out.alias("_o").join(start.alias("_s"), same).select("_o.*", (F.col("_pos") - F.col("_start")).alias("_num"))
+    else:
+        out = out.withColumn("_num", F.col("_pos"))
+    return out.select(*[F.col(f"`{c}`") for c in df.columns], F.col("_num").cast("long").alias(name))
+
+
 def with_halo(df: DataFrame, id_col: str, before: int, after: int, chunk: int = 8192) -> DataFrame:
     """Adds ``_chunk`` and ``_core``: each chunk holds its own ids plus ``before``/``after`` neighbours.
 

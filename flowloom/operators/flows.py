@@ -1,30 +1,21 @@
 """Packets to flows: keys, closing rules, directions and the 65 flow features.
 
 A flow of one endpoint pair ends on an idle gap, on RST, or once FIN was seen from both ends; the next
-packet of the pair starts a new one. That is a sequential rule, but it needs no Python and no per-key list:
-
-* idle gaps and RST depend on the packet before only (LAG);
-* the FIN rule is a two-state automaton. A FIN from the other end than the last FIN *turns* the state, a FIN
-  from the same end *sets* it to "half closed", a new flow by gap or RST *clears* it. So the state after a
-  packet is the parity of the turns since the last set or clear, a running sum; a turn that arrives at
-  state 0 closes the flow.
-
-Skew: once any pair has more than ``hot_rows`` packets, pairs are cut into time slices and each slice is a group of its own;
-what a slice must know about the past (last packet, last FIN end, automaton state, open flow) is one row per
-slice, passed along by windows over these rows. Until then every pair is one small group, by that bound.
+packet of the pair starts a new one. ``flowscan`` applies that sequential rule over slices of rows, so a pair or a second
+with any share of the packets is as many tasks as its rows need.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import INF, from_micros, int_ratio
-from ..functions.ordering import BEFORE, UPTO, dense_number
+from ..functions.ordering import number_rows
 from ..schema import FEATURES, INT_FEATURES, TCP_FLAGS
-from ..sources.tables import staging_dir, write_stage
+from .flowscan import scan
 
 TIMEOUT_US = 120_000_000
 IDLE_US = 5_000_000
@@ -63,133 +54,19 @@ def unassigned(packets: DataFrame) -> DataFrame:
     return bad.select("capture", "index", text.alias("reason"))
 
 
-def _previous(column: str, across, earlier: bool = True) -> Column:
-    frame = across.rowsBetween(*BEFORE) if earlier else across.rowsBetween(*UPTO)
-    return F.last(column, ignorenulls=True).over(frame)
-
-
-def label_packets(packets: DataFrame, timeout_us: int = TIMEOUT_US, idle_us: int = IDLE_US, hot_rows: int = 1_000_000,
-                  slice_us: int = 600_000_000) -> DataFrame:
+def label_packets(packets: DataFrame, timeout_us: int = TIMEOUT_US, idle_us: int = IDLE_US, slices: int | None = None) -> DataFrame:
     """Packets with their flow: start position (ts, index), opening side, previous times and closing marks.
 
     Adds ``flow`` (struct ts, index, side of the first packet), ``prev_ts`` (packet before, any direction),
     ``same_prev`` (struct of the packet before from the same end), ``burst_ts`` / ``prev_burst_ts`` (start of
     the current / preceding burst), ``starts``, ``rst``, ``fin_close``, ``ends_pair`` (last packet of the pair).
 
-    One small job finds the size of the largest pair, a single number. Up to ``hot_rows`` every pair is one group, bounded by
-    that; beyond, every pair is cut into time slices. Results are the same, no key is collected or broadcast.
+    ``slices``: number of row ranges, as many as there are shuffle partitions if not given. The result does not depend on it.
     """
     keyed = with_key(assignable(packets)).withColumn("rst", has_flag(F.col("tcp_flags"), "RST")).withColumn(
         "fin", has_flag(F.col("tcp_flags"), "FIN") & ~F.col("rst"))
-    largest = keyed.groupBy(*KEY).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
-    keep = [*packets.columns, *[k for k in KEY if k not in packets.columns], "side", "prev_ts", "same_prev", "starts", "rst",
-            "fin_close", "ends_pair"]
-    if largest <= hot_rows:
-        return _label(keyed.withColumn("_slice", F.lit(-1).cast("long")), keep, timeout_us, idle_us, carry=False)
-    return _label(keyed.withColumn("_slice", F.floor(F.col("timestamp_us") / slice_us).cast("long")), keep, timeout_us, idle_us, carry=True)
-
-
-def _stored(df: DataFrame) -> DataFrame:
-    """Each step is read by two branches; writing it once keeps that from multiplying."""
-    spark = df.sparkSession
-    return spark.read.parquet(write_stage(df, staging_dir(spark, "packet_slices")))
-
-
-def _label(df: DataFrame, keep: Sequence[str], timeout_us: int, idle_us: int, carry: bool) -> DataFrame:
-    part = [*KEY, "_slice"]
-    w = Window.partitionBy(*part).orderBy("timestamp_us", "index")
-    before, upto = w.rowsBetween(*BEFORE), w.rowsBetween(*UPTO)
-    across = Window.partitionBy(*KEY).orderBy("_slice")
-    pos = F.struct(F.col("timestamp_us").alias("ts"), F.col("index").alias("ix"))
-    pos_side = F.struct(F.col("timestamp_us").alias("ts"), F.col("index").alias("ix"), F.col("side").alias("sd"))
-    null = lambda kind: F.lit(None).cast(kind)
-
-    # 1. breaks by gap or RST; last FIN end
-    local = (
-        df.withColumn("_pts", F.lag("timestamp_us").over(w)).withColumn("_prst", F.lag("rst").over(w))
-        .withColumn("_hard", F.when(F.col("_pts").isNotNull(),
-                                    (F.col("timestamp_us") - F.col("_pts") > timeout_us) | F.col("_prst")))
-    )
-    if carry:
-        x = local.join(_past_packets(local, part, across, pos, pos_side, timeout_us), part)
-    else:
-        x = local.withColumns({"_in_ts": null("long"), "_in_hard": null("boolean"), "_in_fin": null("int"), "_in_final": null("boolean"),
-                               "_in_l0": null("struct<ts:long,ix:long>"), "_in_l1": null("struct<ts:long,ix:long>")})
-    x = x.withColumn("prev_ts", F.coalesce("_pts", "_in_ts")).withColumn(
-        "hard", F.coalesce(F.col("_hard"), F.col("_in_hard"), F.lit(True)))
-    x = x.withColumn("ends_pair", F.lead("timestamp_us").over(w).isNull() & F.coalesce(F.col("_in_final"), F.lit(True)))
-    x = x.withColumn("_mark", F.when(F.col("fin"), F.col("side")).when(F.col("hard"), F.lit(-1)))
-    x = x.withColumn("_pf", F.when(F.col("hard"), F.lit(-1)).otherwise(
-        F.coalesce(F.last("_mark", True).over(before), F.col("_in_fin"), F.lit(-1))))
-    x = x.withColumn("_turn", (F.col("fin") & (F.col("_pf") != F.col("side"))).cast("int")).withColumn(
-        "_set", F.col("fin") & (F.col("_pf") == F.col("side")))
-
-    # 2. parity of turns since the last set or clear
-    x = x.withColumn("_c", F.sum("_turn").over(upto))
-    x = x.withColumn("_m", F.when(F.col("_set"), F.struct(F.lit(1).alias("b"), F.col("_c").alias("c"))).when(
-        F.col("hard"), F.struct(F.lit(0).alias("b"), (F.col("_c") - F.col("_turn")).alias("c"))))
-    x = x.withColumn("_cur", F.last("_m", True).over(upto))
-    if carry:
-        x = _stored(x)
-        x = x.join(_past_state(x, part, across), part)
-    else:
-        x = x.withColumns({"_in_d": null("long"), "_in_closed": null("boolean")})
-    state = F.when(F.col("_cur").isNotNull(), F.col("_cur.b") + F.col("_c") - F.col("_cur.c")).otherwise(
-        F.coalesce(F.col("_in_d"), F.lit(0)) + F.col("_c"))
-    x = x.withColumn("fin_close", (F.col("_turn") == 1) & (F.pmod(state, F.lit(2)) == 0))
-
-    # 3. flow and burst starts
-    x = x.withColumn("starts", F.col("hard") | F.coalesce(F.lag("fin_close").over(w), F.col("_in_closed"), F.lit(False)))
-    x = x.withColumn("_b", F.when(F.col("starts") | (F.col("timestamp_us") - F.col("prev_ts") >= idle_us), F.col("timestamp_us")))
-    x = x.withColumn("_f", F.when(F.col("starts"), pos_side))
-    x = x.withColumn("_lf", F.last("_f", True).over(upto)).withColumn("_lb", F.last("_b", True).over(upto)).withColumn(
-        "_plb", F.last("_b", True).over(before))
-    same = lambda s: F.last(F.when(F.col("side") == s, pos), True).over(before)
-    x = x.withColumn("same_prev", F.when(F.col("side") == 0, F.coalesce(same(0), F.col("_in_l0"))).otherwise(
-        F.coalesce(same(1), F.col("_in_l1"))))
-    if carry:
-        x = _stored(x)
-        s3 = x.groupBy(*part).agg(F.max("_f").alias("f"), F.max("_b").alias("b"))
-        x = x.join(s3.select(*part, _previous("f", across).alias("_in_f"), _previous("b", across).alias("_in_b")), part)
-    else:
-        x = x.withColumns({"_in_f": null("struct<ts:long,ix:long,sd:int>"), "_in_b": null("long")})
-    return x.select(*keep, F.coalesce("_lf", "_in_f").alias("flow"), F.coalesce("_lb", "_in_b").alias("burst_ts"),
-                    F.coalesce("_plb", "_in_b").alias("prev_burst_ts"))
-
-
-def _past_packets(local: DataFrame, part: Sequence[str], across, pos: Column, pos_side: Column, timeout_us: int) -> DataFrame:
-    """Per slice: the packet before it, whether it opens with a break, the last FIN end and last packet per end."""
-    s1 = local.groupBy(*part).agg(
-        F.min(pos).alias("first"), F.max(F.struct("timestamp_us", "index", "rst")).alias("last"),
-        F.max(F.when(F.col("_hard"), pos)).alias("brk"), F.max(F.when(F.col("fin"), pos_side)).alias("fin"),
-        F.max(F.when(F.col("side") == 0, pos)).alias("l0"), F.max(F.when(F.col("side") == 1, pos)).alias("l1"))
-    s1 = s1.withColumn("pl", F.lag("last").over(across)).withColumn(
-        "hard0", F.col("pl").isNull() | (F.col("first.ts") - F.col("pl.timestamp_us") > timeout_us) | F.col("pl.rst"))
-    brk = F.coalesce(F.col("brk"), F.when(F.col("hard0"), F.col("first")))
-    fin_pos = F.struct(F.col("fin.ts").alias("ts"), F.col("fin.ix").alias("ix"))
-    s1 = s1.withColumn("mark", F.when(F.col("fin").isNotNull() & (brk.isNull() | (fin_pos >= brk)), F.col("fin.sd")).when(
-        brk.isNotNull(), F.lit(-1)))
-    return s1.select(*part, F.col("pl.timestamp_us").alias("_in_ts"), F.col("hard0").alias("_in_hard"),
-                    F.coalesce(_previous("mark", across), F.lit(-1)).alias("_in_fin"),
-                    F.lead("_slice").over(across).isNull().alias("_in_final"),
-                    _previous("l0", across).alias("_in_l0"), _previous("l1", across).alias("_in_l1"))
-
-
-def _past_state(x: DataFrame, part: Sequence[str], across) -> DataFrame:
-    """Per slice: automaton state before it, and whether the packet before it closed a flow."""
-    s2 = x.groupBy(*part).agg(
-        F.sum("_turn").alias("turns"),
-        F.max(F.when(F.col("_m").isNotNull(), F.struct("timestamp_us", "index", "_m"))).alias("m"),
-        F.max(F.struct("timestamp_us", "index", "_turn")).alias("last"))
-    s2 = s2.withColumn("fixed", F.pmod(F.col("m._m.b") + F.col("turns") - F.col("m._m.c"), F.lit(2)))
-    s2 = s2.withColumn("free", F.when(F.col("fixed").isNull(), F.col("turns")).otherwise(F.lit(0)))
-    s2 = s2.withColumn("run", F.sum("free").over(across.rowsBetween(*UPTO)))
-    s2 = s2.withColumn("at", F.when(F.col("fixed").isNotNull(), F.struct(F.col("fixed"), F.col("run"))))
-    s2 = s2.withColumn("pat", _previous("at", across)).withColumn("prun", F.lag("run").over(across))
-    s2 = s2.withColumn("din", F.pmod(F.col("pat.fixed") + F.col("prun") - F.col("pat.run"), F.lit(2)))
-    s2 = s2.withColumn("dout", F.coalesce(F.col("fixed"), F.pmod(F.col("din") + F.col("turns"), F.lit(2))))
-    s2 = s2.withColumn("ends", (F.col("last._turn") == 1) & (F.col("dout") == 0))
-    return s2.select(*part, F.col("din").alias("_in_d"), F.lag("ends").over(across).alias("_in_closed"))
+    keep = [*packets.columns, *[k for k in KEY if k not in packets.columns], "side", "rst"]
+    return scan(keyed.select(*keep, "fin"), KEY, timeout_us, idle_us, slices).drop("fin")
 
 
 def with_gaps(labeled: DataFrame) -> DataFrame:
@@ -284,8 +161,8 @@ def flow_table(packets: DataFrame, **kw) -> DataFrame:
     return number_flows(flow_features(label_packets(packets, **kw)))
 
 
-def number_flows(flows: DataFrame, cell_us: int = 60_000_000) -> DataFrame:
-    return dense_number(flows, "flow_id", ["start_us", "first_index"], F.floor(F.col("start_us") / cell_us), ["capture"])
+def number_flows(flows: DataFrame) -> DataFrame:
+    return number_rows(flows, "flow_id", ["start_us", "first_index"], ["capture"])
 
 
 SUMMARY = ["flow_id", "initiator_ip", "initiator_port", "responder_ip", "responder_port", "protocol", "start_us", "end_us",

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import c, minmax_scaled
+from ..functions.ordering import number_rows
 from ..operators import chain
 from ..operators import cleaning as cl
 from ..operators import dedup as dd
@@ -218,12 +219,7 @@ def encode_label(spark, d):
 
 @query("assign_row_id", "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS row_id FROM events")
 def assign_row_id(spark, d):
-    from ..functions.numeric import epoch_seconds
-    from ..functions.ordering import dense_number
-
-    # One cell per minute of event time: a bound on rows per task that follows the ingest rate, not the table.
-    df = m.table(spark, d, "events").select("event_id", "ts")
-    return dense_number(df, "row_id", ["ts", "event_id"], F.floor(epoch_seconds(F.col("ts")) / 60)).select("event_id", "row_id")
+    return number_rows(m.table(spark, d, "events").select("event_id", "ts"), "row_id", ["ts", "event_id"]).select("event_id", "row_id")
 
 
 @query("minmax_normalize", f"""WITH {m.flows_sql(["row_id", "Flow Duration"])}, r AS (SELECT min("Flow Duration") AS lo, max("Flow Duration") AS hi FROM flows)

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..schema import PACKET_SCHEMA
-from .tables import staging_dir, write_stage
+from .tables import located, staging_dir, write_stage
 
 BATCH = 20_000
 COLUMNS = [f.name for f in PACKET_SCHEMA] + ["reason"]
@@ -31,20 +31,11 @@ RANGES = "file string, begin long, end long, first long, state string"
 FILE_STEP = 1 << 40
 
 
-def _located(path: str):
-    """File system and name of a path as Spark writes it."""
-    from pyarrow import fs
-
-    if path.startswith("file:/") and not path.startswith("file://"):
-        path = path.replace("file:/", "file:///", 1)
-    return fs.FileSystem.from_uri(path)
-
-
 def store_captures(files: DataFrame, folder: str) -> None:
     """Writes (name, content) rows as files; a repeated task writes the same file again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, base = _located(folder)
+        system, base = located(folder)
         system.create_dir(base, recursive=True)
         for b in batches:
             for name, content in zip(b["name"], b["content"]):
@@ -69,7 +60,7 @@ class Stored:
     """A capture in a file, read through a buffer; any file system that pyarrow knows."""
 
     def __init__(self, path: str):
-        system, name = _located(path)
+        system, name = located(path)
         self.file, self.start, self.held = system.open_input_file(name), 0, b""
         self.size = self.file.size()
 

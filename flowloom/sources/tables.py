@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import csv
 import tempfile
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,16 +31,38 @@ def staging_dir(spark: SparkSession, name: str) -> str:
 CORRUPT = "_corrupt_line"
 
 
+def located(path: str):
+    """File system and name of a path as Spark writes it."""
+    from pyarrow import fs
+
+    if path.startswith("file:/") and not path.startswith("file://"):
+        path = path.replace("file:/", "file:///", 1)
+    return fs.FileSystem.from_uri(path)
+
+
 def csv_headers(spark: SparkSession, path: str) -> dict[tuple[str, ...], list[str]]:
-    """Files below ``path`` by their header line. One small job per file reads its first line; day files are few."""
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path)
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for row in listed.select("path").collect():
-        first = spark.read.text(row.path).first()
-        if first is not None:
-            names = tuple(x.strip() for x in next(csv.reader([first[0]])))
-            groups.setdefault(names, []).append(row.path)
-    return groups
+    """Files below ``path`` by their header line. One job for any number of files: tasks read the first line of each, and
+    files of one header come back together; their names go to the CSV reader."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv").load(path).select("path")
+
+    def first_lines(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            lines = []
+            for name in b["path"]:
+                system, inner = located(name)
+                with system.open_input_stream(inner) as f:
+                    block, line = b"", b""
+                    while b"\n" not in line and (block := f.read(1 << 16)):
+                        line += block
+                lines.append(line.split(b"\n", 1)[0].rstrip(b"\r").decode("utf-8", "replace") if line else None)
+            yield pd.DataFrame({"path": b["path"], "line": lines})
+
+    groups = listed.mapInPandas(first_lines, "path string, line string").where("line IS NOT NULL").groupBy("line").agg(F.sort_array(F.collect_list("path")).alias("files"))
+    found: dict[tuple[str, ...], list[str]] = {}
+    for row in groups.collect():
+        names = tuple(x.strip() for x in next(csv.reader([row.line.removeprefix("\ufeff")])))
+        found[names] = sorted([*found.get(names, []), *row.files])
+    return found
 
 
 def read_flow_csv(spark: SparkSession, path: str, columns: Sequence[str] = RAW_COLUMNS) -> DataFrame:

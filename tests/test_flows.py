@@ -57,7 +57,7 @@ def as_df(spark, rows):
     return spark.createDataFrame([tuple(r[f.name] for f in PACKET_SCHEMA) for r in rows], PACKET_SCHEMA)
 
 
-@pytest.mark.parametrize("kw", [{}, {"hot_rows": 0, "slice_us": 7_000_000}, {"hot_rows": 60, "slice_us": 50_000_000}])
+@pytest.mark.parametrize("kw", [{}, {"slices": 40}, {"slices": 3}])
 @pytest.mark.parametrize("seed", [1, 2])
 def test_flows_match_fold(spark, seed, kw):
     rows = capture(seed, 260)
@@ -71,7 +71,7 @@ def test_flows_match_fold(spark, seed, kw):
 def test_sliced_features_equal_unsliced(spark):
     df = as_df(spark, capture(7, 200, keys=1))
     a = fl.flow_table(df)
-    b = fl.flow_table(df, hot_rows=0, slice_us=5_000_000)
+    b = fl.flow_table(df, slices=25)
     ra, rb = a.orderBy("flow_id").collect(), b.select(*a.columns).orderBy("flow_id").collect()
     assert len(ra) == len(rb)
     for x, y in zip(ra, rb):
@@ -143,3 +143,42 @@ def test_stream_does_not_depend_on_arrival(spark, tmp_path):
         if (end + (fl.TIMEOUT_US if reason == "timeout" else 0)) // 1000 < passed:
             want.append((start, ix, end, n, reason))
     assert sorted(map(tuple, got)) == want and len(want) > 20
+
+
+def test_one_busy_second_is_many_tasks(spark):
+    """One pair, everything within a second and no break: every slice depends on all slices before it."""
+    r = random.Random(3)
+    rows = [packet(i, 10**6 + i * 2, r.random() < 0.6, flags=r.choice([16, 16, 16, 16, 17])) for i in range(5000)]
+    cut = fl.label_packets(as_df(spark, rows), slices=16)
+    whole = fl.label_packets(as_df(spark, rows), slices=1)
+    order = lambda df: sorted(tuple(map(str, x)) for x in df.collect())
+    assert order(cut) == order(whole)
+    assert sorted(tuple(x)[:6] for x in fl.flow_table(as_df(spark, rows), slices=16).select(
+        "start_us", "first_index", "end_us", F.expr("`Tot Fwd Pkts` + `Tot Bwd Pkts`"), "`Tot Fwd Pkts`", "closed_reason").collect()) == fold(rows, fl.TIMEOUT_US)
+
+
+def test_numbers_of_tied_and_grouped_rows(spark):
+    from flowloom.functions.ordering import number_rows
+
+    rows = [(g, t, i) for i, (g, t) in enumerate([("a", 1)] * 50 + [("b", 2)] * 30 + [(None, 3)] * 4 + [("a", 0)])]
+    got = number_rows(spark.createDataFrame(rows, "g string, t int, i int"), "n", ["t", "i"], ["g"]).collect()
+    for g in ("a", "b", None):
+        mine = sorted((r.t, r.i, r.n) for r in got if r.g == g)
+        assert [n for *_, n in mine] == list(range(len(mine)))
+
+
+@pytest.mark.parametrize("slice_rows", [7, 64, 10**6])
+def test_interval_join_of_a_hot_port(spark, slice_rows):
+    from flowloom.operators import matching as mt
+
+    r = random.Random(8)
+
+    def side(n):
+        return [(i, 6 if r.random() < 0.8 else 17, 443 if r.random() < 0.8 else r.randrange(3), r.randrange(40) * 500_000, r.randrange(3) * 10**6, 1, r.randrange(2), 5, 0) for i in range(n)]
+
+    a, b = side(120), side(150)
+    make = lambda rows: spark.createDataFrame(rows, "id long, protocol int, dst_port int, us long, dur long, fp long, bp long, fb long, bb long").withColumn("ts", fl.from_micros(F.col("us"))).drop("us")
+    got = mt.match_flows(make(a), make(b), 2_000_000, slice_rows).select("candidate_id", "reference_id", "timestamp_diff_s", "match_score").collect()
+    want = [(x[0], y[0], abs(x[3] - y[3]) / 1e6, (abs(x[4] - y[4]) < 500_000) + sum(p == q for p, q in zip(x[5:], y[5:])))
+            for x in a for y in b if x[1:3] == y[1:3] and abs(x[3] - y[3]) <= 2_000_000]
+    assert sorted(tuple(x) for x in got) == sorted(want) and len(want) > 1500
