@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import c, finite, is_inf, ratio
 from ..functions.ordering import exact_percentiles
+from ..functions.selection import quantiles
 from ..schema import LABEL, TIMESTAMP
 from .reports import cell_report, column_report, long_form
 
@@ -62,8 +63,9 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     basic = long.groupBy("column_name").agg(
         F.count("v").alias("count"), F.avg("v").alias("mean"), F.stddev_samp("v").alias("std"),
         F.min("v").alias("min"), F.max("v").alias("max"))
-    quart = exact_percentiles(long, "v", {"p25": 0.25, "p50": 0.5, "p75": 0.75}, by="column_name")
-    return basic.join(quart, "column_name")
+    probs = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
+    rows = [(x, *[float(q[n]) for n in probs]) for x, q in quantiles(df, columns, probs).items()]
+    return basic.join(F.broadcast(df.sparkSession.createDataFrame(rows, "column_name string, p25 double, p50 double, p75 double")), "column_name")
 
 
 def constant_columns(df: DataFrame, columns: Sequence[str], near: float = 0.99) -> DataFrame:

@@ -13,22 +13,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import c
-from ..functions.ordering import exact_percentiles
+from ..functions.selection import quantiles
 from ..schema import FEATURES
 from ..sources.tables import staging_dir, write_stage
-from .reports import cell_report, long_form
+from .reports import cell_report
 
 
 def fit(train: DataFrame, columns: Sequence[str] = FEATURES) -> DataFrame:
     """(feature, median, mean, std, scale). Moments come from one pass; missing cells enter the
     moments as the median by the merge formula, so the table is not rewritten."""
     spark = train.sparkSession
-    # Three passes read the training cells; they are written once instead of being derived three times.
+    # Several passes read the training cells; they are written once instead of being derived again each time.
     train = spark.read.parquet(write_stage(train.select(*[c(x) for x in columns]), staging_dir(spark, "train_cells")))
     v = F.col("v")
     stats = cell_report(train, columns, {"_n": F.count(v), "_all": F.count(F.lit(1)), "_m": F.avg(v), "_v": F.var_pop(v)},
                         F.col("raw")).withColumnRenamed("column_name", "feature")
-    med = exact_percentiles(long_form(train, [], columns, keep_null=False), "value", {"median": 0.5}, by="feature")
+    medians = [(x, float(v["median"])) for x, v in quantiles(train, columns, {"median": 0.5}).items()]
+    med = spark.createDataFrame(medians, "feature string, median double")
     n, allrows, miss = F.col("_n"), F.col("_all"), F.col("_all") - F.col("_n")
     m, v = F.col("_m"), F.col("_v")
     mean = (m * n + F.col("median") * miss) / allrows
