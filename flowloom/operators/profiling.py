@@ -278,24 +278,6 @@ def conditional_checks(df: DataFrame, protocol: str = "protocol") -> DataFrame:
         ratio(F.col("matches"), F.col("total")).alias("match_rate"))
 
 
-# Which identity decides on a feature, and the status if it fails.
-MATRIX_RULES = [
-    ("Fwd Pkt Len Mean", "fwd_pkt_len_mean_eq_totlen_over_count", "UNVALIDATED"),
-    ("Bwd Pkt Len Mean", "bwd_pkt_len_mean_eq_totlen_over_count", "UNVALIDATED"),
-    ("Pkt Len Max", "pkt_len_max_eq_max_fwd_bwd", "UNVALIDATED"),
-    ("Pkt Len Min", "pkt_len_min_eq_min_fwd_bwd_naive", "UNVALIDATED"),
-    ("Pkt Size Avg", "pkt_size_avg_eq_pkt_len_mean", "UNVALIDATED"),
-    ("Down/Up Ratio", "down_up_ratio_eq_int_bwd_over_fwd", "UNVALIDATED"),
-    ("Fwd Seg Size Avg", "fwd_seg_size_avg_eq_fwd_pkt_len_mean", "UNVALIDATED"),
-    ("Bwd Seg Size Avg", "bwd_seg_size_avg_eq_bwd_pkt_len_mean", "UNVALIDATED"),
-    ("Fwd Seg Size Min", "fwd_seg_size_min_eq_fwd_pkt_len_min", "NOT_REPRODUCIBLE"),
-    ("Subflow Fwd Pkts", "subflow_fwd_pkts_eq_tot_fwd_pkts", "PARTIALLY_VALIDATED"),
-    ("Subflow Fwd Byts", "subflow_fwd_byts_eq_totlen_fwd_pkts", "PARTIALLY_VALIDATED"),
-    ("Subflow Bwd Pkts", "subflow_bwd_pkts_eq_tot_bwd_pkts", "PARTIALLY_VALIDATED"),
-    ("Subflow Bwd Byts", "subflow_bwd_byts_eq_totlen_bwd_pkts", "PARTIALLY_VALIDATED"),
-]
-
-
 def feature_traits(feature: Column) -> dict[str, Column]:
     """Whether a feature depends on the direction of a flow, and whether on time."""
     return {
@@ -305,16 +287,6 @@ def feature_traits(feature: Column) -> dict[str, Column]:
     }
 
 
-def validation_matrix(checks: DataFrame) -> DataFrame:
-    """Status of each feature from the match rate of its identity; the rule table has a fixed, small size."""
-    rules = checks.sparkSession.createDataFrame(MATRIX_RULES, "feature string, check_name string, if_failed string")
-    f = F.col("feature")
-    return checks.join(F.broadcast(rules), "check_name").select(
-        "feature", "check_name", "match_rate",
-        F.when(F.col("match_rate") == 1.0, "VALIDATED").otherwise(F.col("if_failed")).alias("status"),
-        *[v.alias(k) for k, v in feature_traits(f).items()])
-
-
 def count_by(df: DataFrame, column: str, name: str = "n") -> DataFrame:
     return df.groupBy(column).agg(F.count(F.lit(1)).alias(name))
 
