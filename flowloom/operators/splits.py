@@ -101,3 +101,25 @@ def leakage_checks(windows: DataFrame, sequences: DataFrame, feature_names: Sequ
     cols = one.columns
     return one.select(*[F.col(x).cast("long").alias(x) for x in cols]).unpivot([], cols, "check_name", "offending").withColumn(
         "passed", F.col("offending") == 0)
+
+
+def shared_rows(df: DataFrame, side: str, columns: Sequence[str], by: Sequence[str] = (), training: str = "train") -> DataFrame:
+    """(by…, side, offending): rows of each other side whose ``columns`` equal those of some training row.
+
+    Rows meet by a 128-bit digest of their content, NULLs and NaN included; copies are counted where they are, so content
+    that a third of the rows share is one row a task."""
+    by = list(by)
+    content = F.md5(F.to_json(F.struct(*[F.col(f"`{x}`") for x in columns]), {"ignoreNullFields": "false"}))
+    n = df.select(*by, F.col(side).alias("_side"), content.alias("_row")).groupBy(*by, "_row", "_side").agg(F.count(F.lit(1)).alias("_n"))
+    known = n.where(F.col("_side") == training).select(*by, "_row", F.lit(True).alias("_known"))
+    other = n.where(F.col("_side").isNotNull() & (F.col("_side") != training)).join(known, [*by, "_row"], "left")
+    return other.groupBy(*by, F.col("_side").alias(side)).agg(F.coalesce(F.sum(F.when(F.col("_known"), F.col("_n"))), F.lit(0)).alias("offending"))
+
+
+def unusable_cells(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(infinite, missing): cells that are infinite, and NULL or NaN, over all ``columns``; none may be left after scaling."""
+    cells = F.array(*[F.col(f"`{x}`").cast("double") for x in columns])
+    infinite = F.size(F.filter(cells, lambda v: F.abs(v) == float("inf")))
+    missing = F.size(F.filter(cells, lambda v: v.isNull() | F.isnan(v)))
+    total = lambda x: F.coalesce(F.sum(x), F.lit(0)).cast("long")
+    return df.agg(total(infinite).alias("infinite"), total(missing).alias("missing"))

@@ -51,6 +51,37 @@ def inverse_scale(spark, d):
     return out.select("window_id", *[F.round(c(f) * 0.7310585, 2).alias(f) for f in FITTED])
 
 
+_KEEP = [f for i, f in enumerate(FITTED) if i % 16 == 0]
+_cells = ", ".join(f"(coalesce(\"{f}\", median_{i}) - mean_{i}) / CASE WHEN std_{i} = 0 THEN 1 ELSE std_{i} END" for i, f in enumerate(FITTED))
+
+
+@query("leakage_rows", f"""WITH {PARAM_SQL}, pk AS (SELECT {_pick} FROM params), p AS (SELECT win.*, part.partition FROM win JOIN part USING (window_id)),
+s AS (SELECT p.partition, [{_cells}] AS x FROM p, pk), c AS (SELECT partition, count(*) FILTER (WHERE isinf(v)) AS infinite, count(*) FILTER (WHERE v IS NULL OR isnan(v)) AS missing FROM (SELECT partition, unnest(x) AS v FROM s) GROUP BY 1),
+same AS (SELECT partition, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM p t WHERE t.partition = 'train' AND {" AND ".join(f't."{f}" IS NOT DISTINCT FROM p."{f}"' for f in _KEEP)})) AS n FROM p WHERE partition <> 'train' GROUP BY 1),
+d AS (SELECT *, CAST(CASE WHEN window_start < TIMESTAMP '2024-01-11' THEN 1 WHEN window_start < TIMESTAMP '2024-01-21' THEN 2 ELSE 3 END AS VARCHAR) AS day FROM win),
+h AS (SELECT f.fold, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM d t WHERE t.day <> f.hold AND {" AND ".join(f't."{f}" IS NOT DISTINCT FROM d."{f}"' for f in _KEEP)})) AS n
+ FROM d, (VALUES ('fold_hold_1', '1'), ('fold_hold_2', '2'), ('fold_hold_3', '3')) f(fold, hold) WHERE d.day = f.hold GROUP BY 1)
+SELECT 'infinite_after_scaling' AS check_name, partition AS part, infinite AS offending FROM c UNION ALL SELECT 'missing_after_scaling', partition, missing FROM c
+UNION ALL SELECT 'content_of_training', partition, n FROM same UNION ALL SELECT 'content_of_training_days', fold, n FROM h""")
+def leakage_rows(spark, d):
+    """Cells left unusable by the scaling, and rows whose content training has as well, by partition and by held-out day.
+
+    The content is that of every sixteenth feature: rows that repeat in all of them hardly occur in the given tables."""
+    w = sp.chronological(qw.windows(spark, d, FITTED))
+    scaled = sc.transform(w, sc.load(sc.fit(w.where("partition = 'train'"), FITTED)))
+    out = None
+    for p in ("train", "validation", "test"):
+        one = sp.unusable_cells(scaled.where(F.col("partition") == p), FITTED).select(
+            F.explode(F.array(*[F.struct(F.lit(f"{k}_after_scaling").alias("check_name"), F.lit(p).alias("part"), F.col(k).alias("offending")) for k in ("infinite", "missing")])).alias("r")).select("r.*")
+        out = one if out is None else out.unionByName(one)
+    shared = sp.shared_rows(w, "partition", _KEEP).select(F.lit("content_of_training").alias("check_name"), F.col("partition").alias("part"), "offending")
+    t = F.col("window_start")
+    day = F.when(t < F.lit("2024-01-11").cast("timestamp_ntz"), "1").when(t < F.lit("2024-01-21").cast("timestamp_ntz"), "2").otherwise("3")
+    folds = sp.holdout_folds(w.withColumn("day", day), "day", qw.FOLDS)
+    held = sp.shared_rows(folds, "role", _KEEP, ["fold"]).select(F.lit("content_of_training_days").alias("check_name"), F.col("fold").alias("part"), "offending")
+    return out.unionByName(shared).unionByName(held)
+
+
 @query("class_weights", f"WITH {m.SCORES_SQL} SELECT sequence_id, y, round((SELECT count(*) FROM scores) / (2.0E0 * count(*) OVER (PARTITION BY y)), 9) AS weight FROM scores")
 def class_weights(spark, d):
     return sc.class_weights(m.scores(spark, d), "y").select("sequence_id", "y", F.round("weight", 9).alias("weight"))
