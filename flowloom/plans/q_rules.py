@@ -13,7 +13,7 @@ from ..operators import schemas as sh
 from ..operators import sequences as sq
 from ..operators import triage as tr
 from ..operators import windows as wn
-from ..schema import FEATURES, PROTOCOL, RAW_COLUMNS, TIMESTAMP
+from ..schema import FEATURES, PROTOCOL, RAW_COLUMNS, STATE, TIMESTAMP
 from . import mapping as m
 from . import q_metrics as qm
 from . import q_windows as qw
@@ -228,11 +228,11 @@ def importance_rollup(spark, d):
     return r.select("feature", F.round("sum_importance", 6).alias("sum_importance"), *[F.round(x, 8).alias(x) for x in ("mean_importance", "max_importance")])
 
 
-@query("occlusion_baseline", f"""WITH {qw.seq_sql(qw.FEW)}, {qw.PURGE_SQL} {" ".join(
+@query("occlusion_baseline", f"""WITH {qw.seq_sql(STATE)}, {qw.PURGE_SQL} {" ".join(
     ("" if i == 0 else "UNION ALL ") + ("SELECT" if i else ", x AS (SELECT w.* FROM pseq q JOIN win w ON w.window_id BETWEEN q.input_start_window AND q.input_end_window WHERE q.partition = 'train') SELECT")
-    + f" {i} AS feature, round(avg(" + '"' + f + '"' + "), 6) AS baseline FROM x" for i, f in enumerate(qw.FEW))}""")
+    + f" {i} AS feature, round(avg(" + '"' + f + '"' + "), 6) AS baseline FROM x" for i, f in enumerate(STATE))}""")
 def occlusion_baseline(spark, d):
-    s = qw.partitioned_sequences(spark, d, features=qw.FEW, states=True)
+    s = qw.partitioned_sequences(spark, d, features=STATE, states=True)
     return at.baseline(s.where("partition = 'train'")).withColumn("baseline", F.round("baseline", 6))
 
 

@@ -126,13 +126,13 @@ SEQ_COLS = ["sequence_id", "input_start_window", "input_end_window", "target_win
             "input_end_timestamp", "target_timestamp", "target_window_target", "target_window_label"]
 
 
-@query("sequences_sliding", f"""WITH {seq_sql(FEW)} SELECT {", ".join("q." + x for x in SEQ_COLS)}, w.window_id - q.input_start_window AS step,
-{", ".join(f'round(w."{f}", 6) AS "{f}"' for f in FEW)} FROM seq q JOIN win w ON w.window_id BETWEEN q.input_start_window AND q.target_window""")
+@query("sequences_sliding", f"""WITH {seq_sql(STATE)} SELECT {", ".join("q." + x for x in SEQ_COLS)}, w.window_id - q.input_start_window AS step,
+{", ".join(f'round(w."{f}", 6) AS "{f}"' for f in STATE)} FROM seq q JOIN win w ON w.window_id BETWEEN q.input_start_window AND q.target_window""")
 def sequences_sliding(spark, d):
-    s = sequences(spark, d)
+    s = sequences(spark, d, STATE)
     steps = F.concat("history", F.array("next_state"))
     x = s.select(*SEQ_COLS, F.posexplode(steps).alias("step", "v"))
-    return x.select(*SEQ_COLS, F.col("step").cast("long").alias("step"), *[F.round(F.col("v")[i], 6).alias(f) for i, f in enumerate(FEW)])
+    return x.select(*SEQ_COLS, F.col("step").cast("long").alias("step"), *[F.round(F.col("v")[i], 6).alias(f) for i, f in enumerate(STATE)])
 
 
 @query("sequences_unlabeled", f"""WITH {seq_sql()} SELECT {", ".join(SEQ_COLS[:7])}, CAST(NULL AS INTEGER) AS target_window_target, CAST(NULL AS VARCHAR) AS target_window_label FROM seq""")
@@ -149,15 +149,16 @@ def sequence_path_parity(spark, d):
     return difference_counts(sequences(spark, d), sequences(spark, d, labeled=False), cols)
 
 
-@query("flatten_history", f"""WITH {seq_sql(FEW)}, cells AS (
-{" UNION ALL ".join(f"SELECT q.sequence_id, CASE WHEN w.window_id = q.input_end_window THEN 't' ELSE 't-' || CAST(q.input_end_window - w.window_id AS VARCHAR) END || '__{f}' AS name, " + '"' + f + '" AS v' + " FROM seq q JOIN win w ON w.window_id BETWEEN q.input_start_window AND q.input_end_window" for f in FEW)})
-SELECT sequence_id, name, round(v, 6) AS value FROM cells""")
+# Per flattened name: how many values, and their sum in thousandths, weighed by the sequence so that none can change places.
+@query("flatten_history", f"""WITH {seq_sql(STATE)}, cells AS (UNPIVOT (SELECT q.sequence_id, q.input_end_window - w.window_id AS back, {", ".join(f'w."{f}"' for f in STATE)}
+ FROM seq q JOIN win w ON w.window_id BETWEEN q.input_start_window AND q.input_end_window) ON {", ".join(f'"{f}"' for f in STATE)} INTO NAME feature VALUE v)
+SELECT CASE WHEN back = 0 THEN 't' ELSE 't-' || CAST(back AS VARCHAR) END || '__' || feature AS name, count(v) AS n, CAST(sum(CAST(round(v * 1000) AS BIGINT) * (sequence_id % 97 + 1)) AS BIGINT) AS weighed FROM cells GROUP BY 1""")
 def flatten_history(spark, d):
-    names = F.array(*[F.lit(n) for n in flatten_names(FEW)])
-    flat = sq.flattened(sequences(spark, d))
-    cell = F.explode(F.arrays_zip(names.alias("n"), F.col("flat").alias("v")))
-    x = flat.select("sequence_id", cell.alias("z"))
-    return x.select("sequence_id", F.col("z.n").alias("name"), F.round("z.v", 6).alias("value"))
+    names = F.array(*[F.lit(n) for n in flatten_names(STATE)])
+    flat = sq.flattened(sequences(spark, d, STATE))
+    x = flat.select("sequence_id", F.explode(F.arrays_zip(names.alias("n"), F.col("flat").alias("v"))).alias("z"))
+    weighed = F.sum(F.round(F.col("z.v") * 1000).cast("long") * (F.col("sequence_id") % 97 + 1))
+    return x.groupBy(F.col("z.n").alias("name")).agg(F.count("z.v").alias("n"), weighed.alias("weighed"))
 
 
 SPLIT_SQL = """cnt AS (SELECT count(*) AS n FROM win), b AS (SELECT greatest(1, least(CAST(floor(0.7 * n) AS BIGINT), n - 2)) AS t, n FROM cnt),
