@@ -36,9 +36,20 @@ def value_frequencies(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.explode(cells).alias("_c")).groupBy("_c.column_name", "_c.value").agg(F.count(F.lit(1)).alias("n"))
 
 
+def distinct_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(column_name, num_unique) of numeric columns, NULL and NaN apart. What is shuffled is a place and a number, as a long
+    or as a double by the column's type, never a text."""
+    whole = {f.name for f in df.schema if f.dataType.typeName() in ("byte", "short", "integer", "long")}
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), (c(x) if x in whole else F.lit(None)).cast("long").alias("l"),
+                               (F.lit(None) if x in whole else c(x)).cast("double").alias("d")) for i, x in enumerate(columns)])
+    known = F.filter(cells, lambda v: v["l"].isNotNull() | (v["d"].isNotNull() & ~F.isnan(v["d"])))
+    per = df.select(F.explode(known).alias("_c")).groupBy("_c.i", "_c.l", "_c.d").agg(F.lit(1).alias("_one"))
+    names = F.array(*[F.lit(x) for x in columns])
+    return per.groupBy("i").agg(F.count(F.lit(1)).alias("num_unique")).select(F.element_at(names, F.col("i") + 1).alias("column_name"), "num_unique")
+
+
 def inventory(df: DataFrame, numeric: Sequence[str], other: Sequence[str] = ()) -> DataFrame:
     """Per column: distinct values, missing, infinite, and min/max/mean/sample deviation of the finite part."""
-    columns = [*numeric, *other]
     raw, v = F.col("raw"), F.col("v")
     basic = cell_report(df, numeric, {
         "missing": F.count_if(raw.isNull() | F.isnan(raw)), "infinite": F.count_if(is_inf(raw)), "min": F.min(v), "max": F.max(v),
@@ -48,8 +59,10 @@ def inventory(df: DataFrame, numeric: Sequence[str], other: Sequence[str] = ())
         basic = basic.unionByName(cell_report(df, other, {
             "missing": F.count_if(raw.isNull()), "infinite": F.lit(0).cast("long"), "min": F.max(none), "max": F.max(none), "mean": F.max(none),
             "std": F.max(none), "rows": F.count(F.lit(1))}, raw, kind="string"))
-    distinct = (value_frequencies(df, columns).where(F.col("value").isNotNull() & (F.col("value") != "NaN"))
-                .groupBy("column_name").agg(F.count(F.lit(1)).alias("num_unique")))
+    distinct = distinct_numbers(df, numeric)
+    if other:
+        texts = value_frequencies(df, other).where(F.col("value").isNotNull() & (F.col("value") != "NaN"))
+        distinct = distinct.unionByName(texts.groupBy("column_name").agg(F.count(F.lit(1)).alias("num_unique")))
     return basic.join(F.broadcast(distinct), "column_name", "left").select(
         "column_name", F.coalesce("num_unique", F.lit(0)).alias("num_unique"),
         F.round(F.coalesce("num_unique", F.lit(0)) / F.col("rows") * 100, 6).alias("pct_unique"),
