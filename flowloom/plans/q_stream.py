@@ -66,7 +66,7 @@ def stream_dedup(spark, d):
 
 
 @query("stream_flows", f"""WITH {qf.FLOWS} SELECT start_us, first_index, end_us, packets, bytes, CASE WHEN closed_reason = 'end_of_capture' THEN 'timeout' ELSE closed_reason END AS closed_reason
-FROM fln, (SELECT (max(timestamp_us) // 1000 - 130000) * 1000 // 10000000 * 10000000 AS passed FROM ok)
+FROM fln, (SELECT (max(timestamp_us) // 1000 - 130000) * 1000 // 60000000 * 60000000 AS passed FROM ok)
 WHERE CASE WHEN closed_reason IN ('tcp_rst', 'tcp_fin_both') THEN end_us ELSE end_us + 120000000 END < passed""")
 def stream_flows(spark, d):
     out = jobs.run_available(jobs.flows(_stream(m.packets(spark, d), "packets")), "stream_flows")

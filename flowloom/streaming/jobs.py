@@ -97,8 +97,8 @@ def deduplicated(rows: DataFrame, columns: Sequence[str], ts: str, delay: str =
 
 FLOW_SCHEMA = ("capture string, protocol int, a_ip string, a_port int, b_ip string, b_port int, start_us long, first_index long, "
                "end_us long, packets long, bytes long, closed_reason string")
-#: Width of the buckets in which packets wait.
-BUCKET_US = 10_000_000
+#: Width of the buckets in which packets wait: wide enough that a pair has few of them open within the delay.
+BUCKET_US = 60_000_000
 
 
 def flows(packets: DataFrame, timeout_us: int = TIMEOUT_US, delay: str = "130 seconds", bucket_us: int = BUCKET_US) -> DataFrame:
