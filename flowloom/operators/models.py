@@ -245,12 +245,11 @@ def occlusion(df: DataFrame, history: str, key: str, weights: Sequence[float], i
     sequence need no matrix product and stay in the JVM.
     """
     steps, width = len(weights) // len(base), len(base)
-    flat = df.select(key, F.flatten(history).alias("_x"))
-    shift = F.zip_with(F.zip_with("_x", ar.literal_vector(list(base) * steps), lambda x, b: x - b), ar.literal_vector(weights), lambda d, w: d * w)
-    logit = ar.dot(F.col("_x"), ar.literal_vector(weights)) + F.lit(float(intercept))
-    x = flat.select(key, logit.alias("_z"), shift.alias("_d"))
-    if whole_steps:
-        x = x.withColumn("_d", F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda t: ar.total(F.slice("_d", t * width + 1, width))))
+    per_step = F.array(*[ar.literal_vector(weights[t * width:(t + 1) * width]) for t in range(steps)])
+    moved = lambda s, t: F.zip_with(F.zip_with(s, ar.literal_vector(base), lambda x, b: x - b), F.element_at(per_step, t + 1), lambda d, w: d * w)
+    logit = ar.dot(F.flatten(history), ar.literal_vector(weights)) + F.lit(float(intercept))
+    shifts = F.transform(history, lambda s, t: ar.total(moved(s, t))) if whole_steps else F.flatten(F.transform(history, moved))
+    x = df.select(key, logit.alias("_z"), shifts.alias("_d"))
     cells = x.select(key, "_z", F.posexplode("_d").alias("_i", "_s"))
     full, occ = sigmoid(F.col("_z")), sigmoid(F.col("_z") - F.col("_s"))
     step = F.col("_i") if whole_steps else F.floor(F.col("_i") / width)

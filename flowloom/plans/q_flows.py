@@ -181,12 +181,24 @@ def packets_to_states(spark, d):
                     F.round(c("Flow Duration"), 3).alias("duration"), F.round(c("Flow Pkts/s"), 3).alias("pps"), "segment_id")
 
 
-@query("contract_flow_table", f"""WITH {m.raw_text_sql(["Protocol", "Timestamp", "Active Min"])}, a AS (SELECT
-count(*) FILTER (WHERE try_strptime("Timestamp", '%Y-%m-%d %H:%M:%S') IS NULL) AS t,
-count(*) FILTER (WHERE TRY_CAST("Protocol" AS DOUBLE) NOT IN (0, 6, 17)) AS p, count(*) FILTER (WHERE "Active Min" IS NOT NULL AND TRY_CAST("Active Min" AS DOUBLE) IS NULL) AS v FROM rawt)
-SELECT false AS accepted, 'timestamp_missing_or_unparseable,label_column_present_and_required_absent,feature_value_type_mismatch' AS reasons, t AS bad_timestamps, p AS bad_protocols, v AS bad_value_rows FROM a""")
+_RAW_BAD = " OR ".join(f'("{x}" IS NOT NULL AND TRY_CAST("{x}" AS DOUBLE) IS NULL)' for x in FEATURES)
+
+
+@query("contract_flow_table", f"""WITH {m.raw_text_sql(["Protocol", "Timestamp", *FEATURES])}, a AS (SELECT count(*) FILTER (WHERE try_strptime("Timestamp", '%Y-%m-%d %H:%M:%S') IS NULL) AS t,
+count(*) FILTER (WHERE TRY_CAST("Protocol" AS DOUBLE) NOT IN (0, 6, 17)) AS p, count(*) FILTER (WHERE {_RAW_BAD}) AS v FROM rawt), o AS (SELECT count(*) FILTER (WHERE row_id % 97 = 3) AS p FROM flows)
+SELECT 'raw' AS candidate, false AS accepted, 'timestamp_missing_or_unparseable,label_column_present_and_required_absent,feature_value_type_mismatch' AS reasons, t AS bad_timestamps, p AS bad_protocols, v AS bad_value_rows FROM a
+UNION ALL SELECT 'clean', true, '', 0, 0, 0 UNION ALL SELECT 'incomplete', false, 'missing_required_column', 0, 0, 0
+UNION ALL SELECT 'other_protocol', p = 0, CASE WHEN p > 0 THEN 'unsupported_protocol_other' ELSE '' END, 0, p, 0 FROM o""")
 def contract_flow_table(spark, d):
-    return fl.contract_rejections(m.raw_text(spark, d), ["Active Min"])
+    """The contract of all 65 features over four tables: as captured, cleaned, without one feature, with another protocol."""
+    clean = m.flows(spark, d).select(F.col("timestamp").alias("Timestamp"), F.col("protocol").alias("Protocol"), "row_id", *[c(x) for x in FEATURES])
+    other = clean.withColumn("Protocol", F.when(F.col("row_id") % 97 == 3, 1).otherwise(F.col("Protocol")))
+    tables = {"raw": m.raw_text(spark, d), "clean": clean, "incomplete": clean.drop("Flow Duration"), "other_protocol": other}
+    out = None
+    for name, df in tables.items():
+        one = fl.contract_rejections(df).select(F.lit(name).alias("candidate"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 @query("provenance_tag", f"WITH {m.flows_sql(['row_id'])} SELECT row_id, 'observed_lab_traffic' AS provenance FROM flows")

@@ -102,40 +102,57 @@ def train_forecaster(spark, d):
 
 # ---- fixed weights: applying a model is plain algebra, so SQL can check it ---------------------------------------------
 
-#: A forecaster and a classifier with dyadic weights over the four features of ``qw.FEW``.
-LAST, BEFORE, BIAS = 0.5, 0.25, 0.125
-COEF, INTERCEPT, BASE = [2.0**-23, 2.0**-6, 2.0**-14, 2.0**-5], -0.75, [1024.0, 4.0, 64.0, 2.0]
-_W = len(qw.FEW)
+#: A forecaster and a classifier over all state columns, with weights at all ten steps. A feature follows its own history with
+#: weights in eighths that are dealt in another order to each feature; coefficients are powers of two below the size of the
+#: feature. Over whole-number histories every sum is then exact in doubles, whatever its order.
+EIGHTHS, BIAS, INTERCEPT = [4, 1, -1, 1, -1, 1, -1, 1, -1, 1], 0.125, -0.75
+LARGE = {"Flow Byts/s": 26, "Flow Duration": 25, "TotLen Fwd Pkts": 22, "Subflow Fwd Byts": 22, "Fwd Pkt Len Mean": 18, "Fwd Seg Size Avg": 18,
+         "Init Fwd Win Byts": 16, "Init Bwd Win Byts": 16}
+COEF = [(-1) ** i * 2.0 ** -LARGE.get(f, 11) for i, f in enumerate(STATE)]
+BASE = [8.0 * (i % 7) for i in range(len(STATE))]
+
+
+def _weight(back, i):
+    """Weight of feature i, ``back`` steps before the end of the history."""
+    return EIGHTHS[(back + i) % sq.HISTORY] / 8
 
 
 def fixed_forecaster():
-    w = np.zeros((sq.HISTORY * _W, _W))
-    w[-_W:] = np.eye(_W) * LAST
-    w[-2 * _W:-_W] = np.eye(_W) * BEFORE
-    return md.Forecaster(w, np.full(_W, BIAS), 0.0, 0.0)
+    n = len(STATE)
+    w = np.vstack([np.diag([_weight(sq.HISTORY - 1 - t, i) for i in range(n)]) for t in range(sq.HISTORY)])
+    return md.Forecaster(w, np.full(n, BIAS), 0.0, 0.0)
+
 
+def _whole(state):
+    """Missing numbers are zero, others go to the next whole number; the offset keeps halves off the border."""
+    return F.transform(state, lambda x: F.round(F.coalesce(x, F.lit(0.0)) + 1e-7))
 
-def fixed_sequences(spark, d):
-    """Raw window sequences, missing numbers as zero."""
-    zero = lambda s: F.transform(s, lambda x: F.coalesce(x, F.lit(0.0)))
-    s = qw.sequences(spark, d)
-    return s.select("sequence_id", "target_window_target", F.transform("history", zero).alias("history"), zero("next_state").alias("next_state"))
 
+def fixed_sequences(spark, d, w=None):
+    s = qw.sequences(spark, d, STATE, w=w)
+    return s.select("sequence_id", "input_end_window", "target_window_target", F.transform("history", _whole).alias("history"), _whole("next_state").alias("next_state"))
 
-_x = lambda t, f: f'coalesce(CAST({t}."{f}" AS DOUBLE), 0)'
-_ROLL = [", ".join(f"{_x('a', f)} AS s0_{i}, {_x('b', f)} AS r0_{i}, {_x('t', f)} AS n_{i}" for i, f in enumerate(qw.FEW))]
-FIXED_SQL = f"""{qw.seq_sql(qw.FEW)}, h0 AS (SELECT q.sequence_id, q.target_window_target AS y, {_ROLL[0]} FROM seq q JOIN win a ON a.window_id = q.input_end_window JOIN win b ON b.window_id = q.input_end_window - 1 JOIN win t ON t.window_id = q.target_window)"""
+
+# ``roll``: per sequence and feature, h holds the forecasts of horizons 5 to 1, then the history from its last step backwards.
+_COLS = ", ".join(f'"{f}"' for f in STATE)
+_ROWS = ", ".join(f"('{f}', {i}, CAST({COEF[i]!r} AS DOUBLE), CAST({BASE[i]!r} AS DOUBLE), CAST([{', '.join(str(_weight(t, i)) for t in range(sq.HISTORY))}] AS DOUBLE[]))"
+                  for i, f in enumerate(STATE))
+FIXED_SQL = f"""{qw.seq_sql(STATE)}, fw(feature, i, c, b, w) AS (VALUES {_ROWS}), hz(horizon) AS (VALUES {", ".join(f"({k})" for k in HORIZONS)}),
+wl AS (SELECT window_id, feature, round(coalesce(v, 0) + 1e-7) + 0.0 AS v FROM (SELECT window_id, {", ".join(f'CAST("{f}" AS DOUBLE) AS "{f}"' for f in STATE)} FROM win) UNPIVOT INCLUDE NULLS (v FOR feature IN ({_COLS}))),
+h0 AS (SELECT q.sequence_id, f.i, f.c, f.b, f.w, max(l.v) FILTER (WHERE l.window_id = q.target_window) AS n, list(l.v ORDER BY l.window_id DESC) FILTER (WHERE l.window_id < q.target_window) AS h
+ FROM seq q JOIN wl l ON l.window_id BETWEEN q.input_start_window AND q.target_window JOIN fw f ON f.feature = l.feature GROUP BY ALL)"""
 for _k in range(1, max(HORIZONS) + 1):
-    FIXED_SQL += f", h{_k} AS (SELECT *, " + ", ".join(f"{LAST} * s{_k - 1}_{i} + {BEFORE} * {f's{_k - 2}_{i}' if _k > 1 else f'r0_{i}'} + {BIAS} AS s{_k}_{i}" for i in range(_W)) + f" FROM h{_k - 1})"
-_p = lambda v: "1 / (1 + exp(-(" + " + ".join(f"CAST({c!r} AS DOUBLE) * {v.format(i=i)}" for i, c in enumerate(COEF)) + f" + {INTERCEPT})))"
+    FIXED_SQL += f", {'roll' if _k == max(HORIZONS) else f'h{_k}'} AS (SELECT * REPLACE (list_prepend(list_dot_product(h[1:{sq.HISTORY}], w) + {BIAS}, h) AS h) FROM h{_k - 1})"
+_LAST = max(HORIZONS) + 1  # h[_LAST - k] is horizon k, h[_LAST + t] the history t steps back
+_p = lambda z: f"1 / (1 + exp(-({z})))"
 
 
-@query("rollout_k", f"WITH {FIXED_SQL} " + " UNION ALL ".join(
-    f"SELECT sequence_id, {k} AS horizon, " + ", ".join(f'round(s{k}_{i} + 1e-8, 6) AS "{f}"' for i, f in enumerate(qw.FEW)) + f" FROM h{max(HORIZONS)}" for k in HORIZONS))
+@query("rollout_k", f"WITH {FIXED_SQL} SELECT sequence_id, CAST(horizon AS INTEGER) AS horizon, " + ", ".join(
+    f'max(h[{_LAST} - horizon]) FILTER (WHERE i = {i}) AS "{f}"' for i, f in enumerate(STATE)) + " FROM roll, hz GROUP BY 1, 2")
 def rollout_k(spark, d):
-    """Recursive forecast with fixed weights over all sequences; the offset keeps dyadic halves off the rounding border."""
+    """Recursive forecast with fixed weights over all sequences and state columns."""
     f = md.rollout(fixed_sequences(spark, d), fixed_forecaster(), max(HORIZONS), "history", ["sequence_id"], HORIZONS)
-    return f.select("sequence_id", "horizon", *[F.round(F.col("state")[i] + 1e-8, 6).alias(x) for i, x in enumerate(qw.FEW)])
+    return f.select("sequence_id", "horizon", *[F.col("state")[i].alias(x) for i, x in enumerate(STATE)])
 
 
 @query("rollout_trained")
@@ -144,21 +161,28 @@ def rollout_trained(spark, d):
     return f.select("sequence_id", "horizon", F.size("state").alias("width"), F.element_at("state", 1).alias("first"))
 
 
-@query("score_state", f"WITH {FIXED_SQL} SELECT sequence_id, round({_p('n_{i}')}, 9) AS p, CASE WHEN {_p('n_{i}')} >= 0.5 THEN 1 ELSE 0 END AS predicted_class FROM h0")
+@query("score_state", f"WITH {FIXED_SQL}, z AS (SELECT sequence_id, sum(c * n) + {INTERCEPT} AS z FROM roll GROUP BY 1) SELECT sequence_id, round({_p('z')}, 9) AS p, CASE WHEN {_p('z')} >= 0.5 THEN 1 ELSE 0 END AS predicted_class FROM z")
 def score_state(spark, d):
     """Attack probability of every next state under fixed weights."""
     p = md.linear_probability(F.col("next_state"), COEF, INTERCEPT)
     return fixed_sequences(spark, d).select("sequence_id", F.round(p, 9).alias("p"), mx.predicted(p).alias("predicted_class"))
 
 
-@query("oracle_vs_pipeline", f"""WITH {FIXED_SQL} SELECT 'oracle' AS mode, sequence_id, y, round({_p('n_{i}')}, 9) AS p FROM h1 UNION ALL SELECT 'full_pipeline', sequence_id, y, round({_p('s1_{i}')}, 9) FROM h1""")
+@query("oracle_vs_pipeline", f"""WITH {FIXED_SQL}, seen AS (SELECT q.sequence_id, hz.horizon, t.target AS y, sum(f.c * l.v) + {INTERCEPT} AS z FROM seq q CROSS JOIN hz JOIN win t ON t.window_id = q.input_end_window + hz.horizon AND t.segment_id = q.segment_id
+ JOIN wl l ON l.window_id = t.window_id JOIN fw f ON f.feature = l.feature GROUP BY ALL), guessed AS (SELECT sequence_id, horizon, sum(c * h[{_LAST} - horizon]) + {INTERCEPT} AS z FROM roll, hz GROUP BY 1, 2)
+SELECT 'oracle' AS mode, sequence_id, CAST(horizon AS INTEGER) AS horizon, y, round({_p('z')}, 9) AS p FROM seen UNION ALL
+SELECT 'full_pipeline', sequence_id, CAST(horizon AS INTEGER), s.y, round({_p('g.z')}, 9) FROM seen s JOIN guessed g USING (sequence_id, horizon)""")
 def oracle_vs_pipeline(spark, d):
-    """The same classifier on true and on forecast next states, stacked."""
-    s = fixed_sequences(spark, d)
-    f = md.rollout(s, fixed_forecaster(), 1, "history", ["sequence_id", "target_window_target"])
-    p = lambda c: F.round(md.linear_probability(F.col(c), COEF, INTERCEPT), 9).alias("p")
-    y = F.col("target_window_target").alias("y")
-    return s.select(F.lit("oracle").alias("mode"), "sequence_id", y, p("next_state")).unionByName(f.select(F.lit("full_pipeline").alias("mode"), "sequence_id", y, p("state")))
+    """The same classifier on true and on forecast states of all horizons, stacked; a horizon that leaves the segment has no row."""
+    w = qw.windows(spark, d, STATE)
+    s = fixed_sequences(spark, d, w)
+    f = md.rollout(s, fixed_forecaster(), max(HORIZONS), "history", ["sequence_id", "input_end_window"], HORIZONS)
+    valid = sq.horizon_targets(w, HORIZONS).where("target_window IS NOT NULL").select("input_end_window", "horizon", "target_window", F.col("future_target").alias("y"))
+    actual = sq.with_state(w).select(F.col("window_id").alias("target_window"), _whole("state").alias("actual"))
+    p = lambda c: F.round(md.linear_probability(F.col(c), COEF, INTERCEPT), 9)
+    both = f.join(valid, ["input_end_window", "horizon"]).join(actual, "target_window").select("sequence_id", "horizon", "y", F.explode(F.array(
+        F.struct(F.lit("oracle").alias("mode"), p("actual").alias("p")), F.struct(F.lit("full_pipeline").alias("mode"), p("state").alias("p")))).alias("x"))
+    return both.select("x.mode", "sequence_id", "horizon", "y", "x.p")
 
 
 def _fixed_occlusion(spark, d, whole):
@@ -166,30 +190,27 @@ def _fixed_occlusion(spark, d, whole):
     return md.occlusion(fixed_sequences(spark, d), "history", "sequence_id", w, b, BASE, whole)
 
 
-_full = _p("s1_{i}")
-_OCC = FIXED_SQL + ", z AS (SELECT sequence_id, " + _full + " AS p, " + " + ".join(f"CAST({c!r} AS DOUBLE) * s1_{i}" for i, c in enumerate(COEF)) + f" + {INTERCEPT} AS logit, " + ", ".join(
-    f"CAST({c!r} AS DOUBLE) * {LAST} * (s0_{i} - {BASE[i]}) AS d0_{i}, CAST({c!r} AS DOUBLE) * {BEFORE} * (r0_{i} - {BASE[i]}) AS d1_{i}" for i, c in enumerate(COEF)) + " FROM h1)"
-_CELLS = _OCC + ", cell AS (" + " UNION ALL ".join(
-    f"SELECT sequence_id, -{t} AS time_step, {i} AS feature, p, 1 / (1 + exp(-(logit - {f'd{t}_{i}' if t < 2 else '0'}))) AS o FROM z" for t in range(sq.HISTORY) for i in range(_W)) + ")"
+_OCC = f"{FIXED_SQL}, z AS (SELECT sequence_id, sum(c * h[{_LAST} - 1]) + {INTERCEPT} AS z FROM roll GROUP BY 1), cells AS (SELECT sequence_id, i, t, c * w[t + 1] * (h[{_LAST} + t] - b) AS d FROM roll, range({sq.HISTORY}) s(t))"
+_CELLS = f"{_OCC}, cell AS (SELECT CAST(-t AS INTEGER) AS time_step, i AS feature, {_p('z')} AS p, {_p('z - d')} AS o FROM cells JOIN z USING (sequence_id))"
 
 
-@query("occlusion_timestep", f"WITH {_OCC}, o AS (" + " UNION ALL ".join(
-    f"SELECT sequence_id, -{t} AS time_step, p, 1 / (1 + exp(-(logit - ({' + '.join(f'd{t}_{i}' for i in range(_W)) if t < 2 else '0'})))) AS o FROM z" for t in range(sq.HISTORY))
-    + ") SELECT sequence_id, time_step, round(p, 9) AS full_probability, round(o, 9) AS occluded_probability, round(p - o, 9) + 0.0 AS contribution FROM o")
+@query("occlusion_timestep", f"""WITH {_OCC}, o AS (SELECT sequence_id, t, {_p('any_value(z)')} AS p, {_p('any_value(z) - sum(d)')} AS o FROM cells JOIN z USING (sequence_id) GROUP BY 1, 2)
+SELECT sequence_id, CAST(-t AS INTEGER) AS time_step, round(p, 9) AS full_probability, round(o, 9) AS occluded_probability, round(p - o, 9) + 0.0 AS contribution FROM o""")
 def occlusion_timestep(spark, d):
     r = lambda c: (F.round(c, 9) + F.lit(0.0)).alias(c)
     return _fixed_occlusion(spark, d, True).select("sequence_id", "time_step", r("full_probability"), r("occluded_probability"), r("contribution"))
 
 
-@query("occlusion_cell", f"WITH {_CELLS} SELECT feature, round(avg(p - o), 9) AS mean_contribution, round(sum(p - o), 6) AS sum_contribution, round(sum(abs(p - o)), 6) AS sum_abs_contribution FROM cell GROUP BY 1")
+@query("occlusion_cell", f"WITH {_CELLS} SELECT feature, round(avg(p - o), 9) + 0.0 AS mean_contribution, round(sum(p - o), 6) + 0.0 AS sum_contribution, round(sum(abs(p - o)), 6) AS sum_abs_contribution FROM cell GROUP BY 1")
 def occlusion_cell(spark, d):
     t = at.rollup(_fixed_occlusion(spark, d, False), "feature")
-    return t.select("feature", F.round("mean_contribution", 9).alias("mean_contribution"), *[F.round(x, 6).alias(x) for x in ("sum_contribution", "sum_abs_contribution")])
+    r = lambda c, n: (F.round(c, n) + F.lit(0.0)).alias(c)
+    return t.select("feature", r("mean_contribution", 9), r("sum_contribution", 6), r("sum_abs_contribution", 6))
 
 
 @query("cross_occlusion", f"WITH {_CELLS} SELECT time_step, count(*) AS cells, round(avg(p - o), 9) + 0.0 AS mean_contribution FROM cell GROUP BY 1")
 def cross_occlusion(spark, d):
-    """Each sequence times its cells, counted per step."""
+    """Each sequence times its 680 cells, counted per step."""
     return _fixed_occlusion(spark, d, False).groupBy("time_step").agg(F.count(F.lit(1)).alias("cells"), (F.round(F.avg("contribution"), 9) + F.lit(0.0)).alias("mean_contribution"))
 
 

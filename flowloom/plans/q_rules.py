@@ -322,26 +322,36 @@ def schema_compat(spark, d):
 
 # ---- comparison of two versions --------------------------------------------------------------------------
 
-CMP = ["Flow Byts/s", "Flow Pkts/s", "Tot Fwd Pkts", "Bwd Pkt Len Mean", "Flow Duration"]
-CHANGED = {"Flow Byts/s": "CASE WHEN isnan({0}) THEN 0.0E0 WHEN dst_port < 30 THEN {0} + 1 ELSE {0} END", "Bwd Pkt Len Mean": "{0} * (1 + CASE WHEN dst_port > 50 THEN 0.0005E0 ELSE 0.5E0 END)"}
+#: The second version changes five features by rules over all rows, lacks one, misses some rows and has others of its own.
+CHANGED = {"Flow Byts/s": "CASE WHEN isnan({0}) THEN 0.0E0 WHEN dst_port < 30 THEN {0} + 1 ELSE {0} END", "Bwd Pkt Len Mean": "{0} * (1 + CASE WHEN dst_port > 50 THEN 0.0005E0 ELSE 0.5E0 END)",
+           "Flow IAT Std": "{0} + 4e-7", "Down/Up Ratio": "{0} + CASE WHEN dst_port % 9 = 4 THEN 1 ELSE 0 END", "Flow Pkts/s": "CASE WHEN dst_port % 20 = 10 THEN -{0} ELSE {0} END"}
+UNMAPPED = "Fwd Seg Size Min"
+BOTH = [x for x in FEATURES if x != UNMAPPED]
+_LEFT_OUT, _OF_ITS_OWN = "row_id % 1009 <> 5", "row_id % 1013 = 7"
 
 
 def _versions(spark, d):
-    a = m.flows(spark, d, ["row_id", "dst_port", *CMP])
-    return a, a.withColumns({k: F.expr(v.format(f"`{k}`")) for k, v in CHANGED.items()})
+    a = m.flows(spark, d, ["row_id", "dst_port", *FEATURES])
+    b = a.withColumns({k: F.expr(v.format(f"`{k}`")) for k, v in CHANGED.items()}).drop(UNMAPPED)
+    return a, b.where(_LEFT_OUT).unionByName(b.where(_OF_ITS_OWN).withColumn("row_id", -F.col("row_id") - 1))
 
 
-_second = ", ".join((CHANGED[x].format(f'"{x}"') if x in CHANGED else f'CAST("{x}" AS DOUBLE)') + f' AS "{x}"' for x in CMP)
-CELL_SQL = f"""{m.flows_sql(["row_id", "dst_port", *CMP])}, v2 AS (SELECT row_id, {_second} FROM flows), cells AS ({" UNION ALL ".join(f"SELECT a.row_id, '{x}' AS feature, CAST(a." + '"' + x + '" AS DOUBLE) AS x, CAST(b."' + x + '" AS DOUBLE) AS y FROM flows a JOIN v2 b USING (row_id)' for x in CMP)}),
-df0 AS (SELECT *, isinf(x) OR isinf(y) OR isnan(x) AS odd, (isinf(x) AND isinf(y)) OR (isnan(x) AND isnan(y)) AS same_kind FROM cells),
-df1 AS (SELECT row_id, feature, odd, same_kind, CASE WHEN NOT odd THEN abs(x - y) END AS abs_diff, CASE WHEN NOT odd THEN CASE WHEN y <> 0 THEN abs(x - y) / abs(y) WHEN abs(x - y) = 0 THEN 0 END END AS rel_diff FROM df0),
-df AS (SELECT row_id, feature, abs_diff, rel_diff, CASE WHEN odd THEN same_kind ELSE abs_diff = 0 END AS exact_match, CASE WHEN odd THEN same_kind ELSE abs_diff < 1e-6 OR coalesce(rel_diff < 1e-3, false) END AS tolerance_match FROM df1),
-sta AS (SELECT *, CASE WHEN exact_match THEN 'VALIDATED' WHEN feature = 'Flow Byts/s' THEN 'UNVALIDATED' WHEN tolerance_match THEN 'PARTIALLY_VALIDATED' ELSE 'UNVALIDATED' END AS status FROM df)"""
+_cells = lambda src, cols, names: f"SELECT row_id, feature, v FROM (SELECT row_id, {cols} FROM {src}) UNPIVOT INCLUDE NULLS (v FOR feature IN ({names}))"
+_names = lambda cols: ", ".join(f'"{x}"' for x in cols)
+_second = ", ".join(f'CAST({CHANGED.get(x, "{0}").format(chr(34) + x + chr(34))} AS DOUBLE) AS "{x}"' for x in BOTH)
+CELL_SQL = f"""{m.flows_sql(["row_id", "dst_port", *FEATURES])}, v1c AS ({_cells("flows", ", ".join(f'CAST("{x}" AS DOUBLE) AS "{x}"' for x in FEATURES), _names(FEATURES))}),
+v2 AS (SELECT row_id, {_second} FROM flows WHERE {_LEFT_OUT} UNION ALL SELECT -row_id - 1, {_second} FROM flows WHERE {_OF_ITS_OWN}),
+v2c AS ({_cells("v2", _names(BOTH), _names(BOTH))}),
+cells AS (SELECT a.row_id, a.feature, a.v AS x, b.v AS y, b.feature IS NOT NULL AS mapped FROM v1c a SEMI JOIN v2 ON v2.row_id = a.row_id LEFT JOIN v2c b ON b.row_id = a.row_id AND b.feature = a.feature),
+df0 AS (SELECT *, isinf(x) OR coalesce(isinf(y), false) OR isnan(x) AS odd, coalesce((isinf(x) AND isinf(y)) OR (isnan(x) AND isnan(y)), false) AS same_kind FROM cells),
+df1 AS (SELECT row_id, feature, mapped, odd, same_kind, CASE WHEN mapped AND NOT odd THEN abs(x - y) END AS abs_diff, CASE WHEN mapped AND NOT odd THEN CASE WHEN y <> 0 THEN abs(x - y) / abs(y) WHEN abs(x - y) = 0 THEN 0 END END AS rel_diff FROM df0),
+df AS (SELECT row_id, feature, mapped, abs_diff, rel_diff, mapped AND CASE WHEN odd THEN same_kind ELSE abs_diff = 0 END AS exact_match, mapped AND CASE WHEN odd THEN same_kind ELSE abs_diff < 1e-6 OR coalesce(rel_diff < 1e-3, false) END AS tolerance_match FROM df1),
+sta AS (SELECT *, CASE WHEN NOT mapped THEN 'NOT_REPRODUCIBLE' WHEN exact_match THEN 'VALIDATED' WHEN feature = 'Flow Byts/s' THEN 'UNVALIDATED' WHEN tolerance_match THEN 'PARTIALLY_VALIDATED' ELSE 'UNVALIDATED' END AS status FROM df)"""
 
 
 def _diffs(spark, d):
     a, b = _versions(spark, d)
-    return cp.cell_differences(cp.paired_cells(a, b, ["row_id"], CMP))
+    return cp.cell_differences(cp.paired_cells(a, b, ["row_id"], FEATURES))
 
 
 def _statuses(spark, d):
@@ -365,11 +375,18 @@ def status_rollup(spark, d):
     return cp.status_rollup(_statuses(spark, d))
 
 
-@query("before_after_diff", f"""WITH {CELL_SQL}, p AS (SELECT feature, count(*) FILTER (WHERE NOT (x IS NOT DISTINCT FROM y OR (isfinite(x) AND isfinite(y) AND abs(x - y) <= 1e-6))) AS k FROM cells GROUP BY 1)
+@query("before_after_diff", f"""WITH {CELL_SQL}, p AS (SELECT feature, count(*) FILTER (WHERE NOT (x IS NOT DISTINCT FROM y OR (isfinite(x) AND isfinite(y) AND abs(x - y) <= 1e-6))) AS k FROM cells WHERE mapped GROUP BY 1)
 SELECT feature, k AS rows_differing, k = 0 AS identical, feature = 'Flow Byts/s' AS expected_to_change, feature <> 'Flow Byts/s' AND k > 0 AS unrelated_change FROM p""")
 def before_after_diff(spark, d):
     a, b = _versions(spark, d)
-    return cp.before_after(a, b, ["row_id"], CMP, ["Flow Byts/s"])
+    return cp.before_after(a, b, ["row_id"], FEATURES, ["Flow Byts/s"])
+
+
+@query("version_coverage", f"""WITH {m.flows_sql(["row_id"])}, v2 AS (SELECT row_id FROM flows WHERE {_LEFT_OUT} UNION ALL SELECT -row_id - 1 FROM flows WHERE {_OF_ITS_OWN})
+SELECT count(*) FILTER (WHERE a.row_id = b.row_id) AS matched, count(*) FILTER (WHERE b.row_id IS NULL) AS left_only, count(*) FILTER (WHERE a.row_id IS NULL) AS right_only, 0 AS repeated FROM flows a FULL JOIN v2 b ON a.row_id = b.row_id""")
+def version_coverage(spark, d):
+    """Rows that the comparison pairs, and rows that only one of the versions has."""
+    return cp.key_coverage(*_versions(spark, d), ["row_id"])
 
 
 # ---- small scalar functions ------------------------------------------------------------------------------
