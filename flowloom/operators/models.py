@@ -53,6 +53,11 @@ def coef_table(spark, names: Sequence[str], values: Sequence[float], name: str =
     return spark.createDataFrame(rows, f"name string, {name} double, abs_value double").orderBy(F.desc("abs_value"), "name")
 
 
+def importances(model: RandomForestClassificationModel, spark, names: Sequence[str]) -> DataFrame:
+    """(name, importance) of a forest, largest first; columns that no tree uses have zero."""
+    return coef_table(spark, names, model.featureImportances.toArray(), "importance").drop("abs_value")
+
+
 @dataclass(frozen=True)
 class Forecaster:
     """next state = flattened history @ weights + bias."""
@@ -63,6 +68,18 @@ class Forecaster:
     validation_mse: float
 
 
+def save_forecaster(spark, model: Forecaster, path: str) -> str:
+    """One row per input column, the bias last, with the penalty and its validation error."""
+    rows = [(i, [float(v) for v in w], model.penalty, model.validation_mse) for i, w in enumerate(np.vstack([model.weights, model.bias]))]
+    return write_stage(spark.createDataFrame(rows, "input int, weights array<double>, penalty double, validation_mse double"), path)
+
+
+def load_forecaster(spark, path: str) -> Forecaster:
+    rows = spark.read.parquet(path).orderBy("input").collect()
+    w = np.array([r["weights"] for r in rows])
+    return Forecaster(w[:-1], w[-1], rows[0]["penalty"], rows[0]["validation_mse"])
+
+
 #: Matrices that one group adds up.
 FAN_IN = 32
 #: Rows of a matrix that travel and are added together.

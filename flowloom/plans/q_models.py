@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import flatten_names
 from ..functions.numeric import c
 from ..operators import attribution as at
+from ..operators import evaluation as ev
 from ..operators import metrics as mx
 from ..operators import models as md
 from ..operators import rules as ru
@@ -59,6 +60,10 @@ def logistic(spark, d):
     return _memo(spark, d, "lr", lambda: md.train_logistic(seqs(spark, d).where("partition = 'train'"), "flat", "target_window_target"))
 
 
+def forest(spark, d):
+    return _memo(spark, d, "rf", lambda: md.train_forest(seqs(spark, d).where("partition = 'train'").select("flat", "target_window_target"), "flat", "target_window_target"))
+
+
 def state_classifier(spark, d):
     return _memo(spark, d, "clf", lambda: md.train_logistic(seqs(spark, d).where("partition = 'train'"), "next_state", "target_window_target"))
 
@@ -82,8 +87,7 @@ def train_logreg(spark, d):
 @query("train_rf")
 def train_rf(spark, d):
     s = seqs(spark, d).where("partition IS NOT NULL").select("sequence_id", "partition", "target_window_target", "flat")
-    model = _memo(spark, d, "rf", lambda: md.train_forest(s.where("partition = 'train'"), "flat", "target_window_target"))
-    return _evaluated(md.score(s, model, "flat"))
+    return _evaluated(md.score(s, forest(spark, d), "flat"))
 
 
 @query("train_next_state_clf")
@@ -233,8 +237,7 @@ def train_facts(spark, d):
         F.lit("all").alias("g"), "flat", F.zip_with("state", "next_state", lambda a, b: a - b).alias("residual"))
     g, k = md.gram_matrices(left, "flat", "residual", "g")["all"], len(fc.weights) + 1
     normal = g[:k, k:] + np.vstack([fc.penalty * fc.weights, np.zeros((1, len(fc.bias)))])
-    forest = _memo(spark, d, "rf", lambda: md.train_forest(s.select("flat", "target_window_target"), "flat", "target_window_target"))
-    auc = mx.ranking(md.score(s.select("sequence_id", "partition", "target_window_target", "flat"), forest, "flat").withColumnRenamed("target_window_target", "y"), "partition").first()
+    auc = mx.ranking(md.score(s.select("sequence_id", "partition", "target_window_target", "flat"), forest(spark, d), "flat").withColumnRenamed("target_window_target", "y"), "partition").first()
     facts = [("classifier", bool(np.abs(slope).max() < 1e-3)), ("forecaster", bool(np.abs(normal).max() / g[k - 1, k - 1] < 1e-6)), ("forest", bool(auc is None or auc["roc_auc"] > 0.5))]
     return spark.createDataFrame(facts, "model string, holds boolean")
 
@@ -285,6 +288,16 @@ def coef_table(spark, d):
     return md.coef_table(spark, flatten_names(STATE), logistic(spark, d).coefficients.toArray())
 
 
+@query("forest_importances")
+def forest_importances(spark, d):
+    """Importances of the trained forest: every flattened column, then their sums by feature and by time step."""
+    cells = md.importances(forest(spark, d), spark, flatten_names(STATE))
+    by = lambda part, kind: at.importance_by(cells, part, "name").select(F.lit(kind).alias("kind"), "name", "sum_importance", "mean_importance", "max_importance")
+    own = F.col("importance")
+    return cells.select(F.lit("column").alias("kind"), "name", own.alias("sum_importance"), own.alias("mean_importance"), own.alias("max_importance")).unionByName(
+        by(1, "feature")).unionByName(by(0, "step"))
+
+
 def _baseline(spark, d):
     rows = at.baseline(seqs(spark, d).where("partition = 'train'")).orderBy("feature").collect()
     return [r["baseline"] for r in rows]
@@ -339,6 +352,31 @@ def sink_params(spark, d):
     return spark.read.parquet(path).agg(F.count(F.lit(1)).alias("features")).withColumn("model_equal", F.lit(same))
 
 
+@query("sink_models", """SELECT unnest(['logistic_history', 'forest_history', 'state_classifier', 'forecaster']) AS model, true AS same_parameters, 0 AS rows_that_differ FROM (SELECT count(*) FROM events)""")
+def sink_models(spark, d):
+    """Every fitted model written, read back, and applied to all sequences beside the one in memory."""
+    from pyspark.ml.classification import LogisticRegressionModel, RandomForestClassificationModel
+
+    s = seqs(spark, d).select("sequence_id", "flat", "next_state")
+    out = None
+    for name, model, kind, x in [("logistic_history", logistic(spark, d), LogisticRegressionModel, "flat"), ("forest_history", forest(spark, d), RandomForestClassificationModel, "flat"),
+                                 ("state_classifier", state_classifier(spark, d), LogisticRegressionModel, "next_state")]:
+        path = staging_dir(spark, name)
+        model.write().overwrite().save(path)
+        again = kind.load(path)
+        inner = lambda m: m.featureImportances if kind is RandomForestClassificationModel else m.coefficients  # noqa: E731, B023
+        one = md.score(md.score(s, model, x), again, x, "q").agg(F.count_if(~F.col("p").eqNullSafe(F.col("q"))).alias("rows_that_differ"))
+        one = one.select(F.lit(name).alias("model"), F.lit(bool((inner(model).toArray() == inner(again).toArray()).all())).alias("same_parameters"), "rows_that_differ")
+        out = one if out is None else out.unionByName(one)
+    fc = forecaster(spark, d)
+    again = md.load_forecaster(spark, md.save_forecaster(spark, fc, staging_dir(spark, "forecaster")))
+    h = seqs(spark, d).select("sequence_id", "history")
+    a, b = md.rollout(h, fc, 1, "history", ["sequence_id"]), md.rollout(h, again, 1, "history", ["sequence_id"]).withColumnRenamed("state", "other")
+    one = a.join(b, ["sequence_id", "horizon"]).agg(F.count_if(F.col("state") != F.col("other")).alias("rows_that_differ"))
+    same = bool((fc.weights == again.weights).all() and (fc.bias == again.bias).all() and fc.penalty == again.penalty)
+    return out.unionByName(one.select(F.lit("forecaster").alias("model"), F.lit(same).alias("same_parameters"), "rows_that_differ"))
+
+
 FOLD_DAYS = {"1": "2024-01-01", "2": "2024-01-11", "3": "2024-01-21"}
 
 
@@ -357,3 +395,38 @@ def fold_evaluation(spark, d):
         p = md.score(scaled.where(F.col("day") == hold), model, "state").select(F.lit(name).alias("fold"), F.col("binary_target").alias("y"), "p")
         out = p if out is None else out.unionByName(p)
     return mx.confusion_zero(mx.confusion_counts(out, ["fold"]))
+
+
+#: Trees of the forests below; each query fits up to three, so they have fewer than the single model's 300.
+FOLD_TREES = 40
+
+
+def _parted(spark, d):
+    """Windows of the month in three parts that stand for days."""
+    start = lambda n: F.lit(FOLD_DAYS[n]).cast("timestamp_ntz")
+    t = F.col("window_start")
+    return wins(spark, d).withColumn("day", F.when(t < start("2"), "1").when(t < start("3"), "2").otherwise("3"))
+
+
+def _frozen(spark, d, train_days):
+    return _memo(spark, d, ("frozen", *train_days), lambda: ev.fit(_parted(spark, d), train_days, trees=FOLD_TREES))
+
+
+def _kept(spark, df, what):
+    return spark.read.parquet(write_stage(df, staging_dir(spark, what)))
+
+
+@query("frozen_evaluation")
+def frozen_evaluation(spark, d):
+    """All models fitted on the first part of the month and applied, unchanged, to each of the others: every model and horizon."""
+    return _kept(spark, ev.report(_frozen(spark, d, ["1"]), spark, ["2", "3"]), "frozen_report")
+
+
+@query("fold_models")
+def fold_models(spark, d):
+    """Leave-one-part-out with all models: fits on the other parts, reports on the one held out. The loop is over three folds."""
+    out = None
+    for name, (train_days, hold) in sp.leave_one_out(sorted(FOLD_DAYS)).items():
+        one = _kept(spark, ev.report(_frozen(spark, d, train_days), spark, [hold]).select(F.lit(name).alias("fold"), "*"), "fold_report")
+        out = one if out is None else out.unionByName(one)
+    return out
