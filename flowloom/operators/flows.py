@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numeric import INF, from_micros, int_ratio
 from ..functions.ordering import number_rows
-from ..schema import FEATURES, INT_FEATURES, TCP_FLAGS
+from ..schema import FEATURES, INT_FEATURES, PROVENANCE, TCP_FLAGS
 from .flowscan import scan
 
 TIMEOUT_US = 120_000_000
@@ -212,3 +212,10 @@ PACKET_FIELDS = ["timestamp_us", "src_ip", "dst_ip", "src_port", "dst_port", "pr
 
 def missing_packet_fields(df: DataFrame) -> list[str]:
     return [x for x in PACKET_FIELDS if x not in df.columns]
+
+
+def with_provenance(df: DataFrame, kind: str) -> DataFrame:
+    """Tags every row; a kind that the data model does not know is an error."""
+    if kind not in PROVENANCE:
+        raise ValueError(f"unknown provenance {kind!r}, one of {PROVENANCE}")
+    return df.withColumn("provenance", F.lit(kind))

@@ -19,15 +19,20 @@ def stage_status(stage: Column) -> Column:
     return F.when(stage.isin(*mapped), "mapped").when(stage.isin(*CANDIDATE_STAGES), "candidate").otherwise("unknown")
 
 
-def triage_inputs(probabilities: DataFrame, stages: DataFrame, key: str = "sequence_id") -> DataFrame:
-    """One row per sequence: p1, p2, p3, p5 (NULL where missing), primary stage and its score and status."""
+def triage_inputs(probabilities: DataFrame, stages: DataFrame, key: str = "sequence_id", attribution: DataFrame | None = None) -> DataFrame:
+    """One row per sequence: p1, p2, p3, p5 (NULL where missing), primary stage and its score and status. With
+    ``attribution`` (any rows per key) also whether the sequence has one."""
     wide = probabilities.groupBy(key).pivot("horizon", [1, 2, 3, 5]).agg(F.max("p"))
     wide = wide.select(key, *[F.col(f"`{h}`").alias(f"p{h}") for h in (1, 2, 3, 5)])
     j = wide.join(stages, key, "full_outer")
     known = F.coalesce(F.col("primary_stage") != UNKNOWN, F.lit(False))
+    explained = []
+    if attribution is not None:
+        j = j.join(attribution.select(key).distinct().withColumn("_explained", F.lit(True)), key, "left")
+        explained = [F.coalesce("_explained", F.lit(False)).alias("attribution_available")]
     return j.select(key, "p1", "p2", "p3", "p5", F.when(known, F.col("primary_stage")).alias("stage"),
                     F.when(known, F.col("primary_score")).alias("stage_score"),
-                    F.when(known, stage_status(F.col("primary_stage"))).alias("stage_status"))
+                    F.when(known, stage_status(F.col("primary_stage"))).alias("stage_status"), *explained)
 
 
 def trend(p1: Column, p2: Column, p3: Column, p5: Column) -> Column:

@@ -10,6 +10,7 @@ from ..operators import matching as mt
 from ..operators import windows as wn
 from ..schema import FEATURES, INT_FEATURES, PROVENANCE
 from . import mapping as m
+from . import q_windows as qw
 from .registry import query
 
 KEYED = f"""{m.packets_sql()}, ok AS (SELECT * FROM packets WHERE src_port IS NOT NULL AND dst_port IS NOT NULL AND protocol IS NOT NULL),
@@ -201,9 +202,19 @@ def contract_flow_table(spark, d):
     return out
 
 
-@query("provenance_tag", f"WITH {m.flows_sql(['row_id'])} SELECT row_id, 'observed_lab_traffic' AS provenance FROM flows")
+@query("provenance_tag", f"""WITH {qw.seq_sql()} SELECT 'observed_lab_traffic' AS provenance, event_id AS id FROM events UNION ALL SELECT 'derived_flow_feature', row_id FROM states UNION ALL SELECT 'model_state', window_id FROM win
+UNION ALL SELECT 'model_forecast', sequence_id FROM seq UNION ALL SELECT 'attack_probability', event_id FROM events UNION ALL SELECT 'mitre_evidence', window_id FROM win""")
 def provenance_tag(spark, d):
-    return m.flows(spark, d, ["row_id"]).withColumn("provenance", F.lit(PROVENANCE[0]))
+    """Rows of all six kinds stacked, each tagged with where it comes from."""
+    w = qw.windows(spark, d, [])
+    rows = [m.packets(spark, d).select(F.col("index").alias("id")), m.states(spark, d, []).select(F.col("row_id").alias("id")), w.select(F.col("window_id").alias("id")),
+            qw.sequences(spark, d, [], states=False, w=w).select(F.col("sequence_id").alias("id")), m.scores(spark, d).select(F.col("sequence_id").alias("id")),
+            w.select(F.col("window_id").alias("id"))]
+    out = None
+    for kind, df in zip(PROVENANCE, rows):
+        one = fl.with_provenance(df, kind)
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 # Candidates: the rebuilt flows. Reference rows: the event flow table on the clock of the capture.

@@ -42,13 +42,17 @@ def transform_frozen(spark, d):
     return sc.transform(w, params).select("window_id", *[F.round(c(f), 6).alias(f) for f in FITTED])
 
 
-@query("inverse_scale", f"""WITH {PARAM_SQL}, pk AS (SELECT {_pick} FROM params) SELECT window_id, {", ".join(f'round(coalesce("{f}", median_{i}) * 0.7310585E0, 2) AS "{f}"' for i, f in enumerate(FITTED))} FROM win, pk""")
+_steps = lambda i: f"(((window_id * 7 + {i * 3}) % 17 - 8) / 4.0E0)"
+
+
+@query("inverse_scale", f"""WITH {PARAM_SQL}, pk AS (SELECT {_pick} FROM params) SELECT window_id, {", ".join(f'round({_steps(i)} * CASE WHEN std_{i} = 0 THEN 1 ELSE std_{i} END + mean_{i} + 1e-4, 2) AS "{f}"' for i, f in enumerate(FITTED))} FROM win, pk""")
 def inverse_scale(spark, d):
+    """Scaled states, a quarter of a deviation apart and another one per window and feature, back in raw units: mean and
+    scale of the training windows do not cancel. The offset keeps whole and dyadic results off the rounding border."""
     w = qw.windows(spark, d, FITTED)
     params = sc.load(sc.fit(sp.chronological(w).where("partition = 'train'"), FITTED))
-    out = sc.inverse(sc.transform(w, params), params)
-    # Scaled by an odd factor: whole and dyadic inputs would sit exactly on a rounding border.
-    return out.select("window_id", *[F.round(c(f) * 0.7310585, 2).alias(f) for f in FITTED])
+    scaled = w.select("window_id", *[F.expr(_steps(i)).alias(f) for i, f in enumerate(FITTED)])
+    return sc.inverse(scaled, params).select("window_id", *[F.round(c(f) + 1e-4, 2).alias(f) for f in FITTED])
 
 
 _KEEP = [f for i, f in enumerate(FITTED) if i % 16 == 0]

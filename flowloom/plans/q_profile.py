@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.numeric import c
+from ..operators import dedup as dd
 from ..operators import cleaning as cl
 from ..operators import profiling as pf
 from ..operators import validation as vd
-from ..schema import ATTACK, BENIGN, DST_PORT, FEATURES, LABEL, PROTOCOL, RAW_COLUMNS, TIMESTAMP
+from ..schema import ATTACK, BENIGN, DST_PORT, EXCLUDED, FEATURES, LABEL, PROTOCOL, RAW_COLUMNS, TIMESTAMP
 from ..sources import tables as tb
 from . import mapping as m
 from .registry import query
@@ -55,9 +56,10 @@ _PROFILED = [x for x in RAW_COLUMNS if x not in (TIMESTAMP, LABEL)]
 @query("profile_csv", f"""WITH {m.raw_text_sql(RAW_COLUMNS)},
 x AS (UNPIVOT (SELECT {", ".join(f'"{x}"' for x in _PROFILED)} FROM rawt) ON COLUMNS(*) INTO NAME column_name VALUE v)
 SELECT column_name, count(*) AS rows, count(*) FILTER (WHERE trim(v) = '') AS missing, count(*) FILTER (WHERE trim(v) <> '' AND NOT coalesce(isfinite(TRY_CAST(v AS DOUBLE)), false)) AS numeric_issues,
-(SELECT count(DISTINCT "Label") FROM rawt) AS labels, (SELECT count(*) FROM events WHERE event_id % 307 = 5 OR event_id % 311 = 6) AS malformed_rows FROM x GROUP BY 1""")
+(SELECT count(DISTINCT "Label") FROM rawt) AS labels, (SELECT count(*) FROM events WHERE event_id % 307 = 5 OR event_id % 311 = 6) AS malformed_rows,
+(SELECT count(*) FROM rawt) - (SELECT count(*) FROM (SELECT DISTINCT {", ".join(f'"{x}"' for x in RAW_COLUMNS)} FROM rawt)) AS duplicate_rows FROM x GROUP BY 1""")
 def profile_csv(spark, d):
-    """Profile of written CSV files: row, missing and numeric-issue counts of all columns, labels, malformed lines."""
+    """Profile of written CSV files: row, missing and numeric-issue counts of all columns, labels, malformed lines, rows that repeat others."""
     from ..operators.reports import column_report
     from .q_tables import _staged_csv
 
@@ -69,7 +71,18 @@ def profile_csv(spark, d):
                                           "numeric_issues": lambda x: F.count_if(~empty(x) & bad(x))})
     labels = good.select(c(LABEL)).distinct().agg(F.count(LABEL).alias("labels"))
     lines = tb.rejected_lines(raw).agg(F.count(F.lit(1)).alias("malformed_rows"))
-    return rep.crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(lines))
+    repeats = dd.duplicate_stats(good, RAW_COLUMNS).select(F.col("extra_rows").alias("duplicate_rows"))
+    return rep.crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(lines)).crossJoin(F.broadcast(repeats))
+
+
+@query("profile_labels", f"""WITH {m.raw_text_sql([LABEL])} SELECT trim("Label") AS label, count(*) AS n, round(100 * count(*) / CAST((SELECT count(*) FROM rawt) AS DOUBLE), 6) AS pct FROM rawt GROUP BY 1""")
+def profile_labels(spark, d):
+    """Label counts of the written CSV files, header lines among the data included, as the files have them."""
+    from .q_tables import _staged_csv
+
+    per = tb.good_rows(tb.read_flow_csv(spark, _staged_csv(spark, d))).groupBy(F.trim(c(LABEL)).alias("label")).agg(F.count(F.lit(1)).alias("n"))
+    all_rows = per.agg(F.sum("n").alias("_n"))
+    return per.crossJoin(F.broadcast(all_rows)).select("label", "n", F.round(100 * F.col("n") / F.col("_n"), 6).alias("pct"))
 
 
 _HEADERS = f"""{m.raw_text_sql([DST_PORT, TIMESTAMP, LABEL, "Flow Byts/s"])}, h AS (SELECT row_id, "Dst Port" AS a, "Timestamp" AS b, "Label" AS c, "Flow Byts/s" AS d FROM rawt WHERE "Label" = 'Label')"""
@@ -139,14 +152,14 @@ def corr_pairs(spark, d):
     return _r(pf.correlated_pairs(m.flows(spark, d, CORR), CORR), ["correlation"])
 
 
-CLASSED = [TIMESTAMP, LABEL, DST_PORT, PROTOCOL, *FEATURES]
+CLASSED = [TIMESTAMP, LABEL, DST_PORT, PROTOCOL, *FEATURES, *EXCLUDED]
 
 
-@query("classify_columns", f"""WITH {m.flows_sql(FEATURES)}, s AS ({" UNION ALL ".join(f"SELECT '{x}' AS column_name, (SELECT count(DISTINCT " + '"' + x + '"' + f") FROM flows) AS u, (SELECT max(n) FROM (SELECT count(*) AS n FROM flows GROUP BY " + '"' + x + '"' + ")) / CAST((SELECT count(*) FROM flows) AS DOUBLE) AS share" for x in CLASSED[4:])})
+@query("classify_columns", f"""WITH {m.flows_sql(FEATURES).replace(" flows AS (", " fl AS (")}, flows AS (SELECT *, {", ".join(f'0 AS "{x}"' for x in EXCLUDED)} FROM fl), s AS ({" UNION ALL ".join(f"SELECT '{x}' AS column_name, (SELECT count(DISTINCT " + '"' + x + '"' + f") FROM flows) AS u, (SELECT max(n) FROM (SELECT count(*) AS n FROM flows GROUP BY " + '"' + x + '"' + ")) / CAST((SELECT count(*) FROM flows) AS DOUBLE) AS share" for x in CLASSED[4:])})
 SELECT column_name, CASE WHEN u <= 1 OR share >= 0.99 THEN 'CONSTANT_OR_NEAR_CONSTANT' ELSE 'NETWORK_FEATURE' END AS category, NOT (u <= 1 OR share >= 0.99) AS core FROM s
 UNION ALL SELECT * FROM (VALUES ('Timestamp', 'TIMESTAMP', false), ('Label', 'TARGET', false), ('Dst Port', 'NETWORK_IDENTIFIER', false), ('Protocol', 'NETWORK_IDENTIFIER', true))""")
 def classify_columns(spark, d):
-    f = m.flows(spark, d, ["row_id", *CLASSED[4:]])
+    f = m.flows(spark, d, ["row_id", *FEATURES]).withColumns({x: F.lit(0) for x in EXCLUDED})
     names = f.sparkSession.createDataFrame([(x,) for x in CLASSED], "column_name string")
     return pf.classify_columns(names, pf.constant_columns(f, CLASSED[4:]))
 

@@ -260,7 +260,7 @@ def triage_inputs(spark, d):
     return tr.triage_inputs(qm.horizon_scores(spark, d), stage_table(spark, d))
 
 
-@query("triage_level", f"""WITH {TRIN_SQL}, a AS (SELECT *, coalesce(p5, p3, p2) - p1 AS dl, CASE WHEN p1 >= 0.62 THEN 3 WHEN p1 >= 0.5576 THEN 2 WHEN p1 >= 0.52 THEN 1 ELSE 0 END AS s0 FROM tri),
+@query("triage_level", f"""WITH {TRIN_SQL}, {ATTR_SQL}, why AS (SELECT DISTINCT vec_id FROM ct WHERE v > 0.5), a AS (SELECT *, sequence_id IN (SELECT vec_id FROM why) AS attribution_available, coalesce(p5, p3, p2) - p1 AS dl, CASE WHEN p1 >= 0.62 THEN 3 WHEN p1 >= 0.5576 THEN 2 WHEN p1 >= 0.52 THEN 1 ELSE 0 END AS s0 FROM tri),
 b AS (SELECT *, CASE WHEN dl IS NULL THEN 'unknown' WHEN dl >= 0.02 THEN 'rising' WHEN dl <= -0.02 THEN 'falling' ELSE 'flat' END AS trend FROM a),
 g AS (SELECT *, s0 + CASE WHEN trend = 'rising' THEN 1 WHEN trend = 'falling' AND s0 > 0 THEN -1 ELSE 0 END AS s1 FROM b),
 h AS (SELECT *, CASE WHEN stage IS NULL THEN s1 ELSE s1 + CASE WHEN stage_score >= 60 THEN 1 WHEN stage_score < 30 THEN -1 ELSE 0 END + CASE WHEN stage_status = 'candidate' THEN -1 ELSE 0 END + CASE WHEN stage = 'Impact' THEN 1 ELSE 0 END END AS s2 FROM g),
@@ -268,11 +268,13 @@ i AS (SELECT *, greatest(0, least(4, s2)) AS s FROM h)
 SELECT sequence_id, trend, CASE WHEN p1 IS NULL AND stage IS NULL THEN NULL ELSE s END AS severity,
 CASE WHEN p1 IS NULL AND stage IS NULL THEN 'MONITOR' WHEN ((p1 IS NULL OR stage IS NULL) AND s >= 2) OR (p1 IS NOT NULL AND stage IS NOT NULL AND trend = 'falling' AND stage_score >= 60) THEN 'ESCALATE'
  WHEN s = 0 THEN 'MONITOR' WHEN s = 1 THEN 'ALERT' WHEN s = 2 THEN 'RATE_LIMIT' ELSE 'TEMPORARY_BLOCK' END AS level,
-CASE WHEN p1 IS NULL AND stage IS NULL THEN 'INSUFFICIENT' ELSE CASE CASE WHEN p1 IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN stage IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN stage_status = 'mapped' THEN 1 ELSE 0 END + CASE WHEN stage_score >= 60 THEN 1 ELSE 0 END
- WHEN 4 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END END AS evidence_quality FROM i""")
+CASE WHEN p1 IS NULL AND stage IS NULL THEN 'INSUFFICIENT' ELSE CASE CASE WHEN p1 IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN stage IS NOT NULL THEN 1 ELSE 0 END + CASE WHEN stage_status = 'mapped' THEN 1 ELSE 0 END + CASE WHEN stage_score >= 60 THEN 1 ELSE 0 END + CASE WHEN attribution_available THEN 1 ELSE 0 END
+ WHEN 5 THEN 'HIGH' WHEN 4 THEN 'HIGH' WHEN 3 THEN 'MEDIUM' WHEN 2 THEN 'MEDIUM' ELSE 'LOW' END END AS evidence_quality, attribution_available FROM i""")
 def triage_level(spark, d):
-    t = tr.triage(tr.triage_inputs(qm.horizon_scores(spark, d), stage_table(spark, d)))
-    return t.select("sequence_id", "trend", "severity", "level", "evidence_quality")
+    """Levels with all evidence joined; a sequence is explained where a cell of its state pushes the score up by more than a half."""
+    why = attributed(spark, d).where(F.exists("contributions", lambda v: v > 0.5)).select(F.col("vec_id").alias("sequence_id"))
+    t = tr.triage(tr.triage_inputs(qm.horizon_scores(spark, d), stage_table(spark, d), attribution=why), F.col("attribution_available"))
+    return t.select("sequence_id", "trend", "severity", "level", "evidence_quality", "attribution_available")
 
 
 @query("join_evidence", f"WITH {TRIN_SQL} SELECT sequence_id, stage, round(p1, 6) AS p1, round(p5, 6) AS p5, (SELECT count(*) FROM hs WHERE hs.sequence_id = tri.sequence_id) AS horizons FROM tri WHERE p1 IS NOT NULL OR p2 IS NOT NULL OR p3 IS NOT NULL OR p5 IS NOT NULL")

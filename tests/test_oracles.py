@@ -11,7 +11,8 @@ SF = "/root/testdata/sf0.001"
 NAMES = ["drop_embedded_headers", "coerce_numeric", "dup_stats", "label_conflicts", "except_rows", "window_label_agg", "segment_gap",
          "purge_boundary", "join_offset_h", "growth_baseline", "sessionize_flows", "join_interval_match", "consistency_checks", "describe",
          "confusion_metrics", "roc_auc", "pr_auc", "trajectory_stats", "regression_extended", "stage_rules", "topk_per_row", "triage_level",
-         "schema_family", "abs_rel_diff", "stream_segments", "scan_pcap"]
+         "schema_family", "abs_rel_diff", "stream_segments", "scan_pcap",
+         "version_coverage", "status_rollup", "contract_flow_table", "classify_columns", "profile_csv", "profile_labels", "provenance_tag"]
 
 
 @pytest.fixture(scope="module")
