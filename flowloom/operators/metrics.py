@@ -83,6 +83,15 @@ def ranking(df: DataFrame, by: str | None = None, y: str = "y", p: str = "p", **
                       F.when(both, F.try_divide(F.col("_ap"), F.col("positives"))).alias("pr_auc"))
 
 
+def beats_coin(df: DataFrame, y: str = "y", p: str = "p") -> bool:
+    """Whether the scores rank the two classes better than chance. Rows of one class have no ranking: every score must then
+    be that class itself, which a coin's are not."""
+    r = ranking(df, None, y, p).first()
+    if r["roc_auc"] is not None:
+        return r["roc_auc"] > 0.5
+    return df.where(~F.col(y).cast("double").eqNullSafe(F.col(p))).isEmpty()
+
+
 def brier(df: DataFrame, by: Sequence[str] = (), y: str = "y", p: str = "p") -> DataFrame:
     return df.groupBy(*by).agg(F.avg((F.col(p) - F.col(y)) * (F.col(p) - F.col(y))).alias("brier"))
 

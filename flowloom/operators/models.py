@@ -38,10 +38,11 @@ def train_forest(train: DataFrame, features: str, label: str, trees: int = 300,
 
 
 def score(df: DataFrame, model, features: str, name: str = "p") -> DataFrame:
-    """Adds the attack probability; classes follow from p >= 0.5, not from the model's own > 0.5."""
+    """Adds the attack probability; classes follow from p >= 0.5, not from the model's own > 0.5. A forest fitted to benign
+    rows alone knows no second class: its probability is 0."""
     scored = model.transform(df.withColumn("features", array_to_vector(features)))
     keep = [x for x in df.columns]
-    return scored.select(*keep, vector_to_array("probability")[1].alias(name))
+    return scored.select(*keep, F.coalesce(F.get(vector_to_array("probability"), F.lit(1)), F.lit(0.0)).alias(name))
 
 
 def linear_probability(state: Column, coef: Sequence[float], intercept: float) -> Column:

@@ -2,7 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from flowloom.operators import metrics as mx
 from flowloom.operators import models as md
 
 
@@ -42,3 +44,15 @@ def test_folds_of_all_days(spark):
         assert f["penalty"] == best[1] and f["train_rows"] == 150 and f["holdout_rows"] == 60
         assert f["validation_mse"] == pytest.approx(best[0], rel=1e-6) and f["holdout_mse"] == pytest.approx(best[2], rel=1e-6)
         assert f["persistence_mse"] == pytest.approx(float(((hx[:, -2:] - hy) ** 2).mean()))
+
+
+@pytest.mark.parametrize("only", [0, 1, None])
+def test_forest_facts_of_one_class(spark, only):
+    """Training rows that are all of one class have no ranking; the facts of the forest hold all the same."""
+    rows = [(i, [float(i), float(i % 3)], i % 2 if only is None else only) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y int")
+    scored = md.score(df, md.train_forest(df, "x", "y", trees=5, depth=6), "x").cache()
+    assert mx.beats_coin(scored)
+    assert only is None or {r["p"] for r in scored.collect()} == {float(only)}
+    assert not mx.beats_coin(scored.withColumn("p", F.lit(0.5)))
+    scored.unpersist()
