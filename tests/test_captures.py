@@ -141,3 +141,24 @@ def test_rotated_files_are_one_capture(spark, tmp_path):
     flows = lambda p: fl.flow_features(fl.label_packets(p)).select("capture", "`Tot Fwd Pkts`").collect()
     assert flows(read(link=F.lit("eth0"))) == [("eth0", 6)]
     assert len(flows(read())) == 3
+
+
+def test_batches_of_long_captures_are_bounded(spark):
+    """60 captures of 1 MB: a worker gets a few of them at a time, not all, and each gives its row."""
+    from pyspark.sql import functions as F
+
+    from flowloom.sources import captures as cap
+
+    head = "d4c3b2a1020004000000000000000000ffff000001000000" + "00" * 8 + "00001000" * 2  # one record of 2^20 bytes
+    files = spark.range(60).coalesce(1).select(F.col("id").cast("string").alias("capture"), F.unhex(F.concat(F.lit(head), F.repeat(F.lit("41"), 1 << 20))).alias("content"))
+    rows = cap.malformed(cap.decode(files)).collect()
+    assert sorted(int(r["capture"]) for r in rows) == list(range(60)) and {r["index"] for r in rows} == {0}
+    assert {r["reason"] for r in rows} == {"No IPv4 layer present (e.g. ARP or other non-IP frame)."}
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [b.num_rows]}, pa.schema([("rows", pa.int64())]))
+
+    assert max(r["rows"] for r in files.mapInArrow(sizes, "rows long").collect()) <= 8
