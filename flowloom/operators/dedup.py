@@ -27,6 +27,15 @@ def duplicate_stats(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.count_if(many).alias("groups"))
 
 
+def repeat_suspects(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The rows whose hash stands for more than one row: all rows that repeat others are among them, and few else.
+
+    Where repetitions are few, counting these takes one shuffled number a row instead of the whole row. ``df`` is read twice."""
+    h = F.xxhash64(*[c(x) for x in columns])
+    many = df.select(h.alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_h")
+    return df.withColumn("_h", h).join(many, "_h", "left_semi").drop("_h")
+
+
 def label_conflicts(df: DataFrame, features: Sequence[str], label: str) -> DataFrame:
     """Groups of equal features (NULL-safe) carrying more than one label: labels and rows per group.
 

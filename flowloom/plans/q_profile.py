@@ -51,6 +51,8 @@ def describe(spark, d):
 
 
 _PROFILED = [x for x in RAW_COLUMNS if x not in (TIMESTAMP, LABEL)]
+#: Columns whose counts are one aggregate: more would be a method that the JVM does not compile.
+AT_ONCE = 13
 
 
 @query("profile_csv", f"""WITH {m.raw_text_sql(RAW_COLUMNS)},
@@ -63,15 +65,20 @@ def profile_csv(spark, d):
     from ..operators.reports import column_report
     from .q_tables import _staged_csv
 
-    raw = tb.read_flow_csv(spark, _staged_csv(spark, d))
+    parsed = tb.read_flow_csv(spark, _staged_csv(spark, d))
+    # parsed once; the counts below read only the columns that they need
+    raw = spark.read.schema(parsed.schema).parquet(tb.write_stage(parsed, tb.staging_dir(spark, "parsed_csv")))
     bad = lambda x: ~F.coalesce(F.abs(c(x).try_cast("double")) < float("inf"), F.lit(False))
     empty = lambda x: c(x).isNull() | (F.trim(c(x)) == "")
     good = tb.good_rows(raw)
-    rep = column_report(good, _PROFILED, {"rows": lambda x: F.count(F.lit(1)), "missing": lambda x: F.count_if(empty(x)),
-                                          "numeric_issues": lambda x: F.count_if(~empty(x) & bad(x))})
+    counts = {"rows": lambda x: F.count(F.lit(1)), "missing": lambda x: F.count_if(empty(x)), "numeric_issues": lambda x: F.count_if(~empty(x) & bad(x))}
+    rep = None
+    for i in range(0, len(_PROFILED), AT_ONCE):
+        part = column_report(good, _PROFILED[i:i + AT_ONCE], counts)
+        rep = part if rep is None else rep.unionByName(part)
     labels = good.select(c(LABEL)).distinct().agg(F.count(LABEL).alias("labels"))
     lines = tb.rejected_lines(raw).agg(F.count(F.lit(1)).alias("malformed_rows"))
-    repeats = dd.duplicate_stats(good, RAW_COLUMNS).select(F.col("extra_rows").alias("duplicate_rows"))
+    repeats = dd.duplicate_stats(dd.repeat_suspects(good, RAW_COLUMNS), RAW_COLUMNS).select(F.col("extra_rows").alias("duplicate_rows"))
     return rep.crossJoin(F.broadcast(labels)).crossJoin(F.broadcast(lines)).crossJoin(F.broadcast(repeats))
 
 
