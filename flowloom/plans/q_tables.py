@@ -24,9 +24,10 @@ def _staged_csv(spark, d):
     path = tb.staging_dir(spark, "flows_csv")
     raw = m.raw_text(spark, d).withColumn("Extra", F.lit("a, b"))
     orders = {"all": RAW_COLUMNS, "turned": [*RAW_COLUMNS[40:], "Extra", *RAW_COLUMNS[:40]]}
-    for i, (name, columns) in enumerate(orders.items()):
+    even = F.coalesce(F.col("row_id") % 2 == 0, F.lit(False))  # a negative or missing number is in the other files
+    for part, (name, columns) in zip((even, ~even), orders.items()):
         day = f"{path}/capture_day={name}"
-        raw.where(F.col("row_id") % 2 == i).select(*[c(x) for x in columns]).write.option("header", True).csv(day)
+        raw.where(part).select(*[c(x) for x in columns]).write.option("header", True).csv(day)
     short = F.when(F.col("row_id") % 307 == 5, "cut, short").when(F.col("row_id") % 311 == 6, ",".join(["0"] * len(RAW_COLUMNS) + ["one,more"]))
     # a CSV writer cannot write such lines: they go out as one-column lines under a header of the right names
     faulty = raw.select(short.alias(",".join(RAW_COLUMNS))).where(F.col(f"`{','.join(RAW_COLUMNS)}`").isNotNull())

@@ -1,7 +1,10 @@
 """The CSV source: files bound by their headers, in a number of jobs that does not depend on the number of files."""
 
+import duckdb
+
 from flowloom.schema import RAW_COLUMNS
 from flowloom.sources import tables as tb
+from .oracle import compare
 
 
 def jobs_of(spark, group, work):
@@ -30,3 +33,15 @@ def test_headers_of_many_files(spark, tmp_path):
     assert many <= one + 1, (one, many)
     rows = tb.good_rows(tb.read_flow_csv(spark, str(tmp_path / "capture_day=1"))).collect()
     assert sorted(int(r["Label"]) for r in rows) == list(range(1, 300, 3)) and all(r["Dst Port"] == r["Label"] for r in rows)
+
+
+def test_scan_keeps_rows_with_negative_or_missing_numbers(spark, tmp_path):
+    from flowloom.plans import catalog
+
+    con = duckdb.connect()
+    con.execute("""CREATE TABLE events AS SELECT CAST(e AS BIGINT) AS event_id, TIMESTAMP '2024-01-01 00:00:00' AS ts, 7 + abs(coalesce(e, 9)) AS user_id, 'view' AS event_type, 1.0E0 AS value,
+        '{"k": 20}' AS props FROM (VALUES (-3), (-2), (-1), (0), (1), (2), (NULL)) t(e)""")
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet'")
+    for name, n in (("scan_csv_flows", 7), ("scan_csv_chunked", 1)):
+        message, _, ok = compare(spark, con, name, catalog.QUERIES[name], catalog.ORACLES[name], str(tmp_path))
+        assert ok and message == f"ok n={n}", message
