@@ -11,16 +11,17 @@ from ..functions.numeric import INF, is_inf
 
 
 def paired_cells(a: DataFrame, b: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
-    """(keys, feature, mapped, left_value, right_value) of the keys in both versions. The join is on the row key with all columns
-    side by side; the unpivot comes after it, so the shuffle carries rows, not cells. A column that the second version lacks is
-    not mapped; keys in one version only are counted by ``key_coverage``."""
-    have = {x: i for i, x in enumerate(columns) if x in b.columns}
-    y = b.select(*keys, *[F.col(f"`{x}`").alias(f"_y{i}") for x, i in have.items()])
-    j = a.select(*keys, *[F.col(f"`{x}`") for x in columns]).join(y, list(keys))
-    cells = F.array(*[F.struct(F.lit(x).alias("feature"), F.lit(x in have).alias("mapped"), F.col(f"`{x}`").cast("double").alias("l"),
-                               (F.col(f"_y{i}") if x in have else F.lit(None)).cast("double").alias("r")) for i, x in enumerate(columns)])
-    z = j.select(*keys, F.explode(cells).alias("_c"))
-    return z.select(*keys, "_c.feature", "_c.mapped", F.col("_c.l").alias("left_value"), F.col("_c.r").alias("right_value"))
+    """(keys, feature, mapped, left_value, right_value) of the keys in both versions. The join is on the row key with the columns of
+    each side in one array; the unpivot comes after it, so the shuffle carries rows, not cells, and goes through a fixed list of
+    features, so that a cell costs two look-ups. The planner takes an array for one value and would broadcast it, hence the
+    hint. A column that the second version lacks is not mapped; keys in one version only
+    are counted by ``key_coverage``."""
+    have = [x in b.columns for x in columns]
+    packed = lambda known: F.array(*[(F.col(f"`{x}`") if k else F.lit(None)).cast("double") for x, k in zip(columns, known)])
+    j = a.select(*keys, packed([True] * len(columns)).alias("_x")).join(b.select(*keys, packed(have).alias("_y")).hint("merge"), list(keys))
+    names = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(x).alias("feature"), F.lit(k).alias("mapped")) for i, (x, k) in enumerate(zip(columns, have))])
+    z = j.select(*keys, "_x", "_y", F.explode(names).alias("_c"))
+    return z.select(*keys, "_c.feature", "_c.mapped", F.get("_x", F.col("_c.i")).alias("left_value"), F.get("_y", F.col("_c.i")).alias("right_value"))
 
 
 def key_coverage(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -363,7 +363,9 @@ def _statuses(spark, d):
 
 @query("abs_rel_diff", f"WITH {CELL_SQL} SELECT row_id, feature, round(abs_diff, 6) AS abs_diff, round(rel_diff, 6) AS rel_diff, exact_match, tolerance_match FROM df")
 def abs_rel_diff(spark, d):
-    return _diffs(spark, d).select("row_id", "feature", F.round("abs_diff", 6).alias("abs_diff"), F.round("rel_diff", 6).alias("rel_diff"), "exact_match", "tolerance_match")
+    # most cells do not differ: rounding goes through decimal text and is left to those that do
+    rounded = [F.when(F.col(x) == 0, F.lit(0.0)).otherwise(F.round(x, 6)).alias(x) for x in ("abs_diff", "rel_diff")]
+    return _diffs(spark, d).select("row_id", "feature", *rounded, "exact_match", "tolerance_match")
 
 
 @query("diff_classify", f"WITH {CELL_SQL} SELECT feature, status, count(*) AS n FROM sta GROUP BY 1, 2")

@@ -29,6 +29,15 @@ def test_cells_and_status(spark):
     assert rolled == {"x": "PARTIALLY_VALIDATED", "y": "UNVALIDATED", "z": "NOT_REPRODUCIBLE"}
 
 
+def test_cells_are_joined_as_one_array_a_side(spark):
+    a, b = _versions(spark)
+    cells = cp.paired_cells(a, b, ["k"], ["x", "y", "z"])
+    plan = cells._jdf.queryExecution()
+    assert "explode([[0,x,true]" in plan.optimizedPlan().toString()  # a fixed list, nothing is built per row
+    assert "BroadcastHashJoin" not in plan.executedPlan().toString()  # an array's size is not known to the planner
+    assert sorted((r["k"], r["left_value"], r["right_value"]) for r in cells.where("feature = 'z'").collect()) == [(1, 2.0, None), (2, 3.0, None), (3, 4.0, None), (4, 5.0, None)]
+
+
 def test_coverage(spark):
     a, b = _versions(spark)
     assert tuple(cp.key_coverage(a, b, ["k"]).first()) == (4, 1, 1, 1)
