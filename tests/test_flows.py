@@ -182,3 +182,15 @@ def test_interval_join_of_a_hot_port(spark, slice_rows):
     want = [(x[0], y[0], abs(x[3] - y[3]) / 1e6, (abs(x[4] - y[4]) < 500_000) + sum(p == q for p, q in zip(x[5:], y[5:])))
             for x in a for y in b if x[1:3] == y[1:3] and abs(x[3] - y[3]) <= 2_000_000]
     assert sorted(tuple(x) for x in got) == sorted(want) and len(want) > 1500
+
+
+def test_interval_join_is_dealt_by_its_pairs(spark, monkeypatch):
+    """A few rows that make many pairs are many tasks, and an empty side is no fault."""
+    from flowloom.operators import matching as mt
+
+    monkeypatch.setattr(mt, "TASK_PAIRS", 2_000, raising=False)
+    rows = spark.range(600).selectExpr("id", "6 AS protocol", "443 AS dst_port", "id * 100000 AS us", "id % 3 * 1000000 AS dur", "id % 3 AS fp", "id % 2 AS bp", "5L AS fb", "0L AS bb")
+    side = rows.withColumn("ts", fl.from_micros(F.col("us"))).drop("us")
+    got = mt.match_flows(side, side).withColumn("task", F.spark_partition_id()).agg(F.count(F.lit(1)), F.count_distinct("candidate_id", "reference_id"), F.count_distinct("task")).first()
+    assert tuple(got[:2]) == (600 * 41 - 2 * sum(range(1, 21)),) * 2 and got[2] > 4
+    assert mt.match_flows(side, side.limit(0)).count() == 0
