@@ -134,7 +134,8 @@ def _pair_links(groups: pa.Array) -> pa.RecordBatch:
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Links (a, b) that connect exactly the fingerprints reachable by steps of at most BUDGET bits; ``fps`` are distinct."""
     keyed = fps.select("fp", F.explode(table_keys()).alias("k"))
-    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # the planner takes exploded rows for no more than the fingerprints: left alone, it would broadcast these through the driver
+    sizes = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").hint("merge")
     met = keyed.join(sizes, "k").withColumn("blocks", F.ceil(F.col("n") / block))
     dealt = met.withColumn("x", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     groups = dealt.groupBy("k", F.least("x", "y").alias("lo"), F.greatest("x", "y").alias("hi")).agg(F.collect_list("fp").alias("fps"))

@@ -284,6 +284,12 @@ def test_components_of_a_path(spark):
     assert components.components(edges.limit(0)).count() == 0
 
 
+def test_simhash_table_keys_are_never_broadcast(spark):
+    """An exploded table looks as small as its input to the planner, which sent 35 keys a fingerprint through the driver."""
+    fps = spark.range(1000).select(F.xxhash64("id").alias("fp"))
+    assert "Broadcast" not in simhash.links(fps)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_empty(nothing):
     assert simhash.near_components(nothing).count() == 0 and simhash.keep_one(nothing).count() == 0
 
