@@ -143,7 +143,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     texts = keyed.join(likely.select("rid").distinct(), "rid", "left_semi")
     texts = stage(texts.dropDuplicates(["rid"]), "hit-texts")
     items = _slots(bench, "item", "i")
-    full = near.join(_slots(texts, "rid", "d"), "rid").join(items, "item")
+    # hits are written some 30 times smaller than they are in memory, so that the planner would broadcast too many of them
+    full = near.hint("merge").join(_slots(texts.repartition("rid"), "rid", "d"), "rid").join(items, "item")
     alignment = ["rid", "item", "shift", "view"]
     views = F.when(F.col("dform") + F.col("iform") == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
     valued = full.select("rid", "item", "n_windows", "first", "at", (F.col("p") - F.col("at")).alias("shift"), F.concat("dform", "iform").alias("forms"), views.alias("views"), _pairs("p", "d").alias("dv"), _pairs("at", "i").alias("iv"), _slot_places("at", "i").alias("ip"))

@@ -2,6 +2,7 @@
 repeated rows, empty tables and clashing columns."""
 
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -246,6 +247,14 @@ def test_values_that_become_equal_or_differ_once(spark):
     assert rows_of(decontaminate.contamination_report(docs, bench), "doc_id", "item_id", "reparameterised") == [(1, 1, True), (2, 2, False), (3, 2, False)]
 
 
+def test_hits_of_the_benchmark_are_never_broadcast(spark):
+    """Written hits are small beside what they are in memory; they and the texts that they hit are merged."""
+    docs, bench = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = decontaminate.contaminated(docs, bench)._jdf.queryExecution().executedPlan().toString()
+    joins = re.findall(r"(\w+Join) \[rid#\d+L\], \[rid#\d+L\], Inner", plan.split("== Initial Plan ==")[-1])
+    assert joins.count("SortMergeJoin") == 3 and joins.count("BroadcastHashJoin") == 1  # the last only fetches doc_id
+
+
 def test_decontamination_of_long_numbers(spark):
     """Numbers of any length are one placeholder; a repeated alternation would overflow the stack of the regex."""
     bench = spark.createDataFrame([(1, QUESTION)], "item_id long, text string")
