@@ -17,6 +17,8 @@ Equal segments within one numpy step are settled there and only the first is dea
 repeats is one entry per step. A gram with more than HOT open segments is not sorted in one task: its windows are dealt
 by their own hash, where equal windows meet and again one per task is enough.
 
+Texts travel once, in compressed blocks dealt by document, and that one exchange serves steps 2 and 3.
+
 Null texts are empty; texts shorter than SPAN lose nothing. Rows with equal ids are no earlier than each other and lose
 nothing to each other; null ids are later than all others and equal among themselves. An empty table gives an
 empty result. Extra columns are passed over, and texts are never moved except to the tasks that cut them.
@@ -43,6 +45,9 @@ PART_BYTES, MOST_PARTS, HOMES_PER_PART = 8_000_000, 1 << 18, 4
 HOT = 10_000
 #: Text per numpy step of the anchors, and per suffix array (about 100 and 130 bytes of memory for each).
 STEP, SORT_BYTES = 750_000, 750_000
+#: Bytes of a gram (it only brings segments together, some chance company does no harm) and of a side's hash (segments that agree
+#: by chance are fetched for nothing, and the more often the more segments a gram has).
+GRAM_BYTES, SIDE_BYTES = 2, 3
 #: Low bits of a window's key that hold the place.
 _PLACE = 26
 _LAST = np.iinfo(np.int64).max
@@ -50,7 +55,7 @@ _LAST = np.iinfo(np.int64).max
 
 def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     """Segments of the texts ``data[offsets[i]:offsets[i+1]]``, in order: first and last window, text, gram hash, segment
-    hash, and the 16-bit hashes of REACH bytes left and right of the gram (0: no window reaches that far)."""
+    hash, and the hashes (SIDE_BYTES) of REACH bytes left and right of the gram (0: no window reaches that far)."""
     n = len(data)
     at = np.arange(n - GRAM + 1 if n >= SPAN else 0)
     start = at[:0]
@@ -68,7 +73,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
         start = np.flatnonzero(np.arange(len(best)) + SPAN <= ends)
     if not len(start):
         none = np.zeros(0, np.int64)
-        return dict.fromkeys(("first", "last", "row"), none) | dict.fromkeys(("gram", "segment"), none.astype(np.uint64)) | dict.fromkeys(("left", "right"), none.astype(np.uint16))
+        return dict.fromkeys(("first", "last", "row"), none) | dict.fromkeys(("gram", "segment", "left", "right"), none.astype(np.uint64))
     pick = (best[start] & low).astype(np.int64)
     new = np.r_[True, (pick[1:] != pick[:-1]) | (start[1:] != start[:-1] + 1)]
     first, last, pick = start[new], np.r_[start[np.flatnonzero(new)[1:] - 1], start[-1]], pick[new]
@@ -76,7 +81,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     sides = []
     for can, a in zip(reaches, (pick - REACH, pick + GRAM)):
         a = np.where(can, a, 0)
-        sides.append(np.where(can, np.maximum(range_hash(sums, a, a + REACH) >> np.uint64(48), np.uint64(1)), np.uint64(0)).astype(np.uint16))
+        sides.append(np.where(can, np.maximum(range_hash(sums, a, a + REACH) >> np.uint64(64 - 8 * SIDE_BYTES), np.uint64(1)), np.uint64(0)))
     return {"first": first, "last": last, "row": np.searchsorted(offsets, first, "right") - 1, "gram": gram[pick], "segment": range_hash(sums, first, last + SPAN), "left": sides[0], "right": sides[1]}
 
 
@@ -102,7 +107,7 @@ def _ordinals(row: np.ndarray) -> np.ndarray:
 # ---- what travels: columns of numbers as bytes, one row for each sender and receiver ------------------------------
 
 def _low_bytes(x: np.ndarray, n: int) -> bytes:
-    """The last ``n`` bytes of 64-bit hashes."""
+    """The last ``n`` bytes of 64-bit numbers."""
     return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8)[:, :n]).tobytes()
 
 
@@ -112,10 +117,36 @@ def _from_low_bytes(raw: bytes, n: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
-ENTRIES = "part long, gram binary, segment binary, sides binary, doc binary, which binary, ordinal binary"
+def _narrow(x: np.ndarray) -> bytes:
+    """Numbers in as few bytes as the largest of them needs."""
+    x = x.astype(np.int64).view(np.uint64)
+    return _low_bytes(x, -(-int(x.max()).bit_length() // 8) or 1) if len(x) else b""
+
+
+def _widened(raw: bytes, count: int) -> np.ndarray:
+    return _from_low_bytes(raw, len(raw) // count if count else 1).view(np.int64)
+
+
+def _names(doc: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """Row key and order of entries' documents, one for neighbours of the same, and at which entries a new one begins."""
+    new = np.r_[True, doc[1:, 0] != doc[:-1, 0]][:len(doc)]
+    return doc[new, 0].tobytes(), _narrow(doc[new, 1]), np.packbits(new).tobytes()
+
+
+def _named(rids: bytes, orders: bytes, new: bytes, count: int) -> np.ndarray:
+    """What ``_names`` was given, ``count`` entries."""
+    rid = np.frombuffer(rids, np.int64)
+    which = np.cumsum(np.unpackbits(np.frombuffer(new, np.uint8), count=count), dtype=np.int64) - 1
+    return np.stack([rid, _widened(orders, len(rid))], 1)[which]
+
+
+PACKED = "home long, block binary"
+ENTRIES = "part long, gram binary, segment binary, sides binary, doc binary, orders binary, new binary, ordinal binary"
+#: text: the segments one after the other, compressed
+TEXT = "zstd"
 #: code: ordinal * 4 + 1 for a covered segment, + 2 for an open one, + 3 for an open one of a hot gram
 REPLIES = "home long, rid binary, code binary, mask binary"
-OPEN = "part long, hot boolean, gram binary, doc binary, ordinal binary, windows binary, text binary"
+OPEN = "part long, hot boolean, gram binary, doc binary, orders binary, new binary, ordinal binary, windows binary, text binary"
 
 
 def _split(part: np.ndarray):
@@ -165,15 +196,14 @@ def _send_anchors(parts: int, homes: int):
                 settled = order[later]  # an earlier text of this step has the segment: no need to ask
                 if len(settled):
                     for h, rid, code, _ in _reply_rows(doc[settled, 0], number[settled] * 4 + 1, None, homes):
-                        rows.append((-1 - h, b"", b"", b"", rid, b"", code))
+                        rows.append((-1 - h, b"", b"", b"", rid, b"", b"", code))
                 go = np.sort(order[~later])
                 order, slices = _split((a["gram"][go] % np.uint64(parts)).astype(np.int64))
                 go = go[order]
-                sides = np.stack([a["left"], a["right"]], 1)
+                sides = np.stack([a["left"], a["right"]], 1).astype(np.uint64)
                 for p, x in slices:
                     k = go[x]
-                    own, which = np.unique(a["row"][k], return_inverse=True)
-                    rows.append((p, _low_bytes(a["gram"][k] // np.uint64(parts), 6), _low_bytes(a["segment"][k], 8), sides[k].tobytes(), ids[lo + own].tobytes(), which.astype("<u2").tobytes(), number[k].astype("<u4").tobytes()))
+                    rows.append((p, _low_bytes(a["gram"][k] // np.uint64(parts), GRAM_BYTES), _low_bytes(a["segment"][k], 8), _low_bytes(sides[k].ravel(), SIDE_BYTES), *_names(doc[k]), _narrow(number[k])))
                 yield _batch(rows, schema)
 
     return apply
@@ -186,10 +216,10 @@ def _settle(homes: int, most: int):
         cols = table.to_pydict()
         if key[0].as_py() < 0:
             return pa.Table.from_batches([_batch([(-1 - key[0].as_py(), r, c, b"") for r, c in zip(cols["doc"], cols["ordinal"])], schema)])
-        gram, segment = (_from_low_bytes(b"".join(cols[c]), n) for c, n in (("gram", 6), ("segment", 8)))
-        side = np.frombuffer(b"".join(cols["sides"]), np.uint16).reshape(-1, 2)
-        doc = np.concatenate([np.frombuffer(d, np.int64).reshape(-1, 2)[np.frombuffer(w, "<u2")] for d, w in zip(cols["doc"], cols["which"])])
-        number = np.frombuffer(b"".join(cols["ordinal"]), "<u4").astype(np.int64)
+        gram, segment, side = (_from_low_bytes(b"".join(cols[c]), n) for c, n in (("gram", GRAM_BYTES), ("segment", 8), ("sides", SIDE_BYTES)))
+        side, count = side.reshape(-1, 2), [len(g) // GRAM_BYTES for g in cols["gram"]]
+        doc = np.concatenate([_named(*x) for x in zip(cols["doc"], cols["orders"], cols["new"], count)])
+        number = np.concatenate([_widened(*x) for x in zip(cols["ordinal"], count)])
         order = np.lexsort((doc[:, 1], segment, gram))
         gram, segment, side, doc, number = gram[order], segment[order], side[order], doc[order], number[order]
         new_gram = np.r_[True, gram[1:] != gram[:-1]]
@@ -198,7 +228,7 @@ def _settle(homes: int, most: int):
         full = doc[:, 1] > doc[begin, 1][of_class]
         matched = np.zeros(len(begin), bool)
         for x in (0, 1):  # classes of one gram that agree on a side
-            k = (of_gram[begin].astype(np.uint64) << np.uint64(16)) | side[begin, x]
+            k = (of_gram[begin].astype(np.uint64) << np.uint64(8 * SIDE_BYTES)) | side[begin, x]
             _, back, n = np.unique(k, return_inverse=True, return_counts=True)
             matched |= (n[back] > 1) & (side[begin, x] > 0)
         ask = matched[of_class] & ~full
@@ -212,6 +242,25 @@ def _settle(homes: int, most: int):
 
 # ---- step 2 ------------------------------------------------------------------------------------------------------
 
+def _pack(batches):
+    """The documents of each batch as one compressed block for each home."""
+    schema = _arrow(PACKED)
+    how = pa.ipc.IpcWriteOptions(compression=pa.Codec(TEXT, compression_level=3))
+    for b in batches:
+        order, slices = _split(b.column("home").to_numpy())
+        docs, rows = b.drop_columns(["home"]), []
+        for h, x in slices:
+            out = pa.BufferOutputStream()
+            with pa.ipc.new_stream(out, docs.schema, options=how) as w:
+                w.write_batch(docs.take(pa.array(order[x])))
+            rows.append((h, out.getvalue().to_pybytes()))
+        yield _batch(rows, schema)
+
+
+def _unpacked(blocks: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in blocks.column("block").to_pylist()])
+
+
 def _texts(docs: pa.Table):
     """Joined bytes, offsets, row keys and order of a group of documents, one row for each key."""
     rid = docs.column("rid").combine_chunks().to_numpy()
@@ -239,10 +288,10 @@ def _placed(a: dict[str, np.ndarray], rows: int, row: np.ndarray, number: np.nda
 def _fetch(parts: int):
     schema = _arrow(OPEN)
 
-    def apply(key, docs, replies):
-        if not docs.num_rows or not replies.num_rows:
+    def apply(key, blocks, replies):
+        if not blocks.num_rows or not replies.num_rows:
             return pa.Table.from_batches([], schema)
-        data, off, rids, docs = _texts(docs)
+        data, off, rids, docs = _texts(_unpacked(blocks))
         orders = docs.column("ord").combine_chunks().to_numpy()
         row, number, kind, _ = _said(replies, rids)
         a = _all_anchors(data, off)
@@ -250,7 +299,9 @@ def _fetch(parts: int):
         for hot in (False, True):
             ask = np.flatnonzero(kind == 3 if hot else kind == 2)
             k = _placed(a, len(rids), row[ask], number[ask])
-            doc, num, window = np.stack([rids[row[ask]], orders[row[ask]]], 1), number[ask].astype("<u4"), a["last"][k] - a["first"][k] + 1
+            by = np.argsort(k)  # by document
+            k, ask = k[by], ask[by]
+            doc, num, window = np.stack([rids[row[ask]], orders[row[ask]]], 1), number[ask], a["last"][k] - a["first"][k] + 1
             gram = a["gram"][k]
             if hot and len(k):  # one entry for each window, under the window's own hash
                 own = np.repeat(np.arange(len(k)), window)
@@ -261,8 +312,8 @@ def _fetch(parts: int):
             order, slices = _split((gram % np.uint64(parts)).astype(np.int64))
             for p, x in slices:
                 i = order[x]
-                text = b"" if hot else b"".join(data[a["first"][y]:a["last"][y] + SPAN].tobytes() for y in k[i])
-                rows.append((p, hot, gram[i].tobytes(), doc[i].tobytes(), num[i].tobytes(), window[i].astype(np.uint8).tobytes(), text))
+                text = b"" if hot else pa.compress(b"".join(data[a["first"][y]:a["last"][y] + SPAN].tobytes() for y in k[i]), TEXT, asbytes=True)
+                rows.append((p, hot, gram[i].tobytes(), *_names(doc[i]), _narrow(num[i]), window[i].astype(np.uint8).tobytes(), text))
         return pa.Table.from_batches([_batch(rows, schema)], schema)
 
     return apply
@@ -383,8 +434,9 @@ def _decide(homes: int):
             if not cols["part"]:
                 continue
             gram = np.frombuffer(b"".join(cols["gram"]), np.uint64)
-            doc = np.frombuffer(b"".join(cols["doc"]), np.int64).reshape(-1, 2)
-            number = np.frombuffer(b"".join(cols["ordinal"]), "<u4").astype(np.int64)
+            count = [len(w) for w in cols["windows"]]
+            doc = np.concatenate([_named(*x) for x in zip(cols["doc"], cols["orders"], cols["new"], count)])
+            number = np.concatenate([_widened(*x) for x in zip(cols["ordinal"], count)])
             window = np.frombuffer(b"".join(cols["windows"]), np.uint8)
             if hot:
                 order = np.argsort(gram, kind="stable")
@@ -393,7 +445,9 @@ def _decide(homes: int):
                 mask = np.zeros(len(gram), np.uint64)
                 mask[order] = np.where(doc[order, 1] > least, np.uint64(1) << window[order].astype(np.uint64), np.uint64(0))
             else:
-                mask = masks(doc, number, window, gram, np.frombuffer(b"".join(cols["text"]), np.uint8))
+                size = [sum(w) + len(w) * (SPAN - 1) for w in cols["windows"]]
+                text = b"".join(pa.decompress(x, n, TEXT, asbytes=True) for x, n in zip(cols["text"], size))
+                mask = masks(doc, number, window, gram, np.frombuffer(text, np.uint8))
             some = mask > 0
             out += _reply_rows(doc[some, 0], number[some] * 4, mask[some], homes)
         return pa.Table.from_batches([_batch(out, schema)], schema)
@@ -423,7 +477,8 @@ def covered_bytes(data: np.ndarray, off: np.ndarray, row: np.ndarray, number: np
 def _cut(with_text: bool):
     fields = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
-    def apply(key, docs, replies):
+    def apply(key, blocks, replies):
+        docs = _unpacked(blocks)
         data, off, rids, one = _texts(docs)
         row, number, kind, mask = _said(replies, rids)
         gone = covered_bytes(data, off, row, number, kind, mask)
@@ -451,9 +506,9 @@ def remove_repeats(docs: DataFrame, with_text: bool = False, part_bytes: int = P
     parts = -(-homes // HOMES_PER_PART)
     homed = rows.withColumn("home", F.expr(f"cast(pmod(cast(rid as decimal(20)) + if(rid < 0, 18446744073709551616, 0), {homes}) as long)"))
     replies = stage(rows.select("rid", "ord", "_t").mapInArrow(_send_anchors(parts, homes), ENTRIES).groupBy("part").applyInArrow(_settle(homes, hot), REPLIES), "settled")
-    texts = homed.select("home", "rid", "ord", "_t").groupBy("home")
+    texts = homed.mapInArrow(_pack, PACKED).groupBy("home")
     fetched = texts.cogroup(replies.where("home >= 0").groupBy("home")).applyInArrow(_fetch(parts), OPEN)
     decided = fetched.groupBy("part").applyInArrow(_decide(homes), REPLIES)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
-    return homed.groupBy("home").cogroup(replies.unionByName(decided).groupBy("home")).applyInArrow(_cut(with_text), schema)
+    return texts.cogroup(replies.unionByName(decided).groupBy("home")).applyInArrow(_cut(with_text), schema)

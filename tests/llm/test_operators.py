@@ -94,6 +94,26 @@ def test_segments_that_agree_in_part_of_their_hash(monkeypatch):
     assert found(0) == [1] and found(1) == [] and found(1 << 23) == []
 
 
+def test_few_segments_of_a_frequent_gram_agree_by_chance():
+    """4,000 texts that share a gram and nothing else: hardly any is fetched to be compared."""
+    import pyarrow as pa
+
+    r = np.random.default_rng(7)
+    pool = r.integers(0, 256, 2_000_000).astype(np.uint8)
+    at = np.arange(len(pool) - suffix.GRAM)
+    best = int(np.argmin(suffix.range_hash(suffix.prefix_sums(pool), at, at + suffix.GRAM)))
+    gram, side = pool[best:best + suffix.GRAM].tobytes(), suffix.SPAN - suffix.GRAM
+    docs = pa.record_batch({"rid": pa.array(range(4000), pa.int64()), "ord": pa.array(range(4000), pa.int64()), "_t": pa.array([r.bytes(side) + gram + r.bytes(side) for _ in range(4000)], pa.binary())})
+    sent = pa.Table.from_batches(list(suffix._send_anchors(1, 1)([docs])))
+    asked = suffix._settle(1, 10**9)([pa.scalar(0)], sent).column("code").to_pylist()
+    assert sum(map(len, asked)) // 4 < 40
+
+
+def test_texts_travel_once(spark, both):
+    found = suffix.remove_repeats(brute.edge_table(spark, both))
+    assert found.collect() and "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
+
+
 def test_suffix_dedup_empty(nothing):
     assert suffix.remove_repeats(nothing, with_text=True).count() == 0
 
